@@ -33,8 +33,11 @@ def subjects_of(lists: list[Column]) -> Column:
 
 
 def codes_of(strict: bool = True) -> Column:
-    each = [F.transform(F.array_distinct(F.coalesce(L.trimmed(_unified(f"identifiers_unified.{k}"), strict), F.array().cast("array<string>"))), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k in S.CODE_KINDS]
-    return F.concat(*each)
+    def of(kind: str) -> Column:
+        values = F.coalesce(L.trimmed(_unified(f"identifiers_unified.{kind}"), strict), F.array().cast("array<string>"))
+        return F.transform(F.array_distinct(values), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    return F.concat(*map(of, S.CODE_KINDS))
 
 
 def flattened(docs: DataFrame, strict: bool = True) -> DataFrame:

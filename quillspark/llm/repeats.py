@@ -4,7 +4,7 @@ Every window of k symbols (words or bytes) has an anchor, the gram of m symbols
 have equal anchors at equal places. Consecutive windows of one anchor form a segment; each window is in one segment.
 
 1. ``filters``: anchors of all texts are counted in packed form; only segments whose anchor occurs twice go on. Under a hot
-   anchor (``HOT`` occurrences) windows are counted one by one, and only those that occur twice go on, each as a segment of its own.
+   anchor (``HOT`` occurrences) windows are counted one by one, and only the runs of windows that occur twice go on.
 2. ``indexed``: each task sends its distinct segments to the shard of their anchor. There an index (the operator's own) tells
    for each window of each distinct segment what is known of its equals.
 3. ``marked``: all occurrences of segments meet these findings in a join, which Spark can split where a segment is hot, and
@@ -29,7 +29,7 @@ from .session import importable, partitions
 HOT = 2000
 LAST = (1 << 63) - 1
 LOW32, HIGH32 = A.U(0xFFFFFFFF), A.U(0xFFFFFFFF00000000)
-SEGMENT = "bucket int, anchor long, segment long, low long, times long, body binary"
+SEGMENT = "bucket int, packed binary"
 FOUND = "anchor long, segment long, a int, b int, low long"
 
 
@@ -82,16 +82,25 @@ class Cut:
     def take(self, keep: np.ndarray) -> None:
         self.place, self.windows, self.doc, self.anchor, self.segment = (x[keep] for x in (self.place, self.windows, self.doc, self.anchor, self.segment))
 
-    def single(self, keep: np.ndarray) -> "Cut":
-        """The windows of the segments ``keep``, each as a segment whose anchor is its own hash."""
+    def each(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the segments ``keep``: their windows' places, which segment each is of, and the windows' hashes."""
+        of, count = np.flatnonzero(keep), self.windows[keep]
+        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        place = np.repeat(self.place[keep], count) + inner
+        return place, np.repeat(of, count), A.spans(self.pre, place, place + self.spec.k) if len(place) else np.zeros(0, A.U)
+
+    def parts(self, keep: np.ndarray, windows: "Filter") -> "Cut":
+        """The runs of windows that pass the filter in the segments ``keep``, as segments of the same anchors."""
+        place, of, key = self.each(keep)
+        good = windows.test(key)
+        place, of = place[good], of[good]
+        start = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1] + 1) | (of[1:] != of[:-1])])) if len(place) else np.zeros(0, np.int64)
         out = object.__new__(Cut)
         out.__dict__.update(self.__dict__)
-        count = self.windows[keep]
-        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        out.place = np.repeat(self.place[keep], count) + inner
-        out.doc, out.windows = np.repeat(self.doc[keep], count), np.ones(len(inner), np.int64)
-        out.segment = A.spans(self.pre, out.place, out.place + self.spec.k) if len(inner) else np.zeros(0, A.U)
-        out.anchor = A.mix(out.segment ^ A.STEP)
+        out.place, of = place[start], of[start]
+        out.windows = np.diff(np.append(start, len(place)))
+        out.doc, out.anchor = self.doc[of], self.anchor[of]
+        out.segment = A.spans(self.pre, out.place, out.place + out.windows + self.spec.k - 1) if len(start) else np.zeros(0, A.U)
         return out
 
     def body(self, at: int) -> bytes:
@@ -113,9 +122,7 @@ class Passed:
         if self.hot is not None:
             very = self.hot.test(cut.anchor)
             if very.any():
-                one = cut.single(very)
-                one.take(self.windows.test(one.anchor))
-                yield one
+                yield cut.parts(very, self.windows)
                 cut.take(~very)
         yield cut
 
@@ -137,30 +144,55 @@ def filters(docs: DataFrame, spec: Windows, hot: int = HOT) -> Passed:
             cut = Cut(spec, buf, off)
             keep = very.test(cut.anchor)
             if keep.any():
-                yield cut.single(keep).anchor
+                yield cut.each(keep)[2]
 
     return Passed(shared, very, built(counted(texts, windows), 1 << 62)[0])
 
 
+def distinct(anchor: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first): rows in order of their key, and where each distinct key begins in it."""
+    order = np.lexsort((segment, anchor))
+    anchor, segment = anchor[order], segment[order]
+    return order, np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])])) if len(order) else order
+
+
+def merged(rows: pa.Table) -> pa.Table:
+    """Rows of one segment as one: the smallest low, all times, the first body."""
+    anchor, segment, low, times = (rows[c].to_numpy() for c in ("anchor", "segment", "low", "times"))
+    order, first = distinct(anchor, segment)
+    if not len(first):
+        return rows
+    which = order[first]
+    return pa.table({"anchor": anchor[which], "segment": segment[which], "low": np.minimum.reduceat(low[order], first), "times": np.add.reduceat(times[order], first), "body": rows["body"].take(pa.array(which))})
+
+
 def segments(docs: DataFrame, spec: Windows, passed: Passed) -> DataFrame:
-    """Distinct segments of each run of rows: their smallest doc_key, how often they occur, and their text."""
+    """Distinct segments of each Arrow batch: their smallest doc_key, how often they occur, and their text; packed by shard."""
     buckets = partitions(docs.sparkSession)
 
+    def packed(rows: pa.Table) -> pa.RecordBatch:
+        bucket = (rows["anchor"].to_numpy() % A.U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rows, cut = rows.take(pa.array(order)), np.searchsorted(bucket[order], np.arange(buckets + 1))
+        out = []
+        for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(rows.slice(cut[b], cut[b + 1] - cut[b]))
+            out.append((b, sink.getvalue().to_pybytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], ["bucket", "packed"])
+
     def run(batches):
         for batch in batches:
-            key = batch.column("doc_key").to_numpy()
+            key, found = batch.column("doc_key").to_numpy(), []
             for i, j, buf, off in A.chunks(batch.column("text"), spec.chunk):
                 for cut in passed.cuts(Cut(spec, buf, off)):
-                    if not len(cut.place):
-                        continue
-                    order = np.lexsort((cut.segment, cut.anchor))
-                    anchor, segment, low = cut.anchor[order], cut.segment[order], key[i:j][cut.doc[order]]
-                    first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])]))
-                    times = np.diff(np.append(first, len(order)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array((anchor[first] % A.U(buckets)).astype(np.int32)), pa.array(anchor[first].view(np.int64)), pa.array(segment[first].view(np.int64)), pa.array(np.minimum.reduceat(low, first)), pa.array(times), pa.array([cut.body(at) for at in order[first]], pa.binary())],
-                        [x.split()[0] for x in SEGMENT.split(", ")],
-                    )
+                    order, first = distinct(cut.anchor, cut.segment)
+                    if len(first):
+                        which = order[first]
+                        found.append(pa.table({"anchor": cut.anchor[which], "segment": cut.segment[which], "low": np.minimum.reduceat(key[i:j][cut.doc[order]], first), "times": np.diff(np.append(first, len(order))), "body": pa.array([cut.body(at) for at in which], pa.large_binary())}))
+            if found:
+                yield packed(merged(pa.concat_tables(found).combine_chunks()))
 
     return docs.select("doc_key", "text").mapInArrow(run, SEGMENT)
 
@@ -169,20 +201,17 @@ def indexed(found: DataFrame, index) -> DataFrame:
     """index(bodies, low, times): for each distinct segment of a shard the values of its windows, LAST where there is nothing to say."""
 
     def run(rows: pa.Table) -> pa.Table:
-        anchor, segment, low, times = (rows[c].to_numpy() for c in ("anchor", "segment", "low", "times"))
-        order = np.lexsort((segment, anchor))
-        anchor, segment = anchor[order], segment[order]
-        first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])]))
-        bodies = rows["body"].take(pa.array(order[first])).to_pylist()
-        values, count = index(bodies, np.minimum.reduceat(low[order], first), np.add.reduceat(times[order], first))
-        which = np.repeat(np.arange(len(first)), count)
+        rows = merged(pa.concat_tables(pa.ipc.open_stream(x.as_buffer()).read_all() for c in rows["packed"].chunks for x in c).combine_chunks())
+        anchor, segment = rows["anchor"].to_numpy(), rows["segment"].to_numpy()
+        values, count = index(rows["body"].to_pylist(), rows["low"].to_numpy(), rows["times"].to_numpy())
+        which = np.repeat(np.arange(len(anchor)), count)
         start = np.cumsum(count) - count
         new = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (which[1:] != which[:-1])])) if len(values) else np.zeros(0, np.int64)
         end = np.append(new[1:], len(values))
         keep = values[new] != LAST
         new, end = new[keep], end[keep]
         of = which[new]
-        return pa.table({"anchor": anchor[first][of], "segment": segment[first][of], "a": (new - start[of]).astype(np.int32), "b": (end - start[of]).astype(np.int32), "low": values[new]})
+        return pa.table({"anchor": anchor[of].view(np.int64), "segment": segment[of].view(np.int64), "a": (new - start[of]).astype(np.int32), "b": (end - start[of]).astype(np.int32), "low": values[new]})
 
     return found.groupBy("bucket").applyInArrow(run, FOUND)
 

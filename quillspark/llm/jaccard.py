@@ -37,6 +37,7 @@ SHINGLE = 5
 PERCENT = 75
 HOT, HOT_RUN = 200, 3
 LARGEST_SMALL = 48
+BROADCAST_ROWS = 100_000  # of 24 bytes
 STATE = "doc_key long, n long, class binary, tokens array<long>, singles int, shingles binary"
 
 
@@ -162,8 +163,9 @@ def alike(n1, n2):
     return (100 * F.least(n1, n2) >= PERCENT * F.greatest(n1, n2)) if not isinstance(n1, str) else alike(F.col(n1), F.col(n2))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those whose whole sets are similar."""
+def verified(pairs: DataFrame, sets: DataFrame, state: DataFrame) -> DataFrame:
+    """Of stored pairs (a, b) those whose whole sets are similar. Only sets that stand in a pair move; they are looked up by a broadcast
+    of their names where these are few."""
 
     def run(batches):
         for batch in batches:
@@ -176,16 +178,20 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             if keep:
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    left, right = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y"))
+    ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+    needed = stored(sets.select("rid", "class").join(ids, "rid", "left_semi"))
+    named = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
+    whole = state.where("shingles is not null").select("class", "shingles").join(named, "class").groupBy("rid").agg(F.first("shingles").alias("shingles"))
+    left, right = whole.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), whole.select(F.col("rid").alias("b"), F.col("shingles").alias("y"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def linked(sets: DataFrame, posts: DataFrame) -> DataFrame:
+def linked(sets: DataFrame, posts: DataFrame, state: DataFrame) -> DataFrame:
     """node, root over the rids of sets that have a link."""
     spark = sets.sparkSession
     posts = stored(met(posts))
-    first = posts.where((F.col("p1") != F.col("rid")) & alike("n", "n1")).groupBy("rid").agg(F.min("p1").alias("a")).select("a", F.col("rid").alias("b"))
-    roots = components(verified(first, sets))
+    first = stored(posts.where((F.col("p1") != F.col("rid")) & alike("n", "n1")).groupBy("rid").agg(F.min("p1").alias("a")).select("a", F.col("rid").alias("b")))
+    roots = components(verified(first, sets, state))
 
     def joined(pairs: DataFrame) -> DataFrame:
         """Pairs, of a stored table, that roots doesn't connect yet."""
@@ -205,7 +211,7 @@ def linked(sets: DataFrame, posts: DataFrame) -> DataFrame:
         pairs = stored(pairs)
         if pairs.isEmpty():
             return spark.createDataFrame([], "a long, b long")
-        ok = verified(pairs, sets)
+        ok = verified(pairs, sets, state)
         return stored(ok.join(pairs, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
 
     drawn = [posts.where((F.col(p) != F.col("rid")) & alike("n", n)).select(F.least("rid", p).alias("a"), F.greatest("rid", p).alias("b")) for p, n in (("p1", "n1"), ("p2", "n2"))]
@@ -228,9 +234,9 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = docs.select("text")
     hot = hot_filter(texts)
     state = stored(states(docs, hot, shared_filter(texts, hot)))
-    some = state.where("class is not null").groupBy("class").agg(F.min("doc_key").alias("low"), F.max("n").alias("n"), F.first("tokens", True).alias("tokens"), F.first("singles", True).alias("singles"), F.first("shingles", True).alias("shingles"))
+    some = state.where("class is not null").groupBy("class").agg(F.min("doc_key").alias("low"), F.max("n").alias("n"), F.first("tokens", True).alias("tokens"), F.first("singles", True).alias("singles"))
     sets = stored(some.withColumn("rid", F.monotonically_increasing_id()))
-    roots = linked(sets, postings(sets, boundary(sets)))
+    roots = linked(sets, postings(sets, boundary(sets)), state)
     rooted = sets.select("class", "low", "rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component"))
     named = rooted.join(least, "root").select("class", "component")

@@ -37,7 +37,7 @@ class Shard:
         self.text[start[1:] - 1] = 0
         count = length - k + 1
         self.at = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        order, _ = suffix_array(self.text, k)
+        order, _ = suffix_array(self.text)  # in full: Kasai needs the true order, also among equal windows
         lcp = kasai(self.text, order, start, count, k)
         weight = np.zeros(len(self.text), np.int64)
         weight[self.at] = np.repeat(times, count)

@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(t: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, rank) of the suffixes of t (small non-negative integers) by Larsson-Sadakane refinement: each round doubles the
-    sorted depth and touches only groups that are still tied. With depth, suffixes that agree on it may stay tied (equal rank)."""
+    sorted depth and touches only groups that are still tied."""
     n = len(t)
     width = max(1, int(t.max()).bit_length() + 1) if n else 1
     h = max(1, 62 // width)
@@ -15,7 +15,7 @@ def suffix_array(t: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, n
     for at in range(h):
         key <<= width
         key[: n - at] += t[at:].astype(np.int64) + 1
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]) if n else np.zeros(0, bool)
     place = np.arange(n)
@@ -23,10 +23,10 @@ def suffix_array(t: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, n
     rank[n] = -1
     rank[order] = np.maximum.accumulate(np.where(new, place, 0)) if n else place
     tied = place[~(new & np.append(new[1:], True))] if n else place
-    while len(tied) and (depth is None or h < depth):
+    while len(tied):
         at = order[tied]
         group, then = rank[at], rank[np.minimum(at + h, n)] + 1
-        inner = np.argsort(group * (n + 1) + then, kind="stable")
+        inner = np.argsort(group * (n + 1) + then)
         at, group, then = at[inner], group[inner], then[inner]
         order[tied] = at
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (then[1:] != then[:-1])])

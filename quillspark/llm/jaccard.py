@@ -12,7 +12,7 @@ shingles of their prefixes in this order (of n - ceil(0.75 n) + 2), and one of t
 
 Prefix shingles that one document only has are dropped before, by a filter of fixed size (see ``filters``).
 
-Meetings are verified exactly on whole sets. A list of n sets isn't n * n / 2 pairs: first each set meets the first of
+Meetings are verified exactly on whole sets, those that parities of fixed size don't rule out. A list of n sets isn't n * n / 2 pairs: first each set meets the first of
 its lists, then a drawn one of each list, and what these links connect needs no further proof; only sets of a list that are
 still in different components are then compared with each other.
 
@@ -37,8 +37,9 @@ SHINGLE = 5
 PERCENT = 75
 HOT, HOT_RUN = 200, 3
 LARGEST_SMALL = 48
+PARITY_BITS = 2048
 BROADCAST_ROWS = 100_000  # of 24 bytes
-STATE = "doc_key long, n long, class binary, tokens array<long>, singles int, shingles binary"
+STATE = "doc_key long, n long, class binary, tokens array<long>, singles int, parity binary, shingles binary"
 
 
 class Sets:
@@ -94,6 +95,11 @@ def shared_filter(texts: DataFrame, hot: Filter | None) -> Filter:
     return built(counted(texts, keys), 1 << 62)[0]
 
 
+def parity(keys: np.ndarray) -> bytes:
+    """Of each of PARITY_BITS classes of shingles whether their number is odd."""
+    return np.packbits((np.bincount((keys % A.U(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(bool)).tobytes()
+
+
 def states(docs: DataFrame, hot: Filter | None, shared: Filter) -> DataFrame:
     """A row for each document: n, and for those that may link: its class, the prefix shingles that others have too, and (once in a
     batch for each class) its whole set."""
@@ -109,11 +115,11 @@ def states(docs: DataFrame, hot: Filter | None, shared: Filter) -> DataFrame:
                 cut = np.searchsorted(at, sets.first)
                 n = np.diff(sets.first)
                 single = n - -(-PERCENT * n // 100) + 1
-                names, tokens, singles, bodies = [], [], [], []
+                names, tokens, singles, parities, bodies = [], [], [], [], []
                 for d in range(j - i):
                     some = at[cut[d] : cut[d + 1]]
                     if not len(some):
-                        names.append(None), tokens.append(None), singles.append(None), bodies.append(None)
+                        names.append(None), tokens.append(None), singles.append(None), parities.append(None), bodies.append(None)
                         continue
                     own = sets.plain[sets.first[d] : sets.first[d + 1]]
                     pre = A.prefix(own)
@@ -123,8 +129,9 @@ def states(docs: DataFrame, hot: Filter | None, shared: Filter) -> DataFrame:
                     seen.add(name)
                     tokens.append(sets.keys[some].view(np.int64) if fresh else None)
                     singles.append(int((some - sets.first[d] < single[d]).sum()) if fresh else None)
+                    parities.append(parity(own) if fresh else None)
                     bodies.append(own.tobytes() if fresh else None)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), pa.array(n), pa.array(names, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(singles, pa.int32()), pa.array(bodies, pa.binary())], ["doc_key", "n", "class", "tokens", "singles", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), pa.array(n), pa.array(names, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(singles, pa.int32()), pa.array(parities, pa.binary()), pa.array(bodies, pa.binary())], ["doc_key", "n", "class", "tokens", "singles", "parity", "shingles"])
 
     return docs.select("doc_key", "text").mapInArrow(run, STATE)
 
@@ -163,6 +170,23 @@ def alike(n1, n2):
     return (100 * F.least(n1, n2) >= PERCENT * F.greatest(n1, n2)) if not isinstance(n1, str) else alike(F.col(n1), F.col(n2))
 
 
+def close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs without those whose parities differ in more classes than similar sets differ in shingles: each shingle of one
+    set only changes one class. No similar pair is lost."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                total = batch.column("n").to_numpy() + batch.column("m").to_numpy()
+                keep = (100 + PERCENT) * apart <= (100 - PERCENT) * total
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    left, right = sets.select(F.col("rid").alias("a"), "n", F.col("parity").alias("x")), sets.select(F.col("rid").alias("b"), F.col("n").alias("m"), F.col("parity").alias("y"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, state: DataFrame) -> DataFrame:
     """Of stored pairs (a, b) those whose whole sets are similar. Only sets that stand in a pair move; they are looked up by a broadcast
     of their names where these are few."""
@@ -178,6 +202,7 @@ def verified(pairs: DataFrame, sets: DataFrame, state: DataFrame) -> DataFrame:
             if keep:
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
+    pairs = stored(close(pairs, sets))
     ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
     needed = stored(sets.select("rid", "class").join(ids, "rid", "left_semi"))
     named = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
@@ -234,7 +259,7 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = docs.select("text")
     hot = hot_filter(texts)
     state = stored(states(docs, hot, shared_filter(texts, hot)))
-    some = state.where("class is not null").groupBy("class").agg(F.min("doc_key").alias("low"), F.max("n").alias("n"), F.first("tokens", True).alias("tokens"), F.first("singles", True).alias("singles"))
+    some = state.where("class is not null").groupBy("class").agg(F.min("doc_key").alias("low"), F.max("n").alias("n"), F.first("tokens", True).alias("tokens"), F.first("singles", True).alias("singles"), F.first("parity", True).alias("parity"))
     sets = stored(some.withColumn("rid", F.monotonically_increasing_id()))
     roots = linked(sets, postings(sets, boundary(sets)), state)
     rooted = sets.select("class", "low", "rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))

@@ -12,9 +12,9 @@ shingles of their prefixes in this order (of n - ceil(0.75 n) + 2), and one of t
 
 Prefix shingles that one document only has are dropped before, by a filter of fixed size (see ``filters``).
 
-Meetings are verified exactly on whole sets, those that parities of fixed size don't rule out. A list of n sets isn't n * n / 2 pairs: first each set meets the first of
-its lists, then a drawn one of each list, and what these links connect needs no further proof; only sets of a list that are
-still in different components are then compared with each other.
+Meetings are verified exactly on whole sets, those that parities of fixed size don't rule out. A list of n sets isn't n * n / 2 pairs: first each set meets the first and
+a drawn one of each of its lists, and what these links connect needs no further proof; only sets of a list that are still in different
+components are then compared with each other.
 
 Defined results: a null or wordless text has no shingles and its own doc_id; fewer words than a shingle make one; a null doc_id is larger
 than all others, and the component of none but such is null; repeated rows are of one class; an empty table gives an empty result.
@@ -37,9 +37,9 @@ SHINGLE = 5
 PERCENT = 75
 HOT, HOT_RUN = 200, 3
 LARGEST_SMALL = 48
-PARITY_BITS = 2048
+PARITY_BITS = 1024
 BROADCAST_ROWS = 100_000  # of 24 bytes
-STATE = "doc_key long, n long, class binary, tokens array<long>, singles int, parity binary, shingles binary"
+STATE = "doc_key long, n long, class binary, tokens array<long>, singles int, parity binary"
 
 
 class Sets:
@@ -77,6 +77,16 @@ class Sets:
         reach = np.minimum(n, n - -(-PERCENT * n // 100) + 2)
         return np.arange(len(self.keys)) < (self.first[:-1] + reach)[self.doc]
 
+    def classes(self) -> np.ndarray:
+        """128 bits of each document's set, two columns."""
+        out = np.zeros((len(self.first) - 1, 2), A.U)
+        some = np.flatnonzero(self.first[1:] > self.first[:-1])
+        if len(some):
+            start = self.first[:-1][some]
+            out[some, 0] = A.spans(A.prefix(self.plain), start, self.first[1:][some])
+            out[some, 1] = np.bitwise_xor.reduceat(A.mix(self.plain ^ A.MIX1), start)
+        return out
+
 
 def hot_filter(texts: DataFrame, hot: int = HOT) -> Filter | None:
     def keys(batch):
@@ -101,8 +111,8 @@ def parity(keys: np.ndarray) -> bytes:
 
 
 def states(docs: DataFrame, hot: Filter | None, shared: Filter) -> DataFrame:
-    """A row for each document: n, and for those that may link: its class, the prefix shingles that others have too, and (once in a
-    batch for each class) its whole set."""
+    """A row for each document: n, and for those that may link: its class, and once in a batch for each class the prefix
+    shingles that others have too and its parity."""
 
     def run(batches):
         for batch in batches:
@@ -115,23 +125,22 @@ def states(docs: DataFrame, hot: Filter | None, shared: Filter) -> DataFrame:
                 cut = np.searchsorted(at, sets.first)
                 n = np.diff(sets.first)
                 single = n - -(-PERCENT * n // 100) + 1
-                names, tokens, singles, parities, bodies = [], [], [], [], []
+                name_of = sets.classes()
+                names, tokens, singles, parities = [], [], [], []
                 for d in range(j - i):
                     some = at[cut[d] : cut[d + 1]]
                     if not len(some):
-                        names.append(None), tokens.append(None), singles.append(None), parities.append(None), bodies.append(None)
+                        names.append(None), tokens.append(None), singles.append(None), parities.append(None)
                         continue
                     own = sets.plain[sets.first[d] : sets.first[d + 1]]
-                    pre = A.prefix(own)
-                    name = np.array([A.spans(pre, np.array([0]), np.array([len(own)]))[0], np.bitwise_xor.reduce(A.mix(own ^ A.MIX1))], A.U).tobytes()
+                    name = name_of[d].tobytes()
                     names.append(name)
                     fresh = name not in seen
                     seen.add(name)
                     tokens.append(sets.keys[some].view(np.int64) if fresh else None)
                     singles.append(int((some - sets.first[d] < single[d]).sum()) if fresh else None)
                     parities.append(parity(own) if fresh else None)
-                    bodies.append(own.tobytes() if fresh else None)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), pa.array(n), pa.array(names, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(singles, pa.int32()), pa.array(parities, pa.binary()), pa.array(bodies, pa.binary())], ["doc_key", "n", "class", "tokens", "singles", "parity", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), pa.array(n), pa.array(names, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(singles, pa.int32()), pa.array(parities, pa.binary())], ["doc_key", "n", "class", "tokens", "singles", "parity"])
 
     return docs.select("doc_key", "text").mapInArrow(run, STATE)
 
@@ -187,9 +196,32 @@ def close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, state: DataFrame) -> DataFrame:
-    """Of stored pairs (a, b) those whose whole sets are similar. Only sets that stand in a pair move; they are looked up by a broadcast
-    of their names where these are few."""
+def bodies(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """class, shingles: the whole sets of the classes in needed, and of few others, from the texts; once in a batch."""
+
+    def keys(batch):
+        yield np.frombuffer(b"".join(batch.column("class").to_pylist()), A.U)[::2]
+
+    wanted = built(counted(needed.select("class"), keys), 1 << 62, 1)[0]
+
+    def run(batches):
+        for batch in batches:
+            seen: set[bytes] = set()
+            for _, _, buf, off in A.chunks(batch.column("text")):
+                sets = Sets(buf, off, None)
+                name_of, found = sets.classes(), []
+                for d in np.flatnonzero(wanted.test(name_of[:, 0])).tolist():
+                    if (name := name_of[d].tobytes()) not in seen:
+                        seen.add(name)
+                        found.append((name, sets.plain[sets.first[d] : sets.first[d + 1]].tobytes()))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], pa.binary()) for n in (0, 1)], ["class", "shingles"])
+
+    return texts.mapInArrow(run, "class binary, shingles binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of stored pairs (a, b) those whose whole sets are similar. Only sets that stand in a pair after close() are made and moved."""
 
     def run(batches):
         for batch in batches:
@@ -203,12 +235,30 @@ def verified(pairs: DataFrame, sets: DataFrame, state: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     pairs = stored(close(pairs, sets))
+    if pairs.isEmpty():
+        return pairs
     ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
     needed = stored(sets.select("rid", "class").join(ids, "rid", "left_semi"))
     named = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    whole = state.where("shingles is not null").select("class", "shingles").join(named, "class").groupBy("rid").agg(F.first("shingles").alias("shingles"))
+    whole = bodies(texts, needed).join(named, "class").groupBy("rid").agg(F.first("shingles").alias("shingles"))
     left, right = whole.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), whole.select(F.col("rid").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+
+
+def linked(sets: DataFrame, posts: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, root over the rids of sets that have a link."""
+    posts = stored(met(posts))
+    drawn = [posts.where((F.col(p) != F.col("rid")) & alike("n", n)).select(F.least("rid", p).alias("a"), F.greatest("rid", p).alias("b")) for p, n in (("p1", "n1"), ("p2", "n2"))]
+    links = verified(stored(drawn[0].unionByName(drawn[1]).distinct()), sets, texts)
+    roots = components(links)
+    rooted = posts.select("k1", F.coalesce("k2", F.lit(0)).alias("k2"), F.col("k2").isNull().alias("heavy"), "rid", "n").join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    key = ["k1", "k2", "heavy"]
+    mixed = rooted.groupBy(*key).agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select(*key)
+    rest = stored(rooted.join(mixed, key))
+    x, y = (rest.select(*key, F.col("rid").alias(c), F.col("n").alias(f"n_{c}"), F.col("root").alias(f"root_{c}")) for c in "ab")
+    pairs = stored(x.join(y, key).where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & alike("n_a", "n_b")).select("a", "b").distinct())
+    more = verified(pairs, sets, texts)
+    return roots if more.isEmpty() else components(links.unionByName(more))
 
 
 def linked(sets: DataFrame, posts: DataFrame, state: DataFrame) -> DataFrame:
@@ -261,7 +311,7 @@ def classes(docs: DataFrame) -> DataFrame:
     state = stored(states(docs, hot, shared_filter(texts, hot)))
     some = state.where("class is not null").groupBy("class").agg(F.min("doc_key").alias("low"), F.max("n").alias("n"), F.first("tokens", True).alias("tokens"), F.first("singles", True).alias("singles"), F.first("parity", True).alias("parity"))
     sets = stored(some.withColumn("rid", F.monotonically_increasing_id()))
-    roots = linked(sets, postings(sets, boundary(sets)), state)
+    roots = linked(sets, postings(sets, boundary(sets)), texts)
     rooted = sets.select("class", "low", "rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component"))
     named = rooted.join(least, "root").select("class", "component")

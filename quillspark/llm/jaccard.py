@@ -12,7 +12,7 @@ shingles of their prefixes in this order (of n - ceil(0.75 n) + 2), and one of t
 
 Prefix shingles that one document only has are dropped before, by a filter of fixed size (see ``filters``).
 
-Meetings are verified exactly on whole sets, those that parities of fixed size don't rule out. A list of n sets isn't n * n / 2 pairs: first each set meets the first and
+Meetings are verified exactly on whole sets, those that parities, a bit or two for each shingle, don't rule out. A list of n sets isn't n * n / 2 pairs: first each set meets the first and
 a drawn one of each of its lists, and what these links connect needs no further proof; only sets of a list that are still in different
 components are then compared with each other.
 
@@ -106,8 +106,18 @@ def shared_filter(texts: DataFrame, hot: Filter | None) -> Filter:
 
 
 def parity(keys: np.ndarray) -> bytes:
-    """Of each of PARITY_BITS classes of shingles whether their number is odd."""
-    return np.packbits((np.bincount((keys % A.U(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(bool)).tobytes()
+    """Of each of some classes of shingles whether their number is odd: a power of two of classes, twice the set's size or more."""
+    bits = max(PARITY_BITS, 1 << int(2 * len(keys) - 1).bit_length())
+    return np.packbits((np.bincount((keys & A.U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """In how many classes two parities differ; the longer one is folded to the other's classes."""
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        half = len(x) // 2
+        x = (int.from_bytes(x[:half]) ^ int.from_bytes(x[half:])).to_bytes(half)
+    return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
 
 
 def states(docs: DataFrame, hot: Filter | None, shared: Filter) -> DataFrame:
@@ -186,10 +196,9 @@ def close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
-                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                differ = np.array([apart(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)])
                 total = batch.column("n").to_numpy() + batch.column("m").to_numpy()
-                keep = (100 + PERCENT) * apart <= (100 - PERCENT) * total
+                keep = (100 + PERCENT) * differ <= (100 - PERCENT) * total
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     left, right = sets.select(F.col("rid").alias("a"), "n", F.col("parity").alias("x")), sets.select(F.col("rid").alias("b"), F.col("n").alias("m"), F.col("parity").alias("y"))

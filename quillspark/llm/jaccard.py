@@ -14,7 +14,7 @@ Prefix shingles that one document only has are dropped before, by a filter of fi
 
 Meetings are verified exactly on whole sets, those that parities, a bit or two for each shingle, don't rule out. A list of n sets isn't n * n / 2 pairs: first each set meets the first and
 a drawn one of each of its lists, and what these links connect needs no further proof; only sets of a list that are still in different
-components are then compared with each other.
+components are then compared with each other, in lists of more than ``LONG_LIST`` by their differences from a pivot (by_difference).
 
 Defined results: a null or wordless text has no shingles and its own doc_id; fewer words than a shingle make one; a null doc_id is larger
 than all others, and the component of none but such is null; repeated rows are of one class; an empty table gives an empty result.
@@ -37,6 +37,8 @@ SHINGLE = 5
 PERCENT = 75
 HOT, HOT_RUN = 200, 3
 LARGEST_SMALL = 48
+LONG_LIST = 256  # sets; longer lists are compared by differences from a pivot
+DRAWN = 64  # members of a family that make its pivot, about
 PARITY_BITS = 1024
 BROADCAST_ROWS = 100_000  # of 24 bytes
 STATE = "doc_key long, n long, class binary, tokens array<long>, singles int, parity binary"
@@ -181,7 +183,7 @@ def postings(sets: DataFrame, small: int) -> DataFrame:
 def met(posts: DataFrame) -> DataFrame:
     """Postings of lists with two sets or more, each with the list's first set and a drawn one."""
     lists = posts.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min(F.struct("rid", "n")).alias("one"), F.min(F.struct(F.xxhash64("rid", "k1").alias("draw"), "rid", "n")).alias("two")).where("c > 1")
-    near = lists.select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("one.rid").alias("p1"), F.col("one.n").alias("n1"), F.col("two.rid").alias("p2"), F.col("two.n").alias("n2"))
+    near = lists.select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), "c", F.col("one.rid").alias("p1"), F.col("one.n").alias("n1"), F.col("two.rid").alias("p2"), F.col("two.n").alias("n2"))
     return posts.join(near, (F.col("k1") == F.col("l1")) & F.col("k2").eqNullSafe(F.col("l2"))).drop("l1", "l2")
 
 
@@ -229,6 +231,13 @@ def bodies(texts: DataFrame, needed: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "class binary, shingles binary")
 
 
+def wholes(ids: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """rid, shingles for the rids of ids."""
+    needed = stored(sets.select("rid", "class").join(ids, "rid", "left_semi"))
+    named = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
+    return bodies(texts, needed).join(named, "class").groupBy("rid").agg(F.first("shingles").alias("shingles"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """Of stored pairs (a, b) those whose whole sets are similar. Only sets that stand in a pair after close() are made and moved."""
 
@@ -246,36 +255,106 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = stored(close(pairs, sets))
     if pairs.isEmpty():
         return pairs
-    ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-    needed = stored(sets.select("rid", "class").join(ids, "rid", "left_semi"))
-    named = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    whole = bodies(texts, needed).join(named, "class").groupBy("rid").agg(F.first("shingles").alias("shingles"))
+    whole = wholes(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct(), sets, texts)
     left, right = whole.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), whole.select(F.col("rid").alias("b"), F.col("shingles").alias("y"))
     return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def linked(sets: DataFrame, posts: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, root over the rids of sets that have a link."""
-    posts = stored(met(posts))
-    drawn = [posts.where((F.col(p) != F.col("rid")) & alike("n", n)).select(F.least("rid", p).alias("a"), F.greatest("rid", p).alias("b")) for p, n in (("p1", "n1"), ("p2", "n2"))]
-    links = verified(stored(drawn[0].unionByName(drawn[1]).distinct()), sets, texts)
-    roots = components(links)
-    rooted = posts.select("k1", F.coalesce("k2", F.lit(0)).alias("k2"), F.col("k2").isNull().alias("heavy"), "rid", "n").join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    key = ["k1", "k2", "heavy"]
-    mixed = rooted.groupBy(*key).agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select(*key)
-    rest = stored(rooted.join(mixed, key))
-    x, y = (rest.select(*key, F.col("rid").alias(c), F.col("n").alias(f"n_{c}"), F.col("root").alias(f"root_{c}")) for c in "ab")
-    pairs = stored(x.join(y, key).where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & alike("n_a", "n_b")).select("a", "b").distinct())
-    more = verified(pairs, sets, texts)
-    return roots if more.isEmpty() else components(links.unionByName(more))
+def paired(rows: DataFrame, key: list[str], other: DataFrame | None = None) -> DataFrame:
+    """a, b, root_a, root_b: pairs of rows (or of a row and one of other) with equal keys, of like sizes, in different components."""
+    x, y = (d.select(*key, F.col("rid").alias(c), F.col("n").alias(f"n_{c}"), F.col("root").alias(f"root_{c}")) for d, c in ((rows, "a"), (rows if other is None else other, "b")))
+    both = x.join(y, key).where((F.col("root_a") != F.col("root_b")) & alike("n_a", "n_b"))
+    if other is None:
+        return both.where("a < b").select("a", "b", "root_a", "root_b")
+    swap = F.col("a") > F.col("b")
+    turn = lambda u, v: F.when(swap, F.col(v)).otherwise(F.col(u))
+    return both.select(turn("a", "b").alias("a"), turn("b", "a").alias("b"), turn("root_a", "root_b").alias("root_a"), turn("root_b", "root_a").alias("root_b"))
 
 
-def linked(sets: DataFrame, posts: DataFrame, state: DataFrame) -> DataFrame:
+def differences(own: DataFrame, hot: Filter | None) -> DataFrame:
+    """Of rows (f, rid, n, root, shingles, pivot): the shingles that only one of set and pivot has, those of the pivot and hot ones
+    last, their number, and score: two sets are similar where the scores and 2 * (100 + PERCENT) for each difference they share
+    add up to 0 or more."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for x, p in zip(batch.column("shingles"), batch.column("pivot"), strict=True):
+                x, p = np.frombuffer(x.as_buffer(), A.U), np.frombuffer(p.as_buffer(), A.U) if p.is_valid else np.zeros(0, A.U)
+                extra, lacking = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
+                late = hot.test(extra) if hot is not None and len(extra) else np.zeros(len(extra), bool)
+                keys = np.concatenate([extra, lacking])
+                late = np.concatenate([late, np.ones(len(lacking), bool)])
+                rows.append((len(keys), (100 - PERCENT) * len(x) - (100 + PERCENT) * len(keys), keys[np.lexsort((keys, late))].tobytes()))
+            if rows:
+                size, score, delta = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("f", "rid", "n", "root")), pa.array(size, pa.int64()), pa.array(score, pa.int64()), pa.array(delta, pa.binary())], ["f", "rid", "n", "root", "size", "score", "delta"])
+
+    return own.select("f", "rid", "n", "root", "shingles", "pivot").mapInArrow(run, "f long, rid long, n long, root long, size long, score long, delta binary")
+
+
+SHORT_OUT, SHORT_IN, LONG_OUT = 0, 1, 2
+
+
+def difference_posts(ranked: DataFrame) -> DataFrame:
+    """kind, f, e, rid, n, root: the differences that a set stands under. See by_difference()."""
+    unit = 2 * (100 + PERCENT)
+
+    def run(batches):
+        for batch in batches:
+            size, score, top, widest = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("size", "score", "top", "widest"))
+            inside = score + top >= 0
+            short = size - np.maximum(1, -((score - top - 1) // unit)) + 1
+            share = np.maximum(1, -((score + top) // unit))
+            long = np.where(~inside & (share <= widest), size - share + 1, 0)
+            delta = batch.column("delta")
+            for kinds, cut in ((np.where(inside, SHORT_IN, SHORT_OUT), short), (np.full(len(size), LONG_OUT), long)):
+                cut = np.clip(cut, 0, size)
+                at = np.repeat(np.arange(len(cut)), cut)
+                if len(at):
+                    e = np.concatenate([np.frombuffer(delta[d].as_buffer(), np.int64)[: cut[d]] for d in np.flatnonzero(cut).tolist()])
+                    columns = [batch.column(c).take(pa.array(at)) for c in ("f", "rid", "n", "root")]
+                    yield pa.RecordBatch.from_arrays([pa.array(kinds[at], pa.int32()), pa.array(e), *columns], ["kind", "e", "f", "rid", "n", "root"])
+
+    return ranked.select("f", "rid", "n", "root", "size", "score", "delta", "top", "widest").mapInArrow(run, "kind int, e long, f long, rid long, n long, root long")
+
+
+def by_difference(long: DataFrame, key: list[str], sets: DataFrame, texts: DataFrame, hot: Filter | None) -> tuple[DataFrame, DataFrame]:
+    """Pairs to verify (a, b, root_a, root_b) and certain links (a, b) between roots, for lists too long for their pairs.
+
+    Lists with the same main component make a family f. Its pivot is any set of shingles, here those of most of some drawn members; the
+    choice costs time only. X' is what differs between X and the pivot, so that X and Y differ in |X'| + |Y'| - 2 |X' & Y'| shingles. The
+    member whose score is best is linked for certain with each X whose score and its own add up to 0 or more ("in"). Two sets
+    that are both in need no more. Any other similar pair shares differences, by the scores more than a known number, so equal ones
+    stand among the first of both: among the few first of a set that is in (or of both that are out), more of its partner's."""
+    owner = long.groupBy(*key, "root").agg(F.count("*").alias("m")).groupBy(*key).agg(F.max(F.struct("m", "root")).alias("main")).select(*key, F.col("main.root").alias("f"))
+    members = stored(long.join(owner, key).select("f", "rid", "n", "root").distinct())
+    own = stored(members.join(wholes(members.select("rid").distinct(), sets, texts), "rid"))
+    drawn = own.join(members.groupBy("f").agg(F.count("*").alias("m")), "f").where(F.pmod(F.xxhash64("rid"), "m") < DRAWN)
+
+    def most(rows: pa.Table) -> pa.Table:
+        keys, count = np.unique(np.frombuffer(b"".join(rows["shingles"].to_pylist()), A.U), return_counts=True)
+        return pa.table({"f": pa.array([rows["f"][0].as_py()], pa.int64()), "pivot": pa.array([keys[2 * count > len(rows)].tobytes()], pa.binary())})
+
+    pivots = drawn.select("f", "shingles").groupBy("f").applyInArrow(most, "f long, pivot binary")
+    deltas = stored(differences(own.join(pivots, "f", "left"), hot))
+    best = deltas.groupBy("f").agg(F.max(F.struct("score", "rid", "root")).alias("best")).select("f", F.col("best.score").alias("top"), F.col("best.root").alias("home"))
+    ranked = deltas.join(best, "f")
+    inside = F.col("score") + F.col("top") >= 0
+    sure = ranked.where(inside & (F.col("root") != F.col("home"))).select(F.col("root").alias("a"), F.col("home").alias("b")).distinct()
+    widest = ranked.groupBy("f").agg(F.coalesce(F.max(F.when(inside, F.col("size"))), F.lit(0)).alias("widest"))
+    posts = stored(difference_posts(ranked.join(widest, "f")))
+    of = lambda kind: posts.where(F.col("kind") == kind)
+    pairs = paired(of(SHORT_OUT), ["f", "e"]).unionByName(paired(of(SHORT_IN), ["f", "e"], of(LONG_OUT)))
+    return pairs, sure
+
+
+def linked(sets: DataFrame, posts: DataFrame, texts: DataFrame, hot: Filter | None) -> DataFrame:
     """node, root over the rids of sets that have a link."""
     spark = sets.sparkSession
     posts = stored(met(posts))
     first = stored(posts.where((F.col("p1") != F.col("rid")) & alike("n", "n1")).groupBy("rid").agg(F.min("p1").alias("a")).select("a", F.col("rid").alias("b")))
-    roots = components(verified(first, sets, state))
+    roots = components(verified(first, sets, texts))
 
     def joined(pairs: DataFrame) -> DataFrame:
         """Pairs, of a stored table, that roots doesn't connect yet."""
@@ -295,20 +374,26 @@ def linked(sets: DataFrame, posts: DataFrame, state: DataFrame) -> DataFrame:
         pairs = stored(pairs)
         if pairs.isEmpty():
             return spark.createDataFrame([], "a long, b long")
-        ok = verified(pairs, sets, state)
+        ok = verified(pairs, sets, texts)
         return stored(ok.join(pairs, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
 
     drawn = [posts.where((F.col(p) != F.col("rid")) & alike("n", n)).select(F.least("rid", p).alias("a"), F.greatest("rid", p).alias("b")) for p, n in (("p1", "n1"), ("p2", "n2"))]
     edges = proven(joined(drawn[0].unionByName(drawn[1]).distinct()))
     if not edges.isEmpty():
         roots = merged(edges)
-    rooted = posts.select("k1", F.coalesce("k2", F.lit(0)).alias("k2"), F.col("k2").isNull().alias("heavy"), "rid", "n").join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    rooted = posts.select("k1", F.coalesce("k2", F.lit(0)).alias("k2"), F.col("k2").isNull().alias("heavy"), "c", "rid", "n").join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     key = ["k1", "k2", "heavy"]
     mixed = rooted.groupBy(*key).agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select(*key)
-    rest = rooted.join(mixed, key)
-    x, y = (rest.select(*key, F.col("rid").alias(c), F.col("n").alias(f"n_{c}"), F.col("root").alias(f"root_{c}")) for c in "ab")
-    pairs = x.join(y, key).where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & alike("n_a", "n_b")).select("a", "b", "root_a", "root_b").distinct()
-    edges = proven(pairs)
+    rest = stored(rooted.join(mixed, key))
+    pairs = paired(rest.where(F.col("c") <= LONG_LIST), key)
+    sure = None
+    long = rest.where(F.col("c") > LONG_LIST)
+    if not long.isEmpty():
+        more, sure = by_difference(long, key, sets, texts, hot)
+        pairs = pairs.unionByName(more)
+    edges = proven(pairs.distinct())
+    if sure is not None:
+        edges = stored(edges.unionByName(sure).distinct())
     return roots if edges.isEmpty() else merged(edges)
 
 
@@ -320,7 +405,7 @@ def classes(docs: DataFrame) -> DataFrame:
     state = stored(states(docs, hot, shared_filter(texts, hot)))
     some = state.where("class is not null").groupBy("class").agg(F.min("doc_key").alias("low"), F.max("n").alias("n"), F.first("tokens", True).alias("tokens"), F.first("singles", True).alias("singles"), F.first("parity", True).alias("parity"))
     sets = stored(some.withColumn("rid", F.monotonically_increasing_id()))
-    roots = linked(sets, postings(sets, boundary(sets)), texts)
+    roots = linked(sets, postings(sets, boundary(sets)), texts, hot)
     rooted = sets.select("class", "low", "rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component"))
     named = rooted.join(least, "root").select("class", "component")

@@ -94,7 +94,8 @@ def shingles(t):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def test_jaccard(docs, rows, empty):
+def joined(rows):
+    """doc_id, set size, component of each row, from all pairs; and the component ids."""
     sets = [(d, shingles(t)) for d, t, *_ in rows]
     parent = list(range(len(sets)))
 
@@ -110,11 +111,44 @@ def test_jaccard(docs, rows, empty):
     least = defaultdict(lambda: 1 << 60)
     for i, (d, _) in enumerate(sets):
         least[root(i)] = min(least[root(i)], d)
-    expected = Counter((d, len(s), least[root(i)]) for i, (d, s) in enumerate(sets))
+    return Counter((d, len(s), least[root(i)]) for i, (d, s) in enumerate(sets)), set(least.values())
+
+
+def test_jaccard(docs, rows, empty):
+    expected, least = joined(rows)
     assert Counter(map(tuple, jaccard.op10_ngram_jaccard(docs).collect())) == expected
     assert jaccard.op10_ngram_jaccard(empty).count() == 0
     kept = jaccard.one_of_each(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(least.values())
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == least
+
+
+def families(seed):
+    """Near copies by 0 to 7 edits of three kinds, some of which many copies share, so that whether two link is close; and texts around one passage."""
+    r, texts = random.Random(seed), []
+    make = lambda n: [f"w{r.randrange(4000)}" for _ in range(n)]
+    base = make(r.choice([60, 110, 150]))
+    often = [(r.choice("rdi"), r.randrange(len(base)), f"o{k}") for k in range(8)]
+    for k in range(140):
+        words, changes = base[:], r.sample(often, r.randint(0, 3)) + [(r.choice("rdi"), r.randrange(len(base)), f"e{k}x{i}") for i in range(r.randint(0, 4))]
+        for kind, at, new in sorted(changes, key=lambda c: -c[1]):
+            words[at : at + (kind != "i")] = [] if kind == "d" else [new]
+        texts.append(" ".join(words))
+    passage = make(40)
+    texts += [" ".join(make(r.randint(0, 12)) + passage + make(r.randint(0, 12))) for _ in range(60)]
+    r.shuffle(texts)
+    return [(n, t, None, None, None, None, None, None) for n, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_jaccard_long_lists(spark, monkeypatch, seed):
+    rows, calls, by_difference = families(seed), [], jaccard.by_difference
+    monkeypatch.setattr(jaccard, "LONG_LIST", 6)
+    monkeypatch.setattr(jaccard, "DRAWN", 9)
+    monkeypatch.setattr(jaccard, "by_difference", lambda *a: calls.append(1) or by_difference(*a))
+    expected, least = joined(rows)
+    assert 10 < len(least) < 190
+    assert Counter(map(tuple, jaccard.op10_ngram_jaccard(spark.createDataFrame(rows, SCHEMA)).collect())) == expected
+    assert calls
 
 
 PATTERNS = {

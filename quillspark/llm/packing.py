@@ -15,6 +15,7 @@ doc_ids stay; an empty table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -27,7 +28,7 @@ from .session import importable
 SEQUENCE = 2048
 CHUNK = 100_000
 CACHED_WORDS, CACHED_LENGTH = 1_000_000, 64
-SAFE = re.compile(r"(?<=\S) (?=\S)")
+SAFE, UNSAFE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r" \s|\s ")
 CLOSING = b"\0\0\0\0"
 
 
@@ -37,33 +38,42 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Words(dict):
+    """The ids of words after a space, made when first asked for."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, w: str) -> bytes:
+        got = self.encode(" " + w)
+        if len(w) <= CACHED_LENGTH:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[w] = got
+        return got
+
+
 class Encoder:
     """ids of a text as little-endian 32-bit bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.words: dict[str, bytes] = {}
-
-    def raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def word(self, w: str) -> bytes:
-        got = self.words.get(w)
-        if got is None:
-            got = self.raw(" " + w)
-            if len(w) <= CACHED_LENGTH:
-                if len(self.words) >= CACHED_WORDS:
-                    self.words.clear()
-                self.words[w] = got
-        return got
+        self.tokenizer = tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+
+        def raw(text: str) -> bytes:
+            ids = tokenizer.encode(text, add_special_tokens=False).ids
+            return pack_ids[len(ids)](*ids) if len(ids) < len(pack_ids) else np.array(ids, "<u4").tobytes()
+
+        pack_ids = [struct.Struct(f"<{n}I").pack for n in range(64)]
+        self.raw, self.words = raw, Words(raw)
 
     def __call__(self, text: str) -> bytes:
-        first, *rest = SAFE.split(text)
-        get = self.words.get
-        return self.raw(first) + b"".join([get(w) or self.word(w) for w in rest])
+        # almost all texts have safe spaces only, which a plain split finds
+        plain = not text.startswith(" ") and not text.endswith(" ") and UNSAFE.search(text) is None
+        first, *rest = text.split(" ") if plain else SAFE.split(text)
+        return self.raw(first) + b"".join(map(self.words.__getitem__, rest))
 
 
 _encoders: dict[str, Encoder] = {}

@@ -6,7 +6,9 @@ N(g) becomes smallest, that is to the open gap (or a new sequence) that minimise
 are packed in chunks of about ``CHUNK`` by the hash of doc_id, so nothing grows with the corpus but the number of chunks.
 
 Tokenising caches the ids of space-separated words: where a single space stands between two other characters that are
-no white space, the pre-tokeniser of the vocabulary always begins a word with that space.
+no white space, the pre-tokeniser of the vocabulary always begins a word with that space. Of a word that isn't cached, what its
+line ends and closing marks set apart is made by itself, because the pre-tokeniser parts it there too; Latin letters are merged by
+``merging``, all else goes through the tokenizer.
 
 Defined results: a null or empty text is one piece with the closing id 0 alone; repeated rows are documents of their own; null
 doc_ids stay; an empty table gives an empty result. Other columns are not read.
@@ -14,6 +16,7 @@ doc_ids stay; an empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -27,8 +30,11 @@ from .session import importable
 
 SEQUENCE = 2048
 CHUNK = 100_000
-CACHED_WORDS, CACHED_LENGTH = 1_000_000, 64
-SAFE, UNSAFE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r" \s|\s ")
+CACHED_WORDS, CACHED_LENGTH = 500_000, 64
+SAFE = re.compile(r"(?<=\S) (?=\S)")
+UNSAFE = re.compile(r"[^\S ](?:(?<= .)| )", re.DOTALL)  # another white space beside a space; two spaces are looked for before it
+SINGLE = re.compile(r"\S+(?:\n\S+)+")
+MARKS, LATIN = ".,;:!?", "\u024f"
 CLOSING = b"\0\0\0\0"
 
 
@@ -39,19 +45,72 @@ def default_vocabulary() -> str:
 
 
 class Words(dict):
-    """The ids of words after a space, made when first asked for."""
+    """The ids of words after a space, made when first asked for; the last two generations are kept. Single line ends between
+    characters that are no white space, and marks that close a word, are made by themselves."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, letters):
+        self.encode, self.letters, self.old, self.bare, self.newline = encode, letters, {}, {}, encode("\n")
 
     def __missing__(self, w: str) -> bytes:
-        got = self.encode(" " + w)
+        got = self.old.get(w)
+        if got is None:
+            if "\n" in w and SINGLE.fullmatch(w):
+                first, *rest = w.split("\n")
+                return self[first] + b"".join([self.newline + self.part("", x) for x in rest])
+            got = self.part(" ", w)
         if len(w) <= CACHED_LENGTH:
             if len(self) >= CACHED_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[w] = got
         return got
 
+    def part(self, before: str, w: str) -> bytes:
+        """Letters are one word of the pre-tokeniser, and so are the marks after them; all else is left to it."""
+        head = w.rstrip(MARKS)
+        if head.isalpha() and max(head) <= LATIN:
+            got = self.letters(before + head)
+            return got if len(head) == len(w) else got + self.closing(w[len(head) :])
+        return self.encode(before + w)
+
+    def closing(self, marks: str) -> bytes:
+        got = self.bare.get(marks)
+        if got is None:
+            got = self.encode(marks)
+            if len(marks) <= 4:
+                self.bare[marks] = got
+        return got
+
+
+def merging(tokenizer):
+    """The ids of one pre-tokenised word's bytes, by a leaner merge loop than the tokenizer's own, or None where the two could differ.
+
+    That loop merges the pair whose joint token has the lowest id. It equals the vocabulary's merges if ids rise with the order of the
+    merges and each token's own bytes merge to it: a token has then just one pair of parts that merging can reach."""
+    import tiktoken
+
+    model = json.loads(tokenizer.to_str())["model"]
+    if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    ids = model["vocab"]
+    order = [ids["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a byte-level vocabulary
+    hidden = [b for b in range(256) if b not in set(shown)]
+    byte = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
+    ranks = {}
+    for token, number in ids.items():
+        if token in added:
+            continue
+        own = tokenizer.model.tokenize(token)
+        if len(own) != 1 or own[0].id != number or any(c not in byte for c in token):
+            return None
+        ranks[bytes(byte[c] for c in token)] = number
+    lowest = [ids[c] for c in byte if c in ids]
+    if any(a >= b for a, b in zip(order, order[1:], strict=False)) or len(lowest) < 256 or (order and max(lowest) >= order[0]) or len(ranks) != 256 + len(order):
+        return None
+    return tiktoken.Encoding("merging", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
 
 class Encoder:
     """ids of a text as little-endian 32-bit bytes."""
@@ -67,11 +126,17 @@ class Encoder:
             return pack_ids[len(ids)](*ids) if len(ids) < len(pack_ids) else np.array(ids, "<u4").tobytes()
 
         pack_ids = [struct.Struct(f"<{n}I").pack for n in range(64)]
-        self.raw, self.words = raw, Words(raw)
+        merge = merging(tokenizer)
+
+        def letters(word: str) -> bytes:
+            ids = merge(word.encode())
+            return pack_ids[len(ids)](*ids) if len(ids) < len(pack_ids) else np.array(ids, "<u4").tobytes()
+
+        self.raw, self.words = raw, Words(raw, letters if merge else raw)
 
     def __call__(self, text: str) -> bytes:
         # almost all texts have safe spaces only, which a plain split finds
-        plain = not text.startswith(" ") and not text.endswith(" ") and UNSAFE.search(text) is None
+        plain = not text.startswith(" ") and not text.endswith(" ") and "  " not in text and UNSAFE.search(text) is None
         first, *rest = text.split(" ") if plain else SAFE.split(text)
         return self.raw(first) + b"".join(map(self.words.__getitem__, rest))
 

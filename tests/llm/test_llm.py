@@ -275,3 +275,14 @@ def test_pipeline(spark, docs, tmp_path):
     docs.where("doc_id is not null").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(n, n % 2, 0) for n in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).where("length < 1").count() == 0
+
+
+def test_encoder_equals_the_tokenizer():
+    """Words that are merged without the tokenizer, and all the ways in which a text falls apart, against whole texts."""
+    encode = packing.Encoder(packing.default_vocabulary())
+    assert packing.merging(encode.tokenizer) is not None
+    pick = random.Random(5)
+    parts = [*"ab1Zéüßñ²Ⅷ字́.,;:!?''\"-_ \n\t\r\x1c\x85s", "  ", "\n\n", " \n", "'s", "'ll", ".\n", "a.", "b,", " über", "Straße"]
+    for _ in range(5000):
+        text = "".join(pick.choice(parts) for _ in range(pick.randint(1, 14)))
+        assert np.frombuffer(encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)

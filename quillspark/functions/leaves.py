@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import text as X
 
-DEPTH = 4
+DEPTH = 32  # levels that are opened one by one; what is nested deeper goes through its JSON text
 
 
 def _kind(v: Column) -> Column:

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Terms that say nothing of a work.
-NOISE = "ebook book books scan scanned ocr libgen zlib epub pdf djvu mobi azw3 azw fb2 edition ed vol volume v2 v3 retail fixed clean text author title".split()
+NOISE = (
+    "ebook", "book", "books", "scan", "scanned", "ocr", "libgen", "zlib", "epub", "pdf", "djvu", "mobi", "azw3", "azw", "fb2", "edition", "ed", "vol", "volume", "v2", "v3", "retail", "fixed", "clean",
+    "text", "author", "title",
+)
 
 
 def none_if_empty(c: Column) -> Column:

@@ -1,7 +1,9 @@
 """Whole texts as numpy arrays: words, rolling hashes, sliding minima.
 
 Everything here works on one bounded chunk of documents (``chunks``), whose UTF-8 bytes lie one after the other.
-Hashes are computed mod 2**64 from a splitmix rule, so that every executor and every rerun agrees.
+Hashes are fixed rules, so that every executor and every rerun agrees. ``hashes`` and ``chained`` mix block by block and may
+stand for what they are made of. ``prefix`` with ``spans`` and ``grams`` are polynomials modulo 2**64, in which texts can be made to
+meet: they only choose anchors and fill filters, where a meeting costs time and no result.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 CHUNK_BYTES = 1 << 20
@@ -96,8 +99,63 @@ def spans(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((pre[end] - pre[start]) * powers(len(pre))[1][start] + (end - start).astype(U) * STEP)
 
 
+BLOCKS = 32  # of eight bytes; what is longer is hashed by xxh3
+KEEP = (U(1) << (np.arange(9, dtype=U) * U(8) & U(63))) - U(1)
+KEEP[8] = ~U(0)
+
+
+def eights(buf: np.ndarray, spare: int = 16) -> np.ndarray:
+    """The eight bytes from each place of buf as one little-endian number; past the end there are ``spare`` bytes of 255."""
+    padded = np.full(len(buf) + spare, 255, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+
+
+def hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64 bits of the bytes in each [s, e), mixed eight at a time."""
+    size = e - s
+    out = size.astype(U) * STEP
+    if not len(s):
+        return out
+    view, live, at = eights(buf), np.flatnonzero(size <= 8 * BLOCKS), 0
+    for x in np.flatnonzero(size > 8 * BLOCKS).tolist():
+        out[x] = xxhash.xxh3_64_intdigest(buf[s[x] : e[x]])
+    while len(live):
+        left = size[live] - at
+        block = view[s[live] + at] & KEEP[np.clip(left, 0, 8)]
+        out[live] = mix((out[live] ^ block) + STEP)
+        at += 8
+        live = live[left > 8]
+    return out
+
+
 def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    return spans(prefix(VALUE[buf]), s, e)
+    return hashes(buf, s, e)
+
+
+def chained(symbols: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all n consecutive symbols, mixed one after the other (also across documents; callers mask those)."""
+    at = len(symbols) - n + 1
+    if at <= 0:
+        return np.zeros(0, U)
+    out = np.full(at, n, U)
+    for k in range(n):
+        out ^= symbols[k : k + at]
+        out *= MIX1
+        out ^= out >> U(29)
+    return mix(out)
+
+
+def distinct_rows(key: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Order of (row, key) for rows in 0, 1, ...: one sort of numbers that hold the row and the upper bits of the key."""
+    bits = int(row.max()).bit_length() if len(row) else 0
+    both = (row.astype(U) << U(64 - bits) if bits else np.zeros(len(key), U)) | (key >> U(bits))
+    order = np.argsort(both)
+    near = both[order]
+    key = key[order]
+    if (key[1:] < key[:-1])[near[1:] == near[:-1]].any():  # keys that only their last bits set apart
+        order = order[np.lexsort((key, near))]
+    return order
 
 
 def grams(symbols: np.ndarray, n: int) -> np.ndarray:

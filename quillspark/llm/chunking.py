@@ -2,19 +2,20 @@
 
 A gear hash over the last 32 bytes cuts a text where it meets a mask, a harder one before the aimed length and an easier one
 after it (normalised chunking), so edits move boundaries only nearby. The fingerprint is the sorted set of chunk digests,
-each with its length; likeness is containment: the shared chunks' length over the longer set's.
+each with its length; likeness is containment: the length of the chunks that the other has too, over the own length.
 
-``neighbours`` pairs each document with the next in order of doc_id without a window over all rows: rows go to ranges of
-doc_id, each range is sorted and streamed, and the first rows of a range also go to the range before it.
+``neighbours`` pairs each document with the next in order of doc_id without a window over all rows: rows go to parts of
+that order, each part is sorted and streamed, and the first row of a part also goes to the part before it.
 
 Defined results: a null text is empty; an empty text has the empty fingerprint, like 1.0 to another empty one and 0.0 to
 others; null doc_ids come last; rows of one doc_id are in order of their text's hash; a lone row is its own next; an
-empty table gives an empty result. Other columns are not read.
+empty table gives an empty result. An input that isn't the same at each reading (limit, sample) is stored first. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .session import importable, partitions
+from .session import importable, partitions, slots, steady, tidied
 
 LEAST, AIM, MOST = 32, 96, 255
 HARD, EASY = A.U(0xFE000000), A.U(0xF8000000)  # 7 and 5 bits
 GEAR = (A.VALUE >> A.U(32)).astype(np.uint32)
+ROWS = 64  # of which Python holds the texts at a time, besides those of a flush
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -72,15 +74,16 @@ def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
         # a cut is at least LEAST bytes from the start of its text, so no hash reaches back into another
         end, first = ends(gear(buf), off)
         start = np.concatenate([[0], end[:-1]])
-        digest = (A.spans(A.prefix(A.VALUE[buf]), start, end) << A.U(8)) | (end - start).astype(A.U)
+        digest = (A.hashes(buf, start, end) << A.U(8)) | (end - start).astype(A.U)
         out += [np.unique(digest[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
     return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    total = max(int((a & A.U(255)).sum()), int((b & A.U(255)).sum()))
+    """Containment: which share of a's length is in chunks that b has too."""
+    total = int((a & A.U(255)).sum())
     if not total:
-        return 1.0
+        return float(not len(b))
     return float((np.intersect1d(a, b, assume_unique=True) & A.U(255)).sum()) / total
 
 
@@ -88,53 +91,85 @@ def text_of(digests: np.ndarray) -> str:
     return digests.astype(">u8").tobytes().hex()
 
 
-def ranged(docs: DataFrame, parts: int) -> DataFrame:
-    """doc_id, text, and the columns by which neighbours() streams: part, place, own."""
-    place = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = sorted({x for x in rows.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)})
-    cuts = [int(x) for x in cuts]
-    # as many cuts as partitions: the part is the number of cuts up to the doc_id
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c <= F.col("doc_id"))))
-    rows = rows.withColumn("part", part)
-    least = {r.part: r.id for r in rows.groupBy("part").agg(F.min("doc_id").alias("id")).collect()}  # one row for each part
-    order = sorted(least)
-    before = {p: order[at - 1] for at, p in enumerate(order)}
-    if not order:
-        return rows.withColumns({"place": place, "own": F.lit(True)})
-    table = F.create_map(*(F.lit(x) for p in order for x in (p, before[p])))
-    first = F.create_map(*(F.lit(x) for p in order for x in (p, least[p] if least[p] is not None else -1)))
-    is_first = (F.col("doc_id") == first[F.col("part")]) | F.col("doc_id").isNull()
-    copies = F.when(is_first, F.array(F.struct(F.col("part"), F.lit(True).alias("own")), F.struct(table[F.col("part")].alias("part"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.col("part"), F.lit(True).alias("own"))))
-    return rows.withColumn("copy", F.explode(copies)).select("doc_id", "text", F.col("copy.part").alias("part"), F.col("copy.own").alias("own"), place.alias("place"))
+KEY = ("absent", "doc_id", "tie")
+PER_PART = 40  # rows drawn for each part, to cut the order evenly
+
+
+def dealt(docs: DataFrame, parts: int) -> DataFrame | None:
+    """part, slot, own, KEY, text: all rows in parts of the order of KEY; what a part begins with also goes, not own, to the part before.
+
+    A part begins with the key of a row that was drawn, so which rows are first is known without asking. Rows of one key are alike; where
+    they are so many that parts begin with the same key, they are dealt to these in turn. Of the rows of such a key each task
+    sends one to the parts before. None if there are no rows."""
+    spark = docs.sparkSession
+    rows = steady(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    rows = rows.select(F.col("doc_id").isNull().cast("int").alias("absent"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    all_of = rows.agg(F.min(F.struct(*KEY)).alias("least"), F.count("*").alias("count")).head()
+    if not all_of["count"]:
+        return None
+    least, share = all_of.least, PER_PART * parts / all_of["count"]
+    drawn = sorted(tuple(r) for r in rows.select(*KEY).where(F.rand(7) < share).collect()) or [tuple(least)]  # some for each partition
+    cuts = sorted([tuple(least), *(drawn[len(drawn) * p // parts] for p in range(1, parts))])
+    slot = slots(spark, parts)
+
+    def run(batches):
+        turn, sent = 0, set()
+        for batch in batches:
+            to, again, before = [], [], []
+            for at, key in enumerate(zip(*(batch.column(c).to_pylist() for c in KEY), strict=True)):
+                low, high = bisect_left(cuts, key), bisect_right(cuts, key)
+                if low == high:
+                    to.append(high - 1)
+                    continue
+                to.append(low + turn % (high - low))
+                turn += 1
+                if key not in sent:
+                    sent.add(key)
+                    for p in range(low - 1, high - 1):
+                        again.append(at)
+                        before.append(p % len(cuts))
+            out = batch.take(pa.array([*range(len(to)), *again], pa.int32()))
+            own = [True] * len(to) + [False] * len(again)
+            to += before
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([slot[p] for p in to], pa.int32()), pa.array(own), *out.columns], ["part", "slot", "own", *out.schema.names])
+
+    return rows.mapInArrow(tidied(run), "part int, slot int, own boolean, absent int, doc_id long, tie long, text string")
 
 
 def neighbours(docs: DataFrame, run, schema: str) -> DataFrame:
-    """run((doc_id, text) rows in order, each with the next one's text) over ranges of doc_id."""
-    importable(docs.sparkSession)
-    parts = max(2, partitions(docs.sparkSession))
+    """run((doc_id, text) rows in order, each with the next one's text) over parts of the order of doc_id."""
+    spark = docs.sparkSession
+    importable(spark)
+    parts = max(2, partitions(spark))
+    rows = dealt(docs, parts)
+    if rows is None:
+        return spark.createDataFrame([], schema)
 
     def streamed(batches):
         def rows():
             for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("part", "own", "doc_id", "text")), strict=True)
+                for at in range(0, batch.num_rows, ROWS):
+                    few = batch.slice(at, ROWS)
+                    yield from zip(*(few.column(c).to_pylist() for c in ("part", "own", "absent", "doc_id", "text")), strict=True)
 
         def paired():
             held = None
-            for part, own, doc_id, text in rows():
-                if held and held[0] == part:
+            for part, own, absent, doc_id, text in rows():
+                if held:
+                    if held[0] != part:
+                        raise RuntimeError("the input has changed since its order was cut")
                     yield held[1], held[2], text
-                    held = (part, doc_id, text) if own else None
-                elif own:
-                    held = (part, doc_id, text)
+                held = (part, None if absent else doc_id, text) if own else None
+            if held:
+                raise RuntimeError("the input has changed since its order was cut")
 
         yield from run(paired())
 
-    rows = ranged(docs, parts).repartition(parts, "part").sortWithinPartitions("part", F.desc("own"), "place")
-    return rows.select("part", "own", "doc_id", "text").mapInArrow(streamed, schema)
+    ordered = rows.repartition(parts, "slot").sortWithinPartitions("part", F.desc("own"), *KEY)
+    return ordered.select("part", "own", "absent", "doc_id", "text").mapInArrow(tidied(streamed), schema)
 
 
-def fingerprinted(pairs, limit: int = 1 << 22):
+def fingerprinted(pairs, limit: int = 1 << 19):
     def flush(rows):
         edited = []
         for _, text, after in rows:

@@ -1,8 +1,9 @@
 """Bloom filters of a fixed size over keys that occur often enough, built from all rows.
 
-A slice of the filter belongs to each bucket of keys: every task sends its distinct keys with counts, packed, to their buckets;
-a bucket sums them and sets the bits of its slice. The driver sees the slices only, ``BITS`` in all whatever the
-corpus. A fuller filter passes more keys and costs time; it never loses one.
+A range of keys belongs to each bucket, and with it a slice of the filter. Every task sorts its distinct keys with their counts and sends
+them, as differences of their upper ``KEY_BITS``, to their buckets; a bucket sums them and sets the bits of its slice. The driver sees
+the slices only, ``BITS`` in all whatever the corpus. Keys that agree in the upper bits, or a fuller filter, pass more keys and cost
+time; none is ever lost.
 """
 
 from __future__ import annotations
@@ -12,75 +13,99 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import arrays as A
-from .session import importable, partitions
+from .session import importable, partitions, tidied
 
 BITS, HOT_BITS = 1 << 27, 1 << 21
-HELD_KEYS = 1 << 20
+HELD_KEYS = 1 << 21
+KEY_BITS = 36
+COUNT_BITS = 64 - KEY_BITS
 PROBES = tuple(A.mix(np.arange(11, 15, dtype=A.U) * A.STEP) | A.U(1))
+PACKED = "bucket int, start long, size int, steps binary, many binary, counts binary"
+CODEC = pa.Codec("zstd", 1)
 
 
 class Filter:
-    def __init__(self, buckets: int, size: int, bits: np.ndarray):
-        self.buckets, self.size, self.bits = buckets, size, bits
+    """held: how many occurrences its keys have in all."""
 
-    def __contains__(self, key: int) -> bool:
-        return bool(self.test(np.array([key], A.U))[0])
+    def __init__(self, buckets: int, size: int, bits: np.ndarray, held: int = 0):
+        self.buckets, self.size, self.bits, self.held = buckets, size, bits, held
 
     def test(self, keys: np.ndarray) -> np.ndarray:
-        base = (keys % A.U(self.buckets)) * A.U(self.size)
+        short = keys >> A.U(COUNT_BITS)
+        base = bucket_of(short, self.buckets) * A.U(self.size)
+        mixed = A.mix(short)
         out = np.ones(len(keys), bool)
         for probe in PROBES:
-            at = base + ((keys * probe) >> A.U(32)) % A.U(self.size)
+            at = base + ((mixed * probe) >> A.U(32)) % A.U(self.size)
             out &= (self.bits[(at >> A.U(3)).astype(np.int64)] >> (at & A.U(7)).astype(np.uint8)) & 1 > 0
         return out
 
 
-def filled(keys: np.ndarray, size: int) -> bytes:
-    bits = np.zeros(size, bool)
+def bucket_of(short: np.ndarray, buckets: int) -> np.ndarray:
+    return (short * A.U(buckets)) >> A.U(KEY_BITS)
+
+
+def filled(short: np.ndarray, size: int) -> bytes:
+    bits, mixed = np.zeros(size, bool), A.mix(short)
     for probe in PROBES:
-        bits[(((keys * probe) >> A.U(32)) % A.U(size)).astype(np.int64)] = True
+        bits[(((mixed * probe) >> A.U(32)) % A.U(size)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _packed(keys: np.ndarray, counts: np.ndarray, buckets: int):
-    at = (keys % A.U(buckets)).astype(np.int64)
-    order = np.argsort(at, kind="stable")
-    keys, counts = keys[order], counts[order]
-    cut = np.searchsorted(at[order], np.arange(buckets + 1))
+def _packed(short: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """short: sorted upper bits, with repeats. A row for each bucket: the distinct ones' differences, byte by byte, and counts above 1."""
+    first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
+    counts = np.diff(np.append(first, len(short)))
+    keys = short[first]
+    cuts = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
     rows = []
-    for b in range(buckets):
-        k, c = keys[cut[b] : cut[b + 1]], counts[cut[b] : cut[b + 1]]
-        if len(k):
-            once = c == 1
-            rows.append((b, k[once].tobytes(), k[~once].tobytes(), c[~once].astype(np.uint32).tobytes()))
-    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate(kinds)], ["bucket", "ones", "many", "counts"])
-
-
-def counted(docs: DataFrame, keys_of, least: int = 1) -> DataFrame:
-    """Packed distinct keys with counts of each task's rows. keys_of(batch): arrays of keys. Keys that a run of rows has fewer than
-    ``least`` times are left out of it."""
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        k, c = keys[cuts[b] : cuts[b + 1]], counts[cuts[b] : cuts[b + 1]]
+        steps = np.diff(k).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : (KEY_BITS + 7) // 8]
+        many = np.flatnonzero(c > 1)
+        rows.append((b, int(k[0]), len(k), CODEC.compress(steps.T.tobytes(), asbytes=True), many.astype(np.uint32).tobytes(), c[many].astype(np.uint32).tobytes()))
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate(kinds)], [x.split()[0] for x in PACKED.split(", ")])
+
+
+def _unpacked(start: int, size: int, steps: bytes, many: bytes, counts: bytes) -> np.ndarray:
+    """Upper bits and count of each key, in one number."""
+    wide = (KEY_BITS + 7) // 8
+    out = np.empty(size, A.U)
+    if size > 1:
+        raw = np.frombuffer(CODEC.decompress(steps, wide * (size - 1), asbytes=True), np.uint8).reshape(wide, -1)
+        step = np.zeros((size - 1, 8), np.uint8)
+        step[:, :wide] = raw.T
+        np.cumsum(step.view("<u8").ravel(), out=out[1:])
+        out[1:] += A.U(start)
+    out[0] = start
+    out <<= A.U(COUNT_BITS)
+    count = np.ones(size, A.U)
+    count[np.frombuffer(many, np.uint32)] = np.frombuffer(counts, np.uint32)
+    return out | count
+
+
+def counted(docs: DataFrame, keys_of) -> DataFrame:
+    """Packed distinct keys with counts of each task's rows. keys_of(batch): arrays of keys."""
     buckets = partitions(docs.sparkSession)
 
     def run(batches):
-        held, size = [], 0
-
-        def flush():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            enough = counts >= least
-            return _packed(keys[enough], counts[enough], buckets)
-
+        held, size = np.empty(HELD_KEYS, A.U), 0
         for batch in batches:
             for keys in keys_of(batch):
-                held.append(keys)
-                size += len(keys)
-                if size >= HELD_KEYS:
-                    yield flush()
-                    held, size = [], 0
+                at = 0
+                while at < len(keys):
+                    some = keys[at : at + HELD_KEYS - size]
+                    np.right_shift(some, A.U(COUNT_BITS), out=held[size : size + len(some)])
+                    size, at = size + len(some), at + len(some)
+                    if size == HELD_KEYS:
+                        held.sort()
+                        yield _packed(held, buckets)
+                        size = 0
         if size:
-            yield flush()
+            yield _packed(np.sort(held[:size]), buckets)
 
-    return docs.mapInArrow(run, "bucket int, ones binary, many binary, counts binary")
+    return docs.mapInArrow(tidied(run), PACKED)
 
 
 def built(packed: DataFrame, hot: int, common: int = 2, bits: int = BITS) -> tuple[Filter, Filter | None]:
@@ -89,23 +114,30 @@ def built(packed: DataFrame, hot: int, common: int = 2, bits: int = BITS) -> tup
     importable(spark)
     buckets = partitions(spark)
     size, hot_size = max(64, bits // buckets // 64 * 64), max(64, HOT_BITS // buckets // 64 * 64)
+    most = A.U((1 << COUNT_BITS) - 1)
 
     def run(rows: pa.Table) -> pa.Table:
-        part = lambda name, kind: np.frombuffer(b"".join(rows[name].to_pylist()), kind)
-        ones, many = part("ones", A.U), part("many", A.U)
-        keys, counts = np.concatenate([ones, many]), np.concatenate([np.ones(len(ones), np.int64), part("counts", np.uint32).astype(np.int64)])
-        order = np.argsort(keys)
-        keys = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        total = np.add.reduceat(counts[order], first)
-        keys = keys[first]
-        very = keys[total >= hot]
-        return pa.table({"bucket": pa.array([rows["bucket"][0].as_py()], pa.int32()), "shared": pa.array([filled(keys[total >= common], size)], pa.binary()), "hot": pa.array([filled(very, hot_size) if len(very) else None], pa.binary())})
-
-    rows = packed.groupBy("bucket").applyInArrow(run, "bucket int, shared binary, hot binary").collect()
+        names = [x.split()[0] for x in PACKED.split(", ")][1:]
+        parts = [_unpacked(*(x.as_py() for x in row)) for row in zip(*(rows[n] for n in names), strict=True)]
+        both = np.concatenate(parts)
+        del parts
+        both.sort()
+        short = both >> A.U(COUNT_BITS)
+        first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
+        short = short[first]
+        both &= most
+        total = np.add.reduceat(both, first)
+        very = short[total >= hot]
+        columns = {
+            "bucket": pa.array([rows["bucket"][0].as_py()], pa.int32()), "held": pa.array([int(total[total >= common].sum())], pa.int64()),
+            "shared": pa.array([filled(short[total >= common], size)], pa.binary()), "hot": pa.array([filled(very, hot_size) if len(very) else None], pa.binary()),
+        }
+        return pa.table(columns)
+
+    rows = packed.groupBy("bucket").applyInArrow(tidied(run), "bucket int, held long, shared binary, hot binary").collect()
     shared, very = np.zeros(buckets * size // 8, np.uint8), np.zeros(buckets * hot_size // 8, np.uint8)
     for r in rows:
         shared[r.bucket * size // 8 :][: size // 8] = np.frombuffer(r.shared, np.uint8)
         if r.hot:
             very[r.bucket * hot_size // 8 :][: hot_size // 8] = np.frombuffer(r.hot, np.uint8)
-    return Filter(buckets, size, shared), Filter(buckets, hot_size, very) if any(r.hot for r in rows) else None
+    return Filter(buckets, size, shared, sum(r.held for r in rows)), Filter(buckets, hot_size, very) if any(r.hot for r in rows) else None

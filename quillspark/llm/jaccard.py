@@ -2,28 +2,33 @@
 
 A document is its set of distinct word shingles (hashes). Sets that are equal form a class at once; classes are joined.
 
-Order: shingles that many documents have come last, then by hash. Two sets of the wanted similarity share at least two
-shingles of their prefixes in this order (of n - ceil(0.75 n) + 2), and one of the prefixes shorter by one.
+Order: shingles that one document only has come first, those that many have last, then by hash. Two sets of the wanted similarity share
+at least two shingles of their prefixes in this order (of n - ceil(0.75 n) + 2), and one of the prefixes shorter by one. Which
+shingles are alone or common is told by filters of fixed size over the counts of all shingles (see ``filters``), one rule for all sets.
 
 - small sets (light): all subsets of two shingles of the longer prefix are enumerated, and equal subsets meet;
 - large sets (heavy): the inverted lists of the shorter prefix's shingles are scanned; small sets that are near the boundary in size
   stand in these lists too;
 - the boundary is the size up to which enumeration costs less in all, from counts over the whole corpus.
 
-Prefix shingles that one document only has are dropped before, by a filter of fixed size (see ``filters``).
+Shingles that are alone can't be shared, so prefixes go on without them, and sets whose prefixes are empty then have no links. Of the
+others the shared shingles are written once, with the size of the whole set.
 
-Meetings are verified exactly on whole sets, those that parities, a bit or two for each shingle, don't rule out. A list of n sets isn't n * n / 2 pairs: first each set meets the first and
+Meetings are verified exactly on these, those that parities, a bit or two for each shingle, don't rule out. A list of n sets isn't n * n / 2 pairs: first each set meets the first and
 a drawn one of each of its lists, and what these links connect needs no further proof; only sets of a list that are still in different
 components are then compared with each other, in lists of more than ``LONG_LIST`` by their differences from a pivot (by_difference).
 
 Defined results: a null or wordless text has no shingles and its own doc_id; fewer words than a shingle make one; a null doc_id is larger
 than all others, and the component of none but such is null; repeated rows are of one class; an empty table gives an empty result.
+An input that isn't the same at each reading is stored first. Other columns than doc_id and text are not read; ``one_of_each`` keeps all
+columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,80 +36,73 @@ from . import arrays as A
 from .components import components
 from .filters import Filter, built, counted
 from .repeats import LAST
-from .session import importable, stored
+from .session import importable, steady, stored, tidied
 
 SHINGLE = 5
 PERCENT = 75
-HOT, HOT_RUN = 200, 3
-LARGEST_SMALL = 48
-LONG_LIST = 256  # sets; longer lists are compared by differences from a pivot
+HOT = 200
+SCAN = 4  # rows that a scanned posting costs: itself, two meetings, and a share in what is left to compare; an enumerated subset costs one
+LONG_LIST = 64  # sets; longer lists are compared by differences from a pivot
 DRAWN = 64  # members of a family that make its pivot, about
 PARITY_BITS = 1024
 BROADCAST_ROWS = 100_000  # of 24 bytes
-STATE = "doc_key long, n long, class binary, tokens array<long>, singles int, parity binary"
+STATE = "doc_key long, n long, class binary, tokens array<long>, singles int, parity binary, shingles binary"
 
 
 class Sets:
-    """The distinct shingles of a chunk's documents in order of (hot, hash), and each document's first (one more entry)."""
+    """The distinct shingles of a chunk's documents in order of their hashes, and each document's first (one more entry)."""
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray, hot: Filter | None, shingle: int = SHINGLE):
+    def __init__(self, buf: np.ndarray, off: np.ndarray, shingle: int = SHINGLE):
         buf = A.LOWER[buf]
         s, e, first = A.words(buf, off)
         hashes = A.word_hashes(buf, s, e)
         length = np.diff(first)
-        short = np.flatnonzero((length > 0) & (length < shingle))
-        gram = A.grams(hashes, shingle)
+        gram = A.chained(hashes, shingle)
         valid = np.ones(len(gram), bool)
         for end in first[1:-1]:
             valid[max(0, end - shingle + 1) : end] = False
         at = np.flatnonzero(valid)
         doc = np.searchsorted(first, at, "right") - 1
         keys = gram[at]
-        if len(short):
-            keys = np.concatenate([keys, A.spans(A.prefix(hashes), first[short], first[short + 1])])
-            doc = np.concatenate([doc, short])
-        order = np.lexsort((keys, doc))
+        for few in range(1, shingle):  # whole sequences of documents below a shingle
+            short = np.flatnonzero(length == few)
+            if len(short):
+                keys = np.concatenate([keys, A.chained(hashes, few)[first[short]]])
+                doc = np.concatenate([doc, short])
+        order = A.distinct_rows(keys, doc)
         keys, doc = keys[order], doc[order]
         if len(keys):
             new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])])
             keys, doc = keys[new], doc[new]
-        self.plain, self.first = keys, np.searchsorted(doc, np.arange(len(off)))
-        if hot is not None and len(keys) and (very := hot.test(keys)).any():
-            keys = keys[np.lexsort((keys, very, doc))]
-        self.keys, self.doc = keys, doc
+        self.keys, self.doc, self.first = keys, doc, np.searchsorted(doc, np.arange(len(off)))
 
-    def prefixes(self) -> np.ndarray:
-        """Which shingles are in the longer prefix."""
+    def prefixes(self, shared: Filter, hot: Filter | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(in_both, prefix, of, single): which shingles others may have; those of the longer prefixes among them, in order; of which
+        document each is; and whether it is in the shorter prefix."""
         n = np.diff(self.first)
         reach = np.minimum(n, n - -(-PERCENT * n // 100) + 2)
-        return np.arange(len(self.keys)) < (self.first[:-1] + reach)[self.doc]
+        in_both = shared.test(self.keys)
+        alone = n - A.per_row(in_both.astype(np.int64), self.first)
+        # the shared ones of documents whose prefix holds more than what is alone
+        at = np.flatnonzero(in_both & (alone < reach)[self.doc])
+        keys, doc = self.keys[at], self.doc[at]
+        if hot is not None and len(keys):
+            late = hot.test(keys)
+            order = np.argsort(doc * 2 + late, kind="stable")
+            keys, doc = keys[order], doc[order]
+        place = alone[doc] + np.arange(len(doc)) - np.searchsorted(doc, np.arange(len(n)))[doc]
+        ahead = place < reach[doc]
+        return in_both, keys[ahead], doc[ahead], (place < reach[doc] - 1)[ahead]
+
+
+def shingle_filters(texts: DataFrame, hot: int = HOT) -> tuple[Filter, Filter | None]:
+    """Of the shingles that two documents have or more, and of those that ``hot`` have."""
 
-    def classes(self) -> np.ndarray:
-        """128 bits of each document's set, two columns."""
-        out = np.zeros((len(self.first) - 1, 2), A.U)
-        some = np.flatnonzero(self.first[1:] > self.first[:-1])
-        if len(some):
-            start = self.first[:-1][some]
-            out[some, 0] = A.spans(A.prefix(self.plain), start, self.first[1:][some])
-            out[some, 1] = np.bitwise_xor.reduceat(A.mix(self.plain ^ A.MIX1), start)
-        return out
-
-
-def hot_filter(texts: DataFrame, hot: int = HOT) -> Filter | None:
-    def keys(batch):
-        for _, _, buf, off in A.chunks(batch.column("text")):
-            yield Sets(buf, off, None).plain
-
-    return built(counted(texts, keys, HOT_RUN), hot, 1 << 62, 1)[1]
-
-
-def shared_filter(texts: DataFrame, hot: Filter | None) -> Filter:
     def keys(batch):
         for _, _, buf, off in A.chunks(batch.column("text")):
-            sets = Sets(buf, off, hot)
-            yield sets.keys[sets.prefixes()]
+            yield Sets(buf, off).keys
 
-    return built(counted(texts, keys), 1 << 62)[0]
+    return built(counted(texts, keys), hot)
 
 
 def parity(keys: np.ndarray) -> bytes:
@@ -122,50 +120,41 @@ def apart(x: bytes, y: bytes) -> int:
     return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
 
 
-def states(docs: DataFrame, hot: Filter | None, shared: Filter) -> DataFrame:
+def states(docs: DataFrame, shared: Filter, hot: Filter | None) -> DataFrame:
     """A row for each document: n, and for those that may link: its class, and once in a batch for each class the prefix
-    shingles that others have too and its parity."""
+    shingles and all shingles that others may have too, and its parity."""
 
     def run(batches):
         for batch in batches:
             ids, seen = batch.column("doc_key").to_numpy(), set()
             for i, j, buf, off in A.chunks(batch.column("text")):
-                sets = Sets(buf, off, hot)
-                ahead = sets.prefixes()
-                ahead[ahead] = shared.test(sets.keys[ahead])
-                at = np.flatnonzero(ahead)
-                cut = np.searchsorted(at, sets.first)
-                n = np.diff(sets.first)
-                single = n - -(-PERCENT * n // 100) + 1
-                name_of = sets.classes()
-                names, tokens, singles, parities = [], [], [], []
-                for d in range(j - i):
-                    some = at[cut[d] : cut[d + 1]]
-                    if not len(some):
-                        names.append(None), tokens.append(None), singles.append(None), parities.append(None)
-                        continue
-                    own = sets.plain[sets.first[d] : sets.first[d + 1]]
-                    name = name_of[d].tobytes()
-                    names.append(name)
-                    fresh = name not in seen
-                    seen.add(name)
-                    tokens.append(sets.keys[some].view(np.int64) if fresh else None)
-                    singles.append(int((some - sets.first[d] < single[d]).sum()) if fresh else None)
-                    parities.append(parity(own) if fresh else None)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), pa.array(n), pa.array(names, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(singles, pa.int32()), pa.array(parities, pa.binary())], ["doc_key", "n", "class", "tokens", "singles", "parity"])
-
-    return docs.select("doc_key", "text").mapInArrow(run, STATE)
+                sets = Sets(buf, off)
+                in_both, prefix, of, single = sets.prefixes(shared, hot)
+                cut = np.searchsorted(of, np.arange(j - i + 1))
+                columns = names, tokens, singles, parities, shingles = [None] * (j - i), [None] * (j - i), [None] * (j - i), [None] * (j - i), [None] * (j - i)
+                for d in np.unique(of).tolist():
+                    own = sets.keys[sets.first[d] : sets.first[d + 1]]
+                    names[d] = name = xxhash.xxh3_128_digest(own)
+                    if name not in seen:
+                        seen.add(name)
+                        tokens[d] = prefix[cut[d] : cut[d + 1]].view(np.int64)
+                        singles[d] = int(single[cut[d] : cut[d + 1]].sum())
+                        parities[d] = parity(own)
+                        shingles[d] = own[in_both[sets.first[d] : sets.first[d + 1]]].tobytes()
+                kinds = (pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), pa.array(np.diff(sets.first)), *map(pa.array, columns, kinds)], [x.split()[0] for x in STATE.split(", ")])
+
+    return docs.select("doc_key", "text").mapInArrow(tidied(run), STATE)
 
 
 def boundary(sets: DataFrame) -> int:
-    """The size up to which enumerating subsets costs less than scanning lists."""
-    singles = sets.select(F.explode(F.slice("tokens", 1, F.greatest("singles", F.lit(1)))).alias("t")).groupBy("t").agg(F.count("*").alias("c"))
-    mean = singles.agg((F.sum(F.col("c") * F.col("c")) / F.sum("c")).alias("m")).head().m or 1.0
-    k = F.size("tokens")
-    by_size = sets.where(F.col("n") <= LARGEST_SMALL).groupBy("n").agg(F.sum(k * (k - 1) / 2).alias("subsets"), F.sum("singles").alias("lists")).orderBy("n").collect()
+    """The size up to which enumerating subsets costs fewer rows than scanning lists. Sizes are summed up in steps of a tenth."""
+    k = F.size("tokens").cast("double")
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.1)))
+    by_size = sets.groupBy(step.alias("step")).agg(F.max("n").alias("n"), F.sum(k * (k - 1) / 2).alias("subsets"), F.sum("singles").alias("lists")).orderBy("n").collect()
     best, gain, total = 1, 0.0, 0.0
-    for r in by_size:  # one row for each size up to LARGEST_SMALL
-        total += r.lists * mean - r.subsets
+    for r in by_size:  # some hundred rows, whatever the sizes
+        total += SCAN * r.lists - r.subsets
         if total > gain:
             best, gain = r.n, total
     return best
@@ -181,8 +170,8 @@ def postings(sets: DataFrame, small: int) -> DataFrame:
 
 
 def met(posts: DataFrame) -> DataFrame:
-    """Postings of lists with two sets or more, each with the list's first set and a drawn one."""
-    lists = posts.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min(F.struct("rid", "n")).alias("one"), F.min(F.struct(F.xxhash64("rid", "k1").alias("draw"), "rid", "n")).alias("two")).where("c > 1")
+    """Postings of lists with two sets or more, each with the list's first set and a drawn one, which lists of the same sets have in common."""
+    lists = posts.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min(F.struct("rid", "n")).alias("one"), F.min(F.struct(F.xxhash64("rid").alias("draw"), "rid", "n")).alias("two")).where("c > 1")
     near = lists.select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), "c", F.col("one.rid").alias("p1"), F.col("one.n").alias("n1"), F.col("two.rid").alias("p2"), F.col("two.n").alias("n2"))
     return posts.join(near, (F.col("k1") == F.col("l1")) & F.col("k2").eqNullSafe(F.col("l2"))).drop("l1", "l2")
 
@@ -204,60 +193,34 @@ def close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     left, right = sets.select(F.col("rid").alias("a"), "n", F.col("parity").alias("x")), sets.select(F.col("rid").alias("b"), F.col("n").alias("m"), F.col("parity").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def bodies(texts: DataFrame, needed: DataFrame) -> DataFrame:
-    """class, shingles: the whole sets of the classes in needed, and of few others, from the texts; once in a batch."""
-
-    def keys(batch):
-        yield np.frombuffer(b"".join(batch.column("class").to_pylist()), A.U)[::2]
-
-    wanted = built(counted(needed.select("class"), keys), 1 << 62, 1)[0]
-
-    def run(batches):
-        for batch in batches:
-            seen: set[bytes] = set()
-            for _, _, buf, off in A.chunks(batch.column("text")):
-                sets = Sets(buf, off, None)
-                name_of, found = sets.classes(), []
-                for d in np.flatnonzero(wanted.test(name_of[:, 0])).tolist():
-                    if (name := name_of[d].tobytes()) not in seen:
-                        seen.add(name)
-                        found.append((name, sets.plain[sets.first[d] : sets.first[d + 1]].tobytes()))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], pa.binary()) for n in (0, 1)], ["class", "shingles"])
-
-    return texts.mapInArrow(run, "class binary, shingles binary")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(tidied(run), "a long, b long")
 
 
-def wholes(ids: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """rid, shingles for the rids of ids."""
-    needed = stored(sets.select("rid", "class").join(ids, "rid", "left_semi"))
+def wholes(ids: DataFrame, sets: DataFrame, state: DataFrame) -> DataFrame:
+    """rid, n, shingles (the shared ones, sorted) for the rids of ids."""
+    needed = stored(sets.select("rid", "n", "class").join(ids, "rid", "left_semi"))
     named = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    return bodies(texts, needed).join(named, "class").groupBy("rid").agg(F.first("shingles").alias("shingles"))
+    return state.where("shingles is not null").select("class", "shingles").join(named, "class").groupBy("rid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of stored pairs (a, b) those whose whole sets are similar. Only sets that stand in a pair after close() are made and moved."""
+def verified(pairs: DataFrame, sets: DataFrame, state: DataFrame) -> DataFrame:
+    """Of stored pairs (a, b) those whose whole sets are similar. Only sets that stand in a pair after close() are moved."""
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column("x"), batch.column("y")
             keep = []
-            for x, y in zip(a, b, strict=True):
-                x, y = np.frombuffer(x.as_buffer(), A.U), np.frombuffer(y.as_buffer(), A.U)
-                both = np.intersect1d(x, y, assume_unique=True).size
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            for x, y, n in zip(batch.column("x"), batch.column("y"), batch.column("n").to_pylist(), strict=True):
+                both = np.intersect1d(np.frombuffer(x.as_buffer(), A.U), np.frombuffer(y.as_buffer(), A.U), assume_unique=True).size
+                keep.append(100 * both >= PERCENT * (n - both))
             if keep:
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     pairs = stored(close(pairs, sets))
     if pairs.isEmpty():
         return pairs
-    whole = wholes(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct(), sets, texts)
-    left, right = whole.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), whole.select(F.col("rid").alias("b"), F.col("shingles").alias("y"))
-    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    whole = wholes(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct(), sets, state)
+    left, right = whole.select(F.col("rid").alias("a"), F.col("n").alias("m"), F.col("shingles").alias("x")), whole.select(F.col("rid").alias("b"), "n", F.col("shingles").alias("y"))
+    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("n") + F.col("m")).alias("n"), "x", "y").mapInArrow(tidied(run), "a long, b long"))
 
 
 def paired(rows: DataFrame, key: list[str], other: DataFrame | None = None) -> DataFrame:
@@ -273,24 +236,25 @@ def paired(rows: DataFrame, key: list[str], other: DataFrame | None = None) -> D
 
 def differences(own: DataFrame, hot: Filter | None) -> DataFrame:
     """Of rows (f, rid, n, root, shingles, pivot): the shingles that only one of set and pivot has, those of the pivot and hot ones
-    last, their number, and score: two sets are similar where the scores and 2 * (100 + PERCENT) for each difference they share
-    add up to 0 or more."""
+    last, without those that are alone, which would be the first; the number of all of them, and score: two sets are similar where the
+    scores and 2 * (100 + PERCENT) for each difference they share add up to 0 or more."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for x, p in zip(batch.column("shingles"), batch.column("pivot"), strict=True):
+            for x, p, n in zip(batch.column("shingles"), batch.column("pivot"), batch.column("n").to_pylist(), strict=True):
                 x, p = np.frombuffer(x.as_buffer(), A.U), np.frombuffer(p.as_buffer(), A.U) if p.is_valid else np.zeros(0, A.U)
                 extra, lacking = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
                 late = hot.test(extra) if hot is not None and len(extra) else np.zeros(len(extra), bool)
                 keys = np.concatenate([extra, lacking])
                 late = np.concatenate([late, np.ones(len(lacking), bool)])
-                rows.append((len(keys), (100 - PERCENT) * len(x) - (100 + PERCENT) * len(keys), keys[np.lexsort((keys, late))].tobytes()))
+                size = n - len(x) + len(keys)
+                rows.append((size, (100 - PERCENT) * n - (100 + PERCENT) * size, keys[np.lexsort((keys, late))].tobytes()))
             if rows:
                 size, score, delta = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("f", "rid", "n", "root")), pa.array(size, pa.int64()), pa.array(score, pa.int64()), pa.array(delta, pa.binary())], ["f", "rid", "n", "root", "size", "score", "delta"])
 
-    return own.select("f", "rid", "n", "root", "shingles", "pivot").mapInArrow(run, "f long, rid long, n long, root long, size long, score long, delta binary")
+    return own.select("f", "rid", "n", "root", "shingles", "pivot").mapInArrow(tidied(run), "f long, rid long, n long, root long, size long, score long, delta binary")
 
 
 SHORT_OUT, SHORT_IN, LONG_OUT = 0, 1, 2
@@ -308,18 +272,19 @@ def difference_posts(ranked: DataFrame) -> DataFrame:
             share = np.maximum(1, -((score + top) // unit))
             long = np.where(~inside & (share <= widest), size - share + 1, 0)
             delta = batch.column("delta")
+            kept = np.array([len(d.as_buffer()) // 8 for d in delta], np.int64)
             for kinds, cut in ((np.where(inside, SHORT_IN, SHORT_OUT), short), (np.full(len(size), LONG_OUT), long)):
-                cut = np.clip(cut, 0, size)
+                cut = np.clip(cut - (size - kept), 0, kept)  # the first of all are alone
                 at = np.repeat(np.arange(len(cut)), cut)
                 if len(at):
                     e = np.concatenate([np.frombuffer(delta[d].as_buffer(), np.int64)[: cut[d]] for d in np.flatnonzero(cut).tolist()])
                     columns = [batch.column(c).take(pa.array(at)) for c in ("f", "rid", "n", "root")]
                     yield pa.RecordBatch.from_arrays([pa.array(kinds[at], pa.int32()), pa.array(e), *columns], ["kind", "e", "f", "rid", "n", "root"])
 
-    return ranked.select("f", "rid", "n", "root", "size", "score", "delta", "top", "widest").mapInArrow(run, "kind int, e long, f long, rid long, n long, root long")
+    return ranked.select("f", "rid", "n", "root", "size", "score", "delta", "top", "widest").mapInArrow(tidied(run), "kind int, e long, f long, rid long, n long, root long")
 
 
-def by_difference(long: DataFrame, key: list[str], sets: DataFrame, texts: DataFrame, hot: Filter | None) -> tuple[DataFrame, DataFrame]:
+def by_difference(long: DataFrame, key: list[str], sets: DataFrame, state: DataFrame, hot: Filter | None) -> tuple[DataFrame, DataFrame]:
     """Pairs to verify (a, b, root_a, root_b) and certain links (a, b) between roots, for lists too long for their pairs.
 
     Lists with the same main component make a family f. Its pivot is any set of shingles, here those of most of some drawn members; the
@@ -329,14 +294,14 @@ def by_difference(long: DataFrame, key: list[str], sets: DataFrame, texts: DataF
     stand among the first of both: among the few first of a set that is in (or of both that are out), more of its partner's."""
     owner = long.groupBy(*key, "root").agg(F.count("*").alias("m")).groupBy(*key).agg(F.max(F.struct("m", "root")).alias("main")).select(*key, F.col("main.root").alias("f"))
     members = stored(long.join(owner, key).select("f", "rid", "n", "root").distinct())
-    own = stored(members.join(wholes(members.select("rid").distinct(), sets, texts), "rid"))
+    own = stored(members.join(wholes(members.select("rid").distinct(), sets, state).drop("n"), "rid"))
     drawn = own.join(members.groupBy("f").agg(F.count("*").alias("m")), "f").where(F.pmod(F.xxhash64("rid"), "m") < DRAWN)
 
     def most(rows: pa.Table) -> pa.Table:
         keys, count = np.unique(np.frombuffer(b"".join(rows["shingles"].to_pylist()), A.U), return_counts=True)
         return pa.table({"f": pa.array([rows["f"][0].as_py()], pa.int64()), "pivot": pa.array([keys[2 * count > len(rows)].tobytes()], pa.binary())})
 
-    pivots = drawn.select("f", "shingles").groupBy("f").applyInArrow(most, "f long, pivot binary")
+    pivots = drawn.select("f", "shingles").groupBy("f").applyInArrow(tidied(most), "f long, pivot binary")
     deltas = stored(differences(own.join(pivots, "f", "left"), hot))
     best = deltas.groupBy("f").agg(F.max(F.struct("score", "rid", "root")).alias("best")).select("f", F.col("best.score").alias("top"), F.col("best.root").alias("home"))
     ranked = deltas.join(best, "f")
@@ -349,12 +314,12 @@ def by_difference(long: DataFrame, key: list[str], sets: DataFrame, texts: DataF
     return pairs, sure
 
 
-def linked(sets: DataFrame, posts: DataFrame, texts: DataFrame, hot: Filter | None) -> DataFrame:
+def linked(sets: DataFrame, posts: DataFrame, state: DataFrame, hot: Filter | None) -> DataFrame:
     """node, root over the rids of sets that have a link."""
     spark = sets.sparkSession
     posts = stored(met(posts))
     first = stored(posts.where((F.col("p1") != F.col("rid")) & alike("n", "n1")).groupBy("rid").agg(F.min("p1").alias("a")).select("a", F.col("rid").alias("b")))
-    roots = components(verified(first, sets, texts))
+    roots = components(verified(first, sets, state))
 
     def joined(pairs: DataFrame) -> DataFrame:
         """Pairs, of a stored table, that roots doesn't connect yet."""
@@ -374,7 +339,7 @@ def linked(sets: DataFrame, posts: DataFrame, texts: DataFrame, hot: Filter | No
         pairs = stored(pairs)
         if pairs.isEmpty():
             return spark.createDataFrame([], "a long, b long")
-        ok = verified(pairs, sets, texts)
+        ok = verified(pairs, sets, state)
         return stored(ok.join(pairs, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
 
     drawn = [posts.where((F.col(p) != F.col("rid")) & alike("n", n)).select(F.least("rid", p).alias("a"), F.greatest("rid", p).alias("b")) for p, n in (("p1", "n1"), ("p2", "n2"))]
@@ -389,7 +354,7 @@ def linked(sets: DataFrame, posts: DataFrame, texts: DataFrame, hot: Filter | No
     sure = None
     long = rest.where(F.col("c") > LONG_LIST)
     if not long.isEmpty():
-        more, sure = by_difference(long, key, sets, texts, hot)
+        more, sure = by_difference(long, key, sets, state, hot)
         pairs = pairs.unionByName(more)
     edges = proven(pairs.distinct())
     if sure is not None:
@@ -400,12 +365,11 @@ def linked(sets: DataFrame, posts: DataFrame, texts: DataFrame, hot: Filter | No
 def classes(docs: DataFrame) -> DataFrame:
     """doc_key, n, component of each row of docs (doc_key, text)."""
     importable(docs.sparkSession)
-    texts = docs.select("text")
-    hot = hot_filter(texts)
-    state = stored(states(docs, hot, shared_filter(texts, hot)))
+    shared, hot = shingle_filters(docs.select("text"))
+    state = stored(states(docs, shared, hot))
     some = state.where("class is not null").groupBy("class").agg(F.min("doc_key").alias("low"), F.max("n").alias("n"), F.first("tokens", True).alias("tokens"), F.first("singles", True).alias("singles"), F.first("parity", True).alias("parity"))
     sets = stored(some.withColumn("rid", F.monotonically_increasing_id()))
-    roots = linked(sets, postings(sets, boundary(sets)), texts, hot)
+    roots = linked(sets, postings(sets, boundary(sets)), state, hot)
     rooted = sets.select("class", "low", "rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component"))
     named = rooted.join(least, "root").select("class", "component")
@@ -414,7 +378,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return steady(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
 
 
 def op10_ngram_jaccard(docs: DataFrame) -> DataFrame:

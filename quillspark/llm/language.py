@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .linear import fit_logistic, sigmoid
-from .session import importable
+from .session import importable, tidied
 
 BITS = 13  # of a trigram's bucket
 PER_LANGUAGE, MAX_ROWS = 500, 8000
@@ -81,7 +81,7 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_R
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = rows.where(draw < share[F.col("lang")]).select("lang", "text")
-    got = chosen.mapInArrow(_sampled, "lang string, ids binary, shares binary").orderBy(F.xxhash64("ids"), "lang").limit(max_rows).collect()
+    got = chosen.mapInArrow(tidied(_sampled), "lang string, ids binary, shares binary").orderBy(F.xxhash64("ids"), "lang").limit(max_rows).collect()
     langs = sorted({r.lang for r in got})
     code = codewords(len(langs))
     if len(langs) < 2:
@@ -140,7 +140,7 @@ def predict(docs: DataFrame, model: dict | None, ambiguous: float = AMBIGUOUS) -
             if langs:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(flags))], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(tidied(run), SCHEMA)
 
 
 def op4_language_id(docs: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A document's ids are cut only where it is longer than a sequence: its first piece takes the remainder, the others fill a
 sequence each. First pieces are packed online: N(g) open sequences have g free places; a piece goes where the sum of the squared
-N(g) becomes smallest, that is to the open gap (or a new sequence) that minimises N(gap - length) - N(gap). Longer pieces come first. Documents
-are packed in chunks of about ``CHUNK`` by the hash of doc_id, so nothing grows with the corpus but the number of chunks.
+N(g) becomes smallest, that is to the open gap (or a new sequence) that minimises N(gap - length) - N(gap). Longer pieces come first. Pieces
+that fill a sequence are one; the others, at most one of each document, are packed in chunks of about ``CHUNK``, so nothing grows with
+the corpus but the number of chunks. Ids are made once and their digests and lengths written.
 
 Tokenising caches the ids of space-separated words: where a single space stands between two other characters that are
 no white space, the pre-tokeniser of the vocabulary always begins a word with that space. Of a word that isn't cached, what its
@@ -26,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import importable
+from .session import importable, stored, tidied
 
 SEQUENCE = 2048
-CHUNK = 100_000
-CACHED_WORDS, CACHED_LENGTH = 500_000, 64
+CHUNK = 50_000
+CACHED_WORDS, CACHED_LENGTH = 250_000, 64  # of each of two generations, some 40 MB for each
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 UNSAFE = re.compile(r"[^\S ](?:(?<= .)| )", re.DOTALL)  # another white space beside a space; two spaces are looked for before it
 SINGLE = re.compile(r"\S+(?:\n\S+)+")
@@ -151,28 +152,28 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE) -> DataFrame:
-    """doc_id, draw, piece, start, length, ids_crc32; draw is the same for all pieces of a document."""
+    """doc_id, piece, start, length, ids_crc32."""
     importable(docs.sparkSession)
-    schema = "doc_id long, draw long, piece int, start long, length long, ids_crc32 long"
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def run(batches):
         encode = encoder(vocabulary)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, draw, text in zip(*(batch.column(c) for c in ("doc_id", "draw", "text")), strict=True):
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 ids = (encode(t) if (t := text.as_py()) else b"") + CLOSING
                 n, start = len(ids) // 4, 0
                 length = n % sequence or sequence
-                doc, key, number = doc_id.as_py(), draw.as_py(), 0
+                doc, number = doc_id.as_py(), 0
                 while start < n:
-                    out.append((doc, key, number, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
+                    out.append((doc, number, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
                     start, length, number = start + length, sequence, number + 1
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.length(F.col("text").cast("string"))).alias("draw"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def place(lengths: list[int], sequence: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:
@@ -207,18 +208,22 @@ def place(lengths: list[int], sequence: int = SEQUENCE) -> tuple[np.ndarray, np.
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE, chunk: int = CHUNK) -> DataFrame:
-    total = docs.count()  # from the footers: how many chunks, not which rows
-    groups = max(1, -(-total // chunk))
-    cut = pieces(docs, vocabulary or default_vocabulary(), sequence).withColumn("chunk", F.pmod(F.xxhash64("draw"), F.lit(groups)))
+    cut = stored(pieces(docs, vocabulary or default_vocabulary(), sequence))  # some 50 bytes for each piece
+    full = F.col("length") == sequence
+    groups = max(1, -(-cut.where(~full).count() // chunk))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    # by number, so that rows that repeat are not one chunk
+    dealt = cut.withColumn("number", F.monotonically_increasing_id())
+    rest = dealt.where(~full).withColumn("chunk", F.pmod(F.xxhash64("number"), F.lit(groups)))
 
     def run(rows: pa.Table) -> pa.Table:
         base = rows["chunk"][0].as_py() << 32
-        rows = rows.sort_by([("length", "descending"), ("draw", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        rows = rows.sort_by([("length", "descending"), ("number", "ascending")])
         number, offset = place(rows["length"].to_pylist(), sequence)
-        return rows.drop_columns(["draw", "chunk"]).append_column("sequence_id", pa.array(number + base)).append_column("offset", pa.array(offset))
+        return rows.drop_columns(["number", "chunk"]).append_column("sequence_id", pa.array(number + base)).append_column("offset", pa.array(offset))
 
-    return cut.groupBy("chunk").applyInArrow(run, schema)
+    alone = dealt.where(full).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("number")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return rest.groupBy("chunk").applyInArrow(tidied(run), schema).unionByName(alone)
 
 
 def op9_best_fit_packing(docs: DataFrame) -> DataFrame:

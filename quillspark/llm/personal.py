@@ -3,7 +3,9 @@
 One Aho-Corasick pass over a text finds anchors: at-signs, schemes, digits, plus signs before digits, and identifier cues.
 Each anchor is expanded to both sides by a deterministic local parser that validates what it reads: email addresses, IP
 addresses, card numbers (Luhn), telephone numbers, IBANs (mod 97), account numbers after a cue, and user names and passwords
-in addresses of a scheme. Spans of a kind never overlap.
+in addresses of a scheme. Spans of a kind never overlap. Digits that run on beyond what a card or a telephone number can be are no base
+span; in them the parser looks for the boundaries of whole groups that make a card number, which is an account then, and for a
+telephone number that ends before it (dial).
 
 Defined results: a null or empty text has no spans; null doc_ids stay; repeated rows get equal results; an empty table gives
 an empty result; offsets are code points. Other columns are not read by the query and pass through ``masked`` unchanged.
@@ -18,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import importable
+from .session import importable, tidied
 
-KINDS = ("email", "ip", "card", "phone", "iban", "account", "login")
+KINDS = ("email", "ip", "card", "phone", "iban", "account", "login", "dial")
 BASE = KINDS[:4]
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://")
 CUES = ("iban", "IBAN", "account", "Account", "ACCOUNT", "konto", "Konto", "compte", "Compte", "cuenta", "Cuenta")
@@ -96,6 +98,37 @@ def phone_at(t: str, at: int) -> tuple[int, int] | None:
     return (at, end) if end > at + 3 else None
 
 
+CARD = re.compile(r"(?:3[47]|4|5[1-5]|2[2-7]|6)[0-9]+")
+LAYOUTS = ((4, 4, 4, 4), (4, 6, 5), (4, 4, 4, 4, 3))
+
+
+def accounts_inside(t: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Card numbers of whole groups in the digits [start, end), which are no card number as a whole; leftmost, not overlapping."""
+    groups = [m.span() for m in re.compile("[0-9]+").finditer(t, start, end)]
+    out, at = [], 0
+    while at < len(groups):
+        step = 1
+        for n in (1, 3, 4, 5):
+            some = groups[at : at + n]
+            if len(some) == n < len(groups) and (n == 1 or tuple(b - a for a, b in some) in LAYOUTS):
+                code = t[some[0][0] : some[-1][1]].translate(PLAIN)
+                if 13 <= len(code) <= 19 and CARD.fullmatch(code) and luhn(code):
+                    out.append((some[0][0], some[-1][1]))
+                    step = n
+                    break
+        at += step
+    return out
+
+
+def dial_before(t: str, at: int, end: int) -> tuple[int, int] | None:
+    """The telephone number from the plus sign at ``at`` up to the first account in what its shape takes."""
+    inside = accounts_inside(t, at + 1, account_end(t, at + 1))
+    if not inside or inside[0][0] > end:
+        return None
+    stop = at + len(t[at : inside[0][0]].rstrip(" ().-"))
+    return (at, stop) if 9 <= sum(c in DIGIT for c in t[at:stop]) <= 15 else None
+
+
 def iban_at(t: str, at: int) -> tuple[int, int] | None:
     got = re.compile(r"[\s:#.]*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})").match(t, at)
     if not got:
@@ -146,8 +179,11 @@ def scan(t: str, anchors) -> dict[str, list[tuple[int, int]]]:
                     out["ip"].append((end, number))
             if end >= chain:
                 chain = account_end(t, end)
-                if chain - end >= 13 and 13 <= len(code := t[end:chain].translate(PLAIN)) <= 19 and luhn(code):
-                    out["card"].append((end, chain))
+                if chain - end >= 13 and 13 <= len(code := t[end:chain].translate(PLAIN)):
+                    if len(code) <= 19 and luhn(code):
+                        out["card"].append((end, chain))
+                    else:
+                        out["account"] += accounts_inside(t, end, chain)
         elif kind == "at":
             if end >= mail and (got := email_at(t, end, mail)):
                 out["email"].append(got)
@@ -157,14 +193,27 @@ def scan(t: str, anchors) -> dict[str, list[tuple[int, int]]]:
                 dial = got[1]
                 if 9 <= sum(c in DIGIT for c in t[got[0] : dial]) <= 15:
                     out["phone"].append(got)
+                elif number_of := dial_before(t, *got):
+                    out["dial"].append(number_of)
         elif kind == "scheme":
             if got := login_after(t, end + 1):
                 out["login"].append(got)
         else:
             word = t[end + 1 - length : end + 1].lower()
             got = iban_at(t, end + 1) if word == "iban" else account_after(t, end + 1)
-            if got:
+            if got and (word == "iban" or not any(a < got[1] and got[0] < b for a, b in out["account"])):
                 out["iban" if word == "iban" else "account"].append(got)
+    if len(out["account"]) > 1:
+        out["account"] = apart(out["account"])
+    return out
+
+
+def apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """In order, without those that overlap one before."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
     return out
 
 
@@ -185,7 +234,7 @@ def found(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in zip(*rows, strict=True))], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), SCHEMA)
 
 
 def mask(t: str, spans: dict) -> str:
@@ -214,7 +263,7 @@ def masked(docs: DataFrame) -> DataFrame:
                 columns[at] = pa.array([old if t is None else len(t) for t, old in zip(texts, columns[at].to_pylist(), strict=True)], batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def op3_personal_data(docs: DataFrame) -> DataFrame:

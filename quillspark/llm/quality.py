@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .linear import fit_logistic, fit_platt, sigmoid
-from .session import importable
+from .session import importable, tidied
 
 BUCKETS = 1 << 12
 FAMILIES = 3
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None
     importable(docs.sparkSession)
     chosen = labels.select("doc_id", "quality").where("doc_id is not null and quality in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     known = docs.select("doc_id", "text").where("doc_id is not null").join(F.broadcast(chosen), "doc_id")  # sample rows at most
-    rows = known.select("quality", "text").mapInArrow(_sampled, "quality int, ids binary, shares binary").orderBy(F.xxhash64("ids"), "quality").limit(2 * sample).collect()
+    rows = known.select("quality", "text").mapInArrow(tidied(_sampled), "quality int, ids binary, shares binary").orderBy(F.xxhash64("ids"), "quality").limit(2 * sample).collect()
     y = np.array([r.quality for r in rows], np.float32)
     if not len(y) or y.min() == y.max():
         return None
@@ -164,7 +164,7 @@ def judge(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) ->
                 columns = verdicts(batch.column("text"), model, threshold)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), SCHEMA)
 
 
 def filtered(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -177,7 +177,7 @@ def filtered(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD)
             if batch.num_rows:
                 yield batch.filter(pa.array(verdicts(batch.column(at), model, threshold)[-1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op1_quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:

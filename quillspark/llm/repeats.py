@@ -5,12 +5,15 @@ have equal anchors at equal places. Consecutive windows of one anchor form a seg
 
 1. ``filters``: anchors of all texts are counted in packed form; only segments whose anchor occurs twice go on. Under a hot
    anchor (``HOT`` occurrences) windows are counted one by one, and only the runs of windows that occur twice go on.
-2. ``indexed``: each task sends its distinct segments to the shard of their anchor. There an index (the operator's own) tells
-   for each window of each distinct segment what is known of its equals.
+2. ``indexed``: each task sends its distinct segments to the bucket of their anchor; there are as many buckets as the counted
+   anchors fill with ``BUCKET_BYTES`` each. A distinct segment that is the only one of its anchor has no other equals than
+   itself, so its occurrences say all. Among the others an index (the operator's own) tells for each window what is known of its equals.
 3. ``marked``: all occurrences of segments meet these findings in a join, which Spark can split where a segment is hot, and
    give the spans of each document.
 
-Rows are known by doc_id and the hash of their text: rows that repeat both have the same result. A null doc_id is last.
+Segments are known by 64 bits of their anchor and 64 bits of xxh3 of their bytes; a bucket compares the bytes of those it merges and
+stops the job if two differ. Rows are known by doc_id and the hash of their text: rows that repeat both have the same result. A null
+doc_id is last. Other columns than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,14 +22,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
 from .filters import Filter, built, counted
-from .session import importable, partitions
+from .session import importable, partitions, steady, tidied
 
 HOT = 2000
+BUCKET_BYTES = 16 << 20
 LAST = (1 << 63) - 1
 LOW32, HIGH32 = A.U(0xFFFFFFFF), A.U(0xFFFFFFFF00000000)
 SEGMENT = "bucket int, packed binary"
@@ -44,7 +50,7 @@ class Windows:
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.lit(LAST)).alias("doc_key"), F.xxhash64(text).alias("text_key"))
+    return steady(docs.select(doc_id.alias("doc_id"), text.alias("text"))).withColumns({"doc_key": F.coalesce("doc_id", F.lit(LAST)), "text_key": F.xxhash64("text")})
 
 
 class Cut:
@@ -61,7 +67,7 @@ class Cut:
         self.place = np.zeros(0, np.int64)
         if n <= 0:
             self.doc = self.windows = self.place
-            self.anchor = self.segment = np.zeros(0, A.U)
+            self.anchor = np.zeros(0, A.U)
             return
         gram = A.grams(symbols, spec.m)
         at = (A.sliding_min((gram & HIGH32) | np.arange(len(gram), dtype=A.U), spec.k - spec.m + 1) & LOW32).astype(np.int64)
@@ -76,18 +82,17 @@ class Cut:
         self.windows = stop - self.place
         self.doc = np.searchsorted(self.first, self.place, "right") - 1
         self.anchor = gram[at[self.place]]
-        self.pre = A.prefix(symbols)
-        self.segment = A.spans(self.pre, self.place, stop + spec.k - 1)
+        self.symbols = symbols
 
     def take(self, keep: np.ndarray) -> None:
-        self.place, self.windows, self.doc, self.anchor, self.segment = (x[keep] for x in (self.place, self.windows, self.doc, self.anchor, self.segment))
+        self.place, self.windows, self.doc, self.anchor = (x[keep] for x in (self.place, self.windows, self.doc, self.anchor))
 
     def each(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the segments ``keep``: their windows' places, which segment each is of, and the windows' hashes."""
         of, count = np.flatnonzero(keep), self.windows[keep]
         inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         place = np.repeat(self.place[keep], count) + inner
-        return place, np.repeat(of, count), A.spans(self.pre, place, place + self.spec.k) if len(place) else np.zeros(0, A.U)
+        return place, np.repeat(of, count), A.spans(A.prefix(self.symbols), place, place + self.spec.k) if len(place) else np.zeros(0, A.U)
 
     def parts(self, keep: np.ndarray, windows: "Filter") -> "Cut":
         """The runs of windows that pass the filter in the segments ``keep``, as segments of the same anchors."""
@@ -100,12 +105,17 @@ class Cut:
         out.place, of = place[start], of[start]
         out.windows = np.diff(np.append(start, len(place)))
         out.doc, out.anchor = self.doc[of], self.anchor[of]
-        out.segment = A.spans(self.pre, out.place, out.place + out.windows + self.spec.k - 1) if len(start) else np.zeros(0, A.U)
         return out
 
-    def body(self, at: int) -> bytes:
-        first, end = self.place[at], self.place[at] + self.windows[at] + self.spec.k - 1
-        return (self.buf[self.s[first] : self.e[end - 1]] if self.spec.unit == "word" else self.buf[first:end]).tobytes()
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and end bytes of the segments."""
+        first, end = self.place, self.place + self.windows + self.spec.k - 1
+        return (self.s[first], self.e[end - 1]) if self.spec.unit == "word" else (first, end)
+
+    def segments(self) -> np.ndarray:
+        """Hashes of the segments' bytes."""
+        view = memoryview(self.buf)
+        return np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(*(x.tolist() for x in self.bounds()), strict=True)), A.U, len(self.place))
 
 
 @dataclass
@@ -157,29 +167,38 @@ def distinct(anchor: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def merged(rows: pa.Table) -> pa.Table:
-    """Rows of one segment as one: the smallest low, all times, the first body."""
-    anchor, segment, low, times = (rows[c].to_numpy() for c in ("anchor", "segment", "low", "times"))
+    """Rows of one segment as one, in order of anchor and segment: the smallest low, all times, the body that all have."""
+    anchor, segment, low, times, windows = (rows[c].to_numpy() for c in ("anchor", "segment", "low", "times", "windows"))
     order, first = distinct(anchor, segment)
     if not len(first):
         return rows
     which = order[first]
-    return pa.table({"anchor": anchor[which], "segment": segment[which], "low": np.minimum.reduceat(low[order], first), "times": np.add.reduceat(times[order], first), "body": rows["body"].take(pa.array(which))})
+    body = rows["body"].combine_chunks()
+    body = pa.concat_arrays(body.chunks) if isinstance(body, pa.ChunkedArray) else body
+    again = np.setdiff1d(np.arange(len(order)), first, assume_unique=True)
+    if len(again):
+        of = np.searchsorted(first, again, "right") - 1
+        if not pc.all(pc.equal(body.take(pa.array(order[again])), body.take(pa.array(which[of])))).as_py():
+            raise ValueError("two segments of one hash")
+    return pa.table({"anchor": anchor[which], "segment": segment[which], "low": np.minimum.reduceat(low[order], first), "times": np.add.reduceat(times[order], first), "windows": windows[which], "body": body.take(pa.array(which))})
 
 
-def segments(docs: DataFrame, spec: Windows, passed: Passed) -> DataFrame:
-    """Distinct segments of each Arrow batch: their smallest doc_key, how often they occur, and their text; packed by shard."""
-    buckets = partitions(docs.sparkSession)
+def segments(docs: DataFrame, spec: Windows, passed: Passed, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Distinct segments of each Arrow batch: their smallest doc_key, how often they occur, and their text; packed by bucket."""
+    unit = 8 if spec.unit == "word" else 1
+    buckets = max(partitions(docs.sparkSession), -(-passed.shared.held * 3 * spec.k * unit // (2 * bucket_bytes)))
 
     def packed(rows: pa.Table) -> pa.RecordBatch:
         bucket = (rows["anchor"].to_numpy() % A.U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        rows, cut = rows.take(pa.array(order)), np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows, bucket = rows.take(pa.array(order)), bucket[order]
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         out = []
-        for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(rows.slice(cut[b], cut[b + 1] - cut[b]))
-            out.append((b, sink.getvalue().to_pybytes()))
+                writer.write_table(rows.slice(a, b - a))
+            out.append((int(bucket[a]), sink.getvalue().to_pybytes()))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], ["bucket", "packed"])
 
     def run(batches):
@@ -187,23 +206,27 @@ def segments(docs: DataFrame, spec: Windows, passed: Passed) -> DataFrame:
             key, found = batch.column("doc_key").to_numpy(), []
             for i, j, buf, off in A.chunks(batch.column("text"), spec.chunk):
                 for cut in passed.cuts(Cut(spec, buf, off)):
-                    order, first = distinct(cut.anchor, cut.segment)
+                    segment = cut.segments()
+                    order, first = distinct(cut.anchor, segment)
                     if len(first):
                         which = order[first]
-                        found.append(pa.table({"anchor": cut.anchor[which], "segment": cut.segment[which], "low": np.minimum.reduceat(key[i:j][cut.doc[order]], first), "times": np.diff(np.append(first, len(order))), "body": pa.array([cut.body(at) for at in which], pa.large_binary())}))
+                        low, times = np.minimum.reduceat(key[i:j][cut.doc[order]], first), np.diff(np.append(first, len(order)))
+                        a, b = (x[which] for x in cut.bounds())
+                        body = pa.array([buf[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.large_binary())
+                        found.append(pa.table({"anchor": cut.anchor[which], "segment": segment[which], "low": low, "times": times, "windows": cut.windows[which], "body": body}))
             if found:
                 yield packed(merged(pa.concat_tables(found).combine_chunks()))
 
-    return docs.select("doc_key", "text").mapInArrow(run, SEGMENT)
+    return docs.select("doc_key", "text").mapInArrow(tidied(run), SEGMENT)
 
 
-def indexed(found: DataFrame, index) -> DataFrame:
-    """index(bodies, low, times): for each distinct segment of a shard the values of its windows, LAST where there is nothing to say."""
+def indexed(found: DataFrame, index, alone) -> DataFrame:
+    """What is known of the windows of each distinct segment, LAST where there is nothing to say.
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = merged(pa.concat_tables(pa.ipc.open_stream(x.as_buffer()).read_all() for c in rows["packed"].chunks for x in c).combine_chunks())
-        anchor, segment = rows["anchor"].to_numpy(), rows["segment"].to_numpy()
-        values, count = index(rows["body"].to_pylist(), rows["low"].to_numpy(), rows["times"].to_numpy())
+    index(bodies, anchor, low, times): pairs of segments (a slice) and the values of all their windows, for segments in order of anchor;
+    alone(low, times): the one value of all windows of segments that are the only ones of their anchors."""
+
+    def runs(anchor, segment, count, values):
         which = np.repeat(np.arange(len(anchor)), count)
         start = np.cumsum(count) - count
         new = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (which[1:] != which[:-1])])) if len(values) else np.zeros(0, np.int64)
@@ -211,9 +234,26 @@ def indexed(found: DataFrame, index) -> DataFrame:
         keep = values[new] != LAST
         new, end = new[keep], end[keep]
         of = which[new]
-        return pa.table({"anchor": anchor[of].view(np.int64), "segment": segment[of].view(np.int64), "a": (new - start[of]).astype(np.int32), "b": (end - start[of]).astype(np.int32), "low": values[new]})
+        return {"anchor": anchor[of].view(np.int64), "segment": segment[of].view(np.int64), "a": (new - start[of]).astype(np.int32), "b": (end - start[of]).astype(np.int32), "low": values[new]}
 
-    return found.groupBy("bucket").applyInArrow(run, FOUND)
+    def run(rows: pa.Table) -> pa.Table:
+        rows = merged(pa.concat_tables(pa.ipc.open_stream(x.as_buffer()).read_all() for c in rows["packed"].chunks for x in c).combine_chunks())
+        anchor, segment, low, times, windows = (rows[c].to_numpy() for c in ("anchor", "segment", "low", "times", "windows"))
+        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        several = np.repeat(np.diff(np.append(first, len(anchor))) > 1, np.diff(np.append(first, len(anchor))))
+        value = alone(low, times)
+        sure = np.flatnonzero(~several & (value != LAST))
+        out = [{"anchor": anchor[sure].view(np.int64), "segment": segment[sure].view(np.int64), "a": np.zeros(len(sure), np.int32), "b": windows[sure].astype(np.int32), "low": value[sure]}]
+        at = np.flatnonzero(several)
+        if len(at):
+            bodies = rows["body"].take(pa.array(at)).to_pylist()
+            del rows
+            for part, values in index(bodies, anchor[at], low[at], times[at]):
+                own = at[part]
+                out.append(runs(anchor[own], segment[own], windows[own], values))
+        return pa.table({c: np.concatenate([o[c] for o in out]) for c in out[0]})
+
+    return found.groupBy("bucket").applyInArrow(tidied(run), FOUND)
 
 
 def marked(docs: DataFrame, spec: Windows, passed: Passed, found: DataFrame) -> DataFrame:
@@ -225,9 +265,9 @@ def marked(docs: DataFrame, spec: Windows, passed: Passed, found: DataFrame) ->
             for i, j, buf, off in A.chunks(batch.column("text"), spec.chunk):
                 for cut in passed.cuts(Cut(spec, buf, off)):
                     if len(cut.place):
-                        yield pa.RecordBatch.from_arrays([pa.array(cut.anchor.view(np.int64)), pa.array(cut.segment.view(np.int64)), pa.array(key[i:j][cut.doc]), pa.array(text[i:j][cut.doc]), pa.array((cut.place - cut.first[cut.doc]).astype(np.int32))], ["anchor", "segment", "doc_key", "text_key", "place"])
+                        yield pa.RecordBatch.from_arrays([pa.array(cut.anchor.view(np.int64)), pa.array(cut.segments().view(np.int64)), pa.array(key[i:j][cut.doc]), pa.array(text[i:j][cut.doc]), pa.array((cut.place - cut.first[cut.doc]).astype(np.int32))], ["anchor", "segment", "doc_key", "text_key", "place"])
 
-    there = docs.select("doc_key", "text_key", "text").mapInArrow(run, "anchor long, segment long, doc_key long, text_key long, place int")
+    there = docs.select("doc_key", "text_key", "text").mapInArrow(tidied(run), "anchor long, segment long, doc_key long, text_key long, place int")
     met = there.join(found, ["anchor", "segment"]).where(F.col("low") < F.col("doc_key"))
     span = F.struct((F.col("place") + F.col("a")).alias("start"), (F.col("place") + F.col("b") + F.lit(spec.k - 1)).alias("end"))
     return met.groupBy("doc_key", "text_key").agg(F.collect_set(span).alias("spans"))
@@ -245,4 +285,4 @@ def covered(n: int, spans: list[dict] | None) -> np.ndarray:
 def removed(docs: DataFrame, spans: DataFrame, run, schema: str) -> DataFrame:
     """run(batches with doc_id, text and spans) over all rows of keyed() docs."""
     joined = docs.join(spans, ["doc_key", "text_key"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidied(run), schema)

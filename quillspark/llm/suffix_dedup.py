@@ -2,11 +2,11 @@
 
 Shards hold the distinct segments of their anchors (see ``repeats``), with how often each occurs. A shard's suffixes are sorted by
 Larsson-Sadakane refinement, their common prefixes come from Kasai's rule, and windows next to each other with a common prefix of
-a whole window are equal. A shard with more bytes than ``SHARD_BYTES`` has several arrays, which are merged by binary search of
-each one's windows in the others.
+a whole window are equal. A bucket's segments are dealt to shards of about ``SHARD_BYTES`` in order of their anchors; equal windows have equal
+anchors, so only shards that share an anchor are merged, by binary search of each one's windows in the other.
 
 Defined results: a null or empty text has no bytes; shorter texts than a window lose nothing; repeated rows are occurrences of
-their own and have equal results; an empty table gives an empty result.
+their own and have equal results; an empty table gives an empty result. Other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .arrays import eights
 from .repeats import LAST, Windows, covered, filters, indexed, keyed, marked, removed, segments
 from .suffixes import kasai, suffix_array
 
 WINDOWS = Windows("byte", 400, 100, 1 << 18)
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 20
 REPEATED = -(1 << 63)
+SEPARATOR = b"\xff"  # stands in no UTF-8 text
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -30,76 +32,85 @@ class Shard:
     """Sorted windows of some segments: groups of equal ones, with how often they occur."""
 
     def __init__(self, bodies: list[bytes], times: np.ndarray, k: int):
-        self.k = k
         length = np.array([len(b) for b in bodies])
-        self.text = np.frombuffer(b"\0".join(bodies), np.uint8).astype(np.int16) + 1  # a separator is 0, bytes are 1 to 256
+        self.text = np.frombuffer(SEPARATOR.join(bodies), np.uint8)
         start = np.cumsum(length + 1) - length - 1
-        self.text[start[1:] - 1] = 0
         count = length - k + 1
-        self.at = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        order, _ = suffix_array(self.text)  # in full: Kasai needs the true order, also among equal windows
+        self.at = (np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+        seen = np.zeros(256, bool)
+        seen[self.text] = True
+        dense = (np.cumsum(seen) - 1).astype(np.uint8)
+        order = suffix_array(dense[self.text])[0]  # in full: Kasai needs the true order, also among equal windows
         lcp = kasai(self.text, order, start, count, k)
         weight = np.zeros(len(self.text), np.int64)
         weight[self.at] = np.repeat(times, count)
-        is_window = weight > 0
-        windows = order[is_window[order]]
+        windows = order[weight[order] > 0]
         # equal windows are neighbours in order, with no other suffix between them
         new = lcp[windows] < k
         group = np.cumsum(new) - 1
-        self.first, self.total = windows[new], np.bincount(group, weight[windows]).astype(np.int64)
-        self.group = np.zeros(len(self.text), np.int64)
+        self.first, self.total = windows[new].astype(np.int64), np.bincount(group, weight[windows]).astype(np.int64)
+        self.group = np.zeros(len(self.text), np.int32)
         self.group[windows] = group
-
-    def words(self) -> np.ndarray:
-        pad = np.concatenate([self.text.astype(np.uint64), np.zeros(8, np.uint64)])
-        out = np.zeros(len(self.text), np.uint64)
-        for at in range(7):
-            out = out * np.uint64(512) + pad[at : at + len(out)]
-        return out
-
-
-def merge(shards: list[Shard]) -> list[np.ndarray]:
-    """For each shard the totals of its groups over all shards."""
-    out = [s.total.copy() for s in shards]
-    words = [s.words() for s in shards]
-    for i, a in enumerate(shards):
-        for j, b in enumerate(shards):
-            if i == j or not len(a.first) or not len(b.first):
-                continue
-            low, high = np.zeros(len(a.first), np.int64), np.full(len(a.first), len(b.first))
-            equal = np.full(len(a.first), -1)
-            live = np.arange(len(a.first))
-            while len(live):
-                middle = (low[live] + high[live]) // 2
-                sign = np.zeros(len(live), np.int64)
-                left = np.arange(len(live))
-                for step in range(0, a.k, 7):
-                    place = min(step, a.k - 7)
-                    x, y = words[i][a.first[live[left]] + place], words[j][b.first[middle[left]] + place]
-                    sign[left[x < y]], sign[left[x > y]] = -1, 1
-                    left = left[x == y]
-                    if not len(left):
-                        break
-                equal[live[left]] = middle[left]
-                low[live[sign > 0]] = middle[sign > 0] + 1
-                high[live[sign < 0]] = middle[sign < 0]
-                live = live[(sign != 0) & (low[live] < high[live])]
-            out[i] += np.where(equal >= 0, b.total[equal], 0)
-    return out
+        self.segment = np.searchsorted(start, self.first, "right") - 1  # of each group's first window
+
+
+def merge(a: Shard, b: Shard, mine: np.ndarray, theirs: np.ndarray, k: int) -> None:
+    """Adds to the groups ``mine`` of a, and ``theirs`` of b, what the equal groups of the other had alone."""
+    x, y = eights(a.text).byteswap(), eights(b.text).byteswap()
+    mine_at, theirs_at = a.first[mine], b.first[theirs]
+    low, high = np.zeros(len(mine), np.int64), np.full(len(mine), len(theirs))
+    equal = np.full(len(mine), -1)
+    live = np.arange(len(mine))
+    while len(live):
+        middle = (low[live] + high[live]) // 2
+        sign, left = np.zeros(len(live), np.int64), np.arange(len(live))
+        for step in range(0, k, 8):
+            place = min(step, k - 8)
+            p, q = x[mine_at[live[left]] + place], y[theirs_at[middle[left]] + place]
+            sign[left[p < q]], sign[left[p > q]] = -1, 1
+            left = left[p == q]
+            if not len(left):
+                break
+        equal[live[left]] = middle[left]
+        low[live[sign > 0]] = middle[sign > 0] + 1
+        high[live[sign < 0]] = middle[sign < 0]
+        live = live[(sign != 0) & (low[live] < high[live])]
+    hit = np.flatnonzero(equal >= 0)
+    i, j = mine[hit], theirs[equal[hit]]
+    a.more[i] += b.total[j]
+    b.more[j] += a.total[i]
 
 
 def index_bytes(k: int, shard_bytes: int = SHARD_BYTES):
-    def index(bodies: list[bytes], low: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        length = np.array([len(b) for b in bodies])
-        number = np.cumsum(length) // shard_bytes
-        parts = [np.flatnonzero(number == n) for n in np.unique(number)]
-        shards = [Shard([bodies[at] for at in part], times[part], k) for part in parts]
-        totals = merge(shards) if len(shards) > 1 else [shards[0].total]
-        return np.concatenate([np.where(total[s.group[s.at]] > 1, REPEATED, LAST) for s, total in zip(shards, totals, strict=True)]), length - k + 1
+    def index(bodies: list[bytes], anchor: np.ndarray, low: np.ndarray, times: np.ndarray):
+        number = np.cumsum([len(b) for b in bodies]) // shard_bytes
+        cuts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]])).tolist()
+        held: list[tuple[slice, Shard]] = []  # those that share their last anchor with what comes
+
+        def known(part: slice, shard: Shard):
+            return part, np.where((shard.total + shard.more)[shard.group[shard.at]] > 1, REPEATED, LAST)
+
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and anchor[begin] != anchor[begin - 1]:
+                yield from (known(*x) for x in held)
+                held = []
+            shard = Shard(bodies[begin:end], times[begin:end], k)
+            shard.more = np.zeros_like(shard.total)
+            theirs = np.flatnonzero(anchor[begin:end][shard.segment] == anchor[begin])
+            for part, before in held:
+                mine = np.flatnonzero(anchor[part][before.segment] == anchor[begin])
+                if len(mine):
+                    merge(before, shard, mine, theirs, k)
+            held.append((slice(begin, end), shard))
+        yield from (known(*x) for x in held)
 
     return index
 
 
+def alone(low: np.ndarray, times: np.ndarray) -> np.ndarray:
+    return np.where(times > 1, REPEATED, LAST)
+
+
 def _kept(batches):
     for batch in batches:
         rows = []
@@ -119,5 +130,5 @@ def _kept(batches):
 def op7_suffix_array_dedup(docs: DataFrame, spec: Windows = WINDOWS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     docs = keyed(docs)
     passed = filters(docs, spec)
-    found = indexed(segments(docs, spec, passed), index_bytes(spec.k, shard_bytes))
+    found = indexed(segments(docs, spec, passed), index_bytes(spec.k, shard_bytes), alone)
     return removed(docs, marked(docs, spec, passed, found), _kept, SCHEMA)

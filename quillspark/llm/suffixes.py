@@ -4,72 +4,75 @@ from __future__ import annotations
 
 import numpy as np
 
+from .arrays import eights
+
 
 def suffix_array(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, rank) of the suffixes of t (small non-negative integers) by Larsson-Sadakane refinement: each round doubles the
-    sorted depth and touches only groups that are still tied."""
+    """(order, rank) of the suffixes of t (small non-negative integers) by Larsson-Sadakane refinement: each round multiplies the
+    sorted depth, by three where three ranks fit in a word, and touches only groups that are still tied."""
     n = len(t)
-    width = max(1, int(t.max()).bit_length() + 1) if n else 1
-    h = max(1, 62 // width)
+    if n < 2:
+        return np.zeros(n, np.int32), np.zeros(n, np.int32)
+    width = max(1, (int(t.max()) + 1).bit_length())
+    h = max(1, min(62 // width, n))
     key = np.zeros(n, np.int64)
     for at in range(h):
         key <<= width
-        key[: n - at] += t[at:].astype(np.int64) + 1
-    order = np.argsort(key)
-    sorted_key = key[order]
-    new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]) if n else np.zeros(0, bool)
-    place = np.arange(n)
-    rank = np.zeros(n + 1, np.int64)
-    rank[n] = -1
-    rank[order] = np.maximum.accumulate(np.where(new, place, 0)) if n else place
-    tied = place[~(new & np.append(new[1:], True))] if n else place
+        key[: n - at] += t[at:]
+        key[: n - at] += 1
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    del key
+    place = np.arange(n, dtype=np.int32)
+    rank = np.full(n + 1, -1, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, place, 0))
+    tied = place[~(new & np.append(new[1:], True))]
+    times = 3 if 3 * (n + 1).bit_length() <= 63 else 2
     while len(tied):
         at = order[tied]
-        group, then = rank[at], rank[np.minimum(at + h, n)] + 1
-        inner = np.argsort(group * (n + 1) + then)
-        at, group, then = at[inner], group[inner], then[inner]
+        key = rank[at].astype(np.int64)
+        for step in range(1, times):
+            key *= n + 1
+            key += rank[np.minimum(at.astype(np.int64) + step * h, n)]
+            key += 1
+        inner = np.argsort(key)
+        at, key = at[inner], key[inner]
         order[tied] = at
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (then[1:] != then[:-1])])
+        new = np.concatenate([[True], key[1:] != key[:-1]])
         rank[at] = np.maximum.accumulate(np.where(new, tied, 0))
         tied = tied[~(new & np.append(new[1:], True))]
-        h *= 2
+        h *= times
     return order, rank[:n]
 
 
 def kasai(t: np.ndarray, order: np.ndarray, starts: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
     """For the ``counts`` positions from each of ``starts``: the common prefix with the suffix before it in order, up to most.
 
-    Kasai's rule, in step over all runs: from one position to the next the common prefix shrinks by one at most."""
+    t: bytes, of which the ``most`` from these positions are none of 255. Kasai's rule, in step over all runs: from one position to
+    the next the common prefix shrinks by one at most."""
     n = len(t)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    text = np.concatenate([t.astype(np.int64), np.full(most + 8, -1)])
-    text[n:] -= np.arange(most + 8)
-    byte = text & 0x7F  # eight low parts in a word, to skip over what surely agrees; the rest is compared symbol by symbol
-    eight = np.zeros(n + most, np.int64)
-    for at in range(8):
-        eight += byte[at : at + n + most] << (7 * at)
-    exact = bool(n) and int(t.max()) < 128
-    lcp = np.zeros(n, np.int64)
+    view = eights(t, most + 16)
+    lcp = np.zeros(n, np.int32)
+    by_count = np.argsort(-counts, kind="stable")  # runs that end leave at the end
+    starts, counts = starts[by_count], counts[by_count]
     h = np.zeros(len(starts), np.int64)
-    for step in range(int(counts.max()) if len(counts) else 0):
-        live = np.flatnonzero(counts > step)
-        p = starts[live] + step
-        q = before[p]
-        got = np.where(q >= 0, np.maximum(h[live] - 1, 0), 0)
-        todo = np.flatnonzero((q >= 0) & (got < most))
-        while exact and len(todo):
-            a, b = p[todo] + got[todo], q[todo] + got[todo]
-            todo = todo[(b < n) & (got[todo] + 8 <= most)]
-            a, b = p[todo] + got[todo], q[todo] + got[todo]
-            todo = todo[eight[a] == eight[b]]
-            got[todo] += 8
+    for step in range(int(counts[0]) if len(counts) else 0):
+        live = int(np.searchsorted(-counts, -step, "left"))
+        p = starts[:live] + step
+        q = before[p].astype(np.int64)
+        got = np.where(q >= 0, np.maximum(h[:live] - 1, 0), 0)
         todo = np.flatnonzero((q >= 0) & (got < most))
         while len(todo):
-            todo = todo[text[p[todo] + got[todo]] == text[np.minimum(q[todo] + got[todo], n + most)]]
-            got[todo] += 1
-            todo = todo[got[todo] < most]
-        h[live] = got
+            at = got[todo]
+            differ = view[p[todo] + at] ^ view[q[todo] + at]
+            # the lowest bit that differs lies in the first byte that does
+            same = np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3)
+            got[todo] = np.minimum(at + same, most)
+            todo = todo[(same == 8) & (at + 8 < most)]
+        h[:live] = got
         lcp[p] = got
     return lcp
 
@@ -91,11 +94,14 @@ class Bits:
 
 
 class FMIndex:
-    """Backward search over the Burrows-Wheeler transform of t, held as a wavelet matrix. The last symbol of t is 0, and nowhere else."""
+    """Backward search over the Burrows-Wheeler transform of t, held as a wavelet matrix. The last symbol of t is 0, and nowhere else.
 
-    def __init__(self, t: np.ndarray):
-        self.order, _ = suffix_array(t)
-        bwt = t[self.order - 1]
+    The suffix array goes once the transform is made; of it stays, for each suffix in order, the label of its place (``labels``)."""
+
+    def __init__(self, t: np.ndarray, labels: np.ndarray):
+        order, _ = suffix_array(t)
+        bwt, self.labels = t[order - 1], labels[order]
+        del order
         self.size, self.symbols = len(t), int(t.max()) + 1
         self.before = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=self.symbols))])
         self.levels: list[tuple[Bits, int]] = []
@@ -136,3 +142,14 @@ class FMIndex:
             if not len(live):
                 break
         return low, high
+
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The smallest label of each interval. Intervals of two suffixes or more are of equally long strings: equal or apart."""
+        out = self.labels[low]
+        wide = np.flatnonzero(high - low > 1)
+        if len(wide):
+            begin, first, back = np.unique(low[wide], return_index=True, return_inverse=True)
+            stop = high[wide][first]
+            bounds = np.stack([begin, stop], 1).ravel()
+            out[wide] = np.minimum.reduceat(np.append(self.labels, self.labels[-1]), bounds)[::2][back]
+        return out

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from .. import shared
 from ..functions import leaves as L
 from ..functions import text as X
 from ..sources import shards
+from . import search as Q
 
+POINTER = "catalogue.json"
+#: The source's names of subject lists, in order of preference.
 SUBJECT_LISTS = ("openlib_subject", "zlib_category_name", "rgb_subject", "sciencereading_category", "edsebk_subject", "lgrsnf_topic", "nexusstc_tag")
 
 
@@ -47,7 +55,7 @@ def flattened(docs: DataFrame, strict: bool = True) -> DataFrame:
     code = lambda k: L.first(L.trimmed(_unified(f"identifiers_unified.{k}"), strict))
     description = F.coalesce(one(_unified("stripped_description_best")), X.none_if_empty(F.array_join(L.cleaned(_unified("stripped_description_additional"), strict), "\n\n")), one(_searched("description_comments")))
     columns = {
-        "aa_id": F.coalesce(L.first(L.trimmed(_at("id"), strict)), F.raise_error(F.lit("missing _source.id"))),
+        "aa_id": F.coalesce(L.first(L.trimmed(_at("id"), strict)), F.raise_error(F.lit("a document has no identifier"))),
         "md5": code("md5"), "isbn13": code("isbn13"), "doi": code("doi"),
         "title": either("title", "title_best"), "author": either("author", "author_best"), "publisher": either("publisher", "publisher_best"), "edition_varia": either("edition_varia", "edition_varia_best"),
         "subjects": subjects_of([L.cleaned(_unified(f"classifications_unified.{x}"), strict) for x in SUBJECT_LISTS]), "description": description,
@@ -72,14 +80,74 @@ def assert_unique(df: DataFrame, *key: str) -> None:
 
 
 def build(spark: SparkSession, source: str, target: str, replace: bool = False, max_shards: int | None = None, limit: int | None = None, per_shard: bool = False, strict: bool = True) -> dict:
-    """Shards to the tables records and record_codes below target; counts. A failure leaves no half-written table."""
-    lines = shards.read_lines(spark, shards.discover(spark, source, max_shards), limit, per_shard)
-    records, codes = records_and_codes(flattened(shards.parsed(lines).drop("value"), strict))
-    assert_unique(records, "aa_id")
-    assert_unique(codes, "rid", "kind", "value")
-    write(records, f"{target}/records", replace, "rid")
-    write(codes, f"{target}/record_codes", replace, "kind", "value")
-    return {"records": spark.read.parquet(f"{target}/records").count(), "codes": spark.read.parquet(f"{target}/record_codes").count()}
+    """Shards to a catalogue below target: counts and seconds by step.
+
+    All tables go to a folder of this build; the pointer to it is written last, so readers see the old catalogue or the whole new
+    one. Lines are parsed once."""
+    if not replace and shared.exists(spark, f"{target}/{POINTER}"):
+        raise FileExistsError(target)
+    folder, old, seconds, began = uuid.uuid4().hex, shared.read_text(spark, f"{target}/{POINTER}"), {}, time.time()
+
+    def lap(step: str) -> None:
+        seconds[step] = round(time.time() - began - sum(seconds.values()), 3)
+
+    path = f"{target}/{folder}"
+    try:
+        paths = shards.discover(spark, source, max_shards)
+        try:
+            flattened(shards.parsed(shards.read_lines(spark, paths, limit, per_shard)).drop("value"), strict).write.parquet(f"{path}/flat")
+        except Exception as error:
+            raise shards.explained(spark, paths, error) from error
+        lap("parse")
+        flat = spark.read.parquet(f"{path}/flat")
+        counts = write_catalogue(*records_and_codes(flat), path, lap)
+        statistics = [r.asDict() for r in ingest_statistics(flat).collect()]  # a row for each shard
+        shared.remove(spark, f"{path}/flat")
+        content = {"version": S.VERSION, "folder": folder, **counts}
+        shared.write_text(spark, f"{target}/{POINTER}", content)
+    except Exception:
+        shared.remove(spark, path)
+        raise
+    if old:
+        shared.remove(spark, f"{target}/{old['folder']}")
+    return {**counts, "shards": statistics, "seconds": seconds}
+
+
+def write_catalogue(records: DataFrame, codes: DataFrame, path: str, lap=lambda step: None) -> dict:
+    """The tables of a catalogue below path, with the index of its records; counts."""
+    spark = records.sparkSession
+    write(records, f"{path}/records", True, "rid")
+    stored_records = spark.read.parquet(f"{path}/records")
+    assert_unique(stored_records, "aa_id")
+    lap("records")
+    write(Q.folded(codes), f"{path}/record_codes", True, "kind", "value_lc")
+    stored_codes = spark.read.parquet(f"{path}/record_codes")
+    assert_unique(stored_codes, "rid", "kind", "value")
+    lap("codes")
+    Q.write_index(stored_records, f"{path}/index")
+    lap("index")
+    return {"records": stored_records.count(), "codes": stored_codes.count()}
+
+
+@dataclass(frozen=True)
+class Catalogue:
+    records: DataFrame
+    codes: DataFrame
+    index: tuple[DataFrame, DataFrame, DataFrame]
+
+
+def opened(spark: SparkSession, target: str) -> Catalogue:
+    """The catalogue that target points to; one of another version, or none, is an error."""
+    said = shared.read_text(spark, f"{target}/{POINTER}")
+    if said is None:
+        raise FileNotFoundError(f"no catalogue in {target}")
+    if said["version"] != S.VERSION:
+        raise ValueError(f"the catalogue has version {said['version']}, not {S.VERSION}: build it again")
+    return at_path(spark, f"{target}/{said['folder']}")
+
+
+def at_path(spark: SparkSession, path: str) -> Catalogue:
+    return Catalogue(spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/record_codes"), Q.read_index(spark, f"{path}/index"))
 
 
 def write(df: DataFrame, path: str, replace: bool, *by: str) -> None:
@@ -88,8 +156,12 @@ def write(df: DataFrame, path: str, replace: bool, *by: str) -> None:
 
 
 def empty_catalogue(spark: SparkSession, target: str, replace: bool = False) -> None:
-    for name, kind in (("records", S.RECORDS), ("record_codes", S.RECORD_CODES)):
-        spark.createDataFrame([], kind).write.mode("overwrite" if replace else "errorifexists").parquet(f"{target}/{name}")
+    """A catalogue without records below target."""
+    if not replace and shared.exists(spark, f"{target}/{POINTER}"):
+        raise FileExistsError(target)
+    folder = uuid.uuid4().hex
+    counts = write_catalogue(spark.createDataFrame([], S.RECORDS), spark.createDataFrame([], S.RECORD_CODES), f"{target}/{folder}")
+    shared.write_text(spark, f"{target}/{POINTER}", {"version": S.VERSION, "folder": folder, **counts})
 
 
 def with_local_paths(records: DataFrame, links: DataFrame) -> DataFrame:
@@ -98,6 +170,17 @@ def with_local_paths(records: DataFrame, links: DataFrame) -> DataFrame:
     return records.join(new, "rid", "left").withColumn("local_path", F.coalesce("_path", "local_path")).select(*records.columns)
 
 
+def apply_links(spark: SparkSession, target: str, links: DataFrame) -> None:
+    """The catalogue of target with the links' local paths: its records are written again beside the old ones, and the pointer follows."""
+    said = shared.read_text(spark, f"{target}/{POINTER}")
+    old, new = f"{target}/{said['folder']}", f"{said['folder'].split('-')[0]}-{uuid.uuid4().hex[:8]}"
+    write(with_local_paths(opened(spark, target).records, links), f"{target}/{new}/records", True, "rid")
+    for name in ("record_codes", "index"):
+        shared.copy(spark, f"{old}/{name}", f"{target}/{new}/{name}")
+    shared.write_text(spark, f"{target}/{POINTER}", said | {"folder": new})
+    shared.remove(spark, old)
+
+
 def ingest_statistics(rows: DataFrame) -> DataFrame:
-    """file, lines, records, codes of flattened rows with file."""
-    return rows.groupBy("file").agg(F.count("*").alias("records"), F.sum(F.size("codes")).cast("bigint").alias("codes")).orderBy("file")
+    """shard, file, lines (those that aren't blank), records, codes of flattened rows."""
+    return rows.groupBy("shard", "file").agg(F.count("line").alias("lines"), F.count("aa_id").alias("records"), F.sum(F.size("codes")).cast("bigint").alias("codes")).orderBy("shard")

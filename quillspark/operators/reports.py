@@ -7,25 +7,54 @@ import json
 from pyspark.sql import DataFrame
 
 VERSION = 1
+#: Names that readers of reports rely on.
 KINDS = ("search_report", "link_local_report", "download_report", "config_report", "config_path_report", "config_init_report", "error_report")
 
 
 def report(kind: str, **content) -> str:
     if kind not in KINDS:
         raise ValueError(kind)
-    return json.dumps({"report": kind, "version": VERSION, **content}, indent=2, ensure_ascii=False, default=str)
+    return json.dumps({"report_version": VERSION, "kind": kind, **content}, indent=2, ensure_ascii=False, default=str)
+
+
+def error_report(error: Exception) -> str:
+    return report("error_report", error=str(error))
 
 
 def rows_of(df: DataFrame, columns) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.select(*columns).collect()]
 
 
+def search_report(mode: str, value: str, filters, rows: list[dict], expand: bool = False, expansion: dict | None = None) -> str:
+    asked = {"mode": mode, "value": value, "filters": {k: getattr(filters, k) for k in ("language", "extension", "year", "limit")}, "expand_requested": expand}
+    return report("search_report", request=asked, result_count=len(rows), results=rows, **({"expansion": expansion} if expansion is not None else {}))
+
+
+LINKED_BY = {"md5": "linked_by_md5", "isbn": "linked_by_isbn", "original_filename": "linked_by_original_filename", "title_author": "linked_by_title_author"}
+
+
+def link_report(stats: dict, outcomes: list[dict], dry_run: bool) -> str:
+    """outcomes: rows of summaries(); entries say what was found for each file."""
+    entries = []
+    for o in outcomes:
+        entry = {"path": o["path"], "status": ("would_link" if dry_run else "linked") if o["status"] == "matched" else o["status"]}
+        if o["status"] == "matched":
+            entry["matched"] = {"rid": o["rid"], "evidence": {"kind": o["method"], "value": o["value"]}}
+        elif o["status"] == "ambiguous":
+            entry["ambiguity"] = {"candidates": o["n_candidates"], "evidence": {"kind": o["method"], "value": o["value"]}}
+        elif o.get("error"):
+            entry["error"] = o["error"]
+        entries.append(entry)
+    counts = {"files_scanned": stats["files"], "files_hashed_md5": stats.get("hashed", 0), "linked_total": stats["matched"], **{name: stats[f"matched_{m}"] for m, name in LINKED_BY.items()}, "unmatched": stats["unmatched"], "ambiguous": stats["ambiguous"]}
+    return report("link_local_report", dry_run=dry_run, stats=counts, entries=entries)
+
+
 def search_text(rows: list[dict]) -> str:
     lines = []
     for n, r in enumerate(rows, 1):
         score = "" if r.get("bm25_score") is None else f"  [{r['bm25_score']:.3f}]"
         lines += [f"{n}. {r.get('title') or '(untitled)'}{score}", f"   {' | '.join(str(r[k]) for k in ('author', 'year', 'language', 'extension') if r.get(k) is not None)}", f"   {r['aa_id']}"]
-    return "\n".join(lines) or "no results"
+    return "\n".join(lines) or "nothing found"
 
 
 def link_text(stats: dict) -> str:

@@ -1,7 +1,7 @@
 """Keyword search: parsed queries, positional matching, column-weighted BM25, filters, ordered top rows; exact lookups.
 
-An index is three tables: terms (term, rid, col, pos), lengths (rid, d) and corpus (n, tokens). A query reads its terms only, so
-the terms table is written in ranges of term. Without an index the same operators run over records directly.
+An index is three tables: terms (term, rid, col, pos), lengths (rid, d) and corpus (n, tokens). ``write_index`` keeps them, terms in
+ranges of term, so that a query reads the row groups of its terms only. Without an index the same operators run over records directly.
 """
 
 from __future__ import annotations
@@ -9,13 +9,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..schema import SEARCHED
+from ..schema import RESULT, SEARCHED
 
 K1, B = 1.2, 0.75
+INDEX = ("terms", "lengths", "corpus")
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,7 @@ def units(query: str) -> list[str]:
             held += c
     found = [u for u in (*found, held) if u.strip()]
     if not found:
-        raise ValueError("query is empty")
+        raise ValueError("nothing to search for")
     return found
 
 
@@ -67,20 +68,38 @@ def index(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return terms, lengths, lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("d"), F.lit(0)).alias("tokens"))
 
 
+def write_index(records: DataFrame, path: str) -> None:
+    """The index of records below path; what was there is replaced."""
+    for name, df in zip(INDEX, index(records), strict=True):
+        if name == "terms":
+            df = df.repartitionByRange("term", "rid").sortWithinPartitions("term", "rid", "col", "pos")
+        elif name == "lengths":
+            df = df.repartitionByRange("rid").sortWithinPartitions("rid")
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """terms, lengths, corpus as write_index wrote them."""
+    kinds = ("term string, rid long, col int, pos int", "rid long, d long", "n long, tokens long")
+    return tuple(spark.read.schema(kind).parquet(f"{path}/{name}") for name, kind in zip(INDEX, kinds, strict=True))
+
+
 def _unit_tokens(df: DataFrame, found: list[str]) -> list[list[str]]:
     """The index terms of the units, by the same function as the index's. The query is the data here, not the corpus."""
-    rows = df.sparkSession.createDataFrame(list(enumerate(found)), "at int, unit string").select("at", X.tokens(F.col("unit")).alias("t")).collect()
-    return [r.t for r in sorted(rows)]
+    row = df.sparkSession.range(1).select(F.array(*(X.tokens(F.lit(u)) for u in found)).alias("t")).head()
+    return [list(t) for t in row.t]
 
 
 def occurrences(terms: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """phrase, rid, col, times: where all terms of a phrase stand in a row."""
-    spark = terms.sparkSession
-    wanted = [(p, at, t) for p, ts in enumerate(phrases) for at, t in enumerate(ts)]
-    table = spark.createDataFrame(wanted, "phrase int, at int, term string")
-    hits = terms.where(F.col("term").isin(sorted({t for _, _, t in wanted}))).join(F.broadcast(table), "term")  # a row for each term of the query
-    length = F.create_map(*(F.lit(x) for p, ts in enumerate(phrases) for x in (p, len(ts))))
-    starts = hits.groupBy("phrase", "rid", "col", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("c")).where(F.col("c") == length[F.col("phrase")])
+    wanted: dict[str, list] = {}
+    for p, ts in enumerate(phrases):
+        for at, t in enumerate(ts):
+            wanted.setdefault(t, []).append(F.struct(F.lit(p).alias("phrase"), F.lit(at).alias("at")))
+    places = F.create_map(*(x for t, all_of in wanted.items() for x in (F.lit(t), F.array(*all_of))))
+    hits = terms.where(F.col("term").isin(sorted(wanted))).withColumn("w", F.explode(places[F.col("term")]))
+    length = F.element_at(F.array(*(F.lit(len(ts)) for ts in phrases)), F.col("phrase") + 1)
+    starts = hits.groupBy(F.col("w.phrase").alias("phrase"), "rid", "col", (F.col("pos") - F.col("w.at")).alias("start")).agg(F.count("*").alias("c")).where(F.col("c") == length)
     return starts.groupBy("phrase", "rid", "col").agg(F.count("*").alias("times"))
 
 
@@ -90,22 +109,37 @@ def scored(terms: DataFrame, lengths: DataFrame, corpus: DataFrame, query: str)
     if not all(phrases):
         return terms.sparkSession.createDataFrame([], "rid long, bm25_score double")
     weights = F.element_at(F.array(*map(F.lit, SEARCHED.values())), F.col("col") + 1)
-    found = occurrences(terms, phrases).groupBy("phrase", "rid").agg(F.sum(F.col("times") * weights).alias("f"))
-    rows = found.groupBy("phrase").agg(F.count("*").alias("rows"))
+    every = range(len(phrases))
+    found = occurrences(terms, phrases).groupBy("rid").agg(*(F.sum(F.when(F.col("phrase") == p, F.col("times") * weights)).alias(f"f{p}") for p in every))
+    rows = found.agg(*(F.count(f"f{p}").alias(f"rows{p}") for p in every))
     one = corpus.select("n", (F.col("tokens") / F.col("n")).alias("mean"))
-    raw = F.log((F.col("n") - F.col("rows") + 0.5) / (F.col("rows") + 0.5))
-    rarity = rows.join(F.broadcast(one)).select("phrase", "mean", F.when(raw > 0, raw).otherwise(F.lit(1e-6)).alias("idf"))  # one row; phrases of the query
-    every = found.groupBy("rid").agg(F.count("*").alias("c")).where(F.col("c") == len(phrases)).select("rid")
-    parts = found.join(every, "rid").join(F.broadcast(rarity), "phrase").join(lengths, "rid")
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.col("mean")))
-    by_phrase = parts.groupBy("rid").agg(*(F.max(F.when(F.col("phrase") == p, part)).alias(f"p{p}") for p in range(len(phrases))))
-    return by_phrase.select("rid", (-reduce(lambda a, b: a + b, (F.col(f"p{p}") for p in range(len(phrases))))).alias("bm25_score"))
+    all_of = found.where(reduce(lambda a, b: a & b, (F.col(f"f{p}").isNotNull() for p in every)))
+    full = all_of.join(lengths, "rid").join(F.broadcast(rows.join(F.broadcast(one))))  # one row
+
+    def part(p: int) -> Column:
+        raw, f = F.log((F.col("n") - F.col(f"rows{p}") + 0.5) / (F.col(f"rows{p}") + 0.5)), F.col(f"f{p}")
+        return F.when(raw > 0, raw).otherwise(F.lit(1e-6)) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("d") / F.col("mean")))
+
+    return full.select("rid", (-reduce(lambda a, b: a + b, map(part, every))).alias("bm25_score"))
 
 
 def best(rows: DataFrame, limit: int, *first: Column) -> DataFrame:
     return rows.orderBy(*first, F.coalesce("score_base_rank", F.lit(0)).desc(), F.col("rid").desc()).limit(limit)
 
 
+def one_mode(keyword: str | None = None, **codes: str | None) -> tuple[str, str]:
+    """The one mode of a search and its value: keyword, or a code of one kind."""
+    given = [(k, v) for k, v in {"keyword": keyword, **codes}.items() if v is not None]
+    if len(given) != 1:
+        raise ValueError(f"one search mode at a time, not {len(given)}: {', '.join(k for k, _ in given) or 'none'}")
+    return given[0]
+
+
+def results(rows: DataFrame) -> DataFrame:
+    """The columns of a result."""
+    return rows.select(*RESULT)
+
+
 def keyword(records: DataFrame, query: str, filters: Filters = Filters(), built: tuple | None = None) -> DataFrame:
     """Best rows of records with bm25_score."""
     hits = scored(*(built or index(records)), query)
@@ -117,11 +151,21 @@ def keyword_count(records: DataFrame, query: str, filters: Filters = Filters(),
     return records.where(filters.predicate()).join(hits, "rid", "left_semi").agg(F.count("*").alias("hits"))
 
 
+def folded(codes: DataFrame) -> DataFrame:
+    """codes with value_lc, the value by which they are looked up; a built catalogue has it stored and sorted."""
+    return codes if "value_lc" in codes.columns else codes.withColumn("value_lc", X.ascii_lower(F.col("value")))
+
+
+def coded(codes: DataFrame, kinds: list[str], value: str) -> DataFrame:
+    low = "".join(c.lower() if c.isascii() else c for c in value)
+    return folded(codes).where(F.col("kind").isin(kinds) & (F.col("value_lc") == low))
+
+
 def exact(records: DataFrame, codes: DataFrame, kinds: list[str], value: str, filters: Filters = Filters()) -> DataFrame:
     """Best rows with a code of one of the kinds, ASCII case aside; no score."""
     if not value.strip():
         raise ValueError("lookup value is empty")
-    wanted = codes.where(F.col("kind").isin(kinds) & (X.ascii_lower(F.col("value")) == X.ascii_lower(F.lit(value.strip()))))
+    wanted = coded(codes, kinds, value.strip())
     rows = records.where(filters.predicate()).join(wanted.select("rid"), "rid", "left_semi").withColumn("bm25_score", F.lit(None).cast("double"))
     return best(rows, filters.limit)
 
@@ -135,7 +179,7 @@ def resolve(records: DataFrame, codes: DataFrame, aa_id: str | None = None, md5:
     if kind == "aa_id":
         rows = records.where(F.col("aa_id") == value)
     else:
-        wanted = codes.where(F.col("kind").isin(["isbn10", "isbn13"] if kind == "isbn" else [kind]) & (X.ascii_lower(F.col("value")) == X.ascii_lower(F.lit(value))))
+        wanted = coded(codes, ["isbn10", "isbn13"] if kind == "isbn" else [kind], value)
         rows = records.join(wanted.select("rid"), "rid", "left_semi")
     two = rows.orderBy("rid").limit(2)
     total = two.agg(F.count("*").alias("c"))
@@ -145,7 +189,7 @@ def resolve(records: DataFrame, codes: DataFrame, aa_id: str | None = None, md5:
 def resolve_one(*args, **kwargs):
     found = resolve(*args, **kwargs).collect()  # two rows at most
     if len(found) != 1:
-        raise LookupError("multiple records matched" if found else "no record matched")
+        raise LookupError("more than one record has this identifier" if found else "no record has this identifier")
     return found[0]
 
 

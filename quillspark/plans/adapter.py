@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ingest as I
 from ..schema import RECORDS
+from ..shared import shared_dir
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +39,19 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.concat(F.lit("/files/"), F.lpad(F.col("rid").cast("string"), 9, "0"), F.lit("/"), name).alias("path"), F.lit(None).cast("string").alias("content_md5"))
 
 
+_built: dict[tuple[str, str], str] = {}
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> I.Catalogue:
+    """The test tables as a stored catalogue with its index, written once for each application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        path = f"{shared_dir(spark)}/catalogue-{uuid.uuid4().hex}"
+        I.write_catalogue(records(spark, sf_dir), codes(spark, sf_dir), path)
+        _built[key] = path
+    return I.at_path(spark, _built[key])
+
+
 RECORDS_SQL = """records AS (
 SELECT d.doc_id AS rid, 'doc:' || d.doc_id AS aa_id, md5(text) AS md5, CAST(9780000000000 + d.doc_id AS VARCHAR) AS isbn13, '10.1/D' || d.doc_id AS doi,
 split_part(text, '.', 1) AS title, source AS author, source AS publisher, text AS description, CAST(2000 + d.doc_id % 25 AS INTEGER) AS year, lang AS language, 'txt' AS extension,

@@ -53,7 +53,7 @@ PAGE_SQL = "SELECT r.rid, aa_id, title, year, language, round(bm25_score, 6) AS
 
 def _keyword(query: str, phrases: list[list[str]], filters: Q.Filters = Q.Filters(), where: str = ""):
     return (
-        lambda s, d: _page(Q.keyword(A.records(s, d), query, filters)),
+        lambda s, d: _page(Q.keyword((c := A.catalogue(s, d)).records, query, filters, c.index)),
         f"WITH {R}, {_scores_sql(phrases)} {PAGE_SQL.format(where=where, limit=filters.limit)}",
     )
 
@@ -61,8 +61,10 @@ def _keyword(query: str, phrases: list[list[str]], filters: Q.Filters = Q.Filter
 def _flat(s, d):
     """Documents as JSON of the source's shape, flattened."""
     r = A.records(s, d)
-    searched = F.struct(F.concat(F.lit("  "), "title", F.lit("\t")).alias("search_title"), F.when(F.col("rid") % 3 == 0, F.col("author")).alias("search_author"), F.array("language", F.lit("zz")).alias("search_most_likely_language_code"), F.col("filesize").cast("string").alias("search_filesize"), F.concat("year", F.when(F.col("rid") % 2 == 0, "").otherwise("?")).alias("search_year"))
+    more = [F.when(F.col("rid") % 4 == 0, F.concat(F.lit("ed. "), "rid")).alias("search_edition_varia"), F.lit("book").alias("search_content_type"), F.concat(F.lit("2020-01-0"), F.col("rid") % 9).alias("search_added_date"), F.lit("prim").alias("search_record_primary_source"), F.when(F.col("rid") % 5 == 0, F.concat("author", F.lit(".x"))).alias("search_original_filename"), F.when(F.col("rid") % 3 == 0, F.col("rid")).alias("search_score_base_rank")]
+    searched = F.struct(*more, F.concat(F.lit("  "), "title", F.lit("\t")).alias("search_title"), F.when(F.col("rid") % 3 == 0, F.col("author")).alias("search_author"), F.array("language", F.lit("zz")).alias("search_most_likely_language_code"), F.col("filesize").cast("string").alias("search_filesize"), F.concat("year", F.when(F.col("rid") % 2 == 0, "").otherwise("?")).alias("search_year"))
     unified = F.struct(
+        F.lit("alt").alias("edition_varia_best"), F.concat(F.lit("http://c/"), "rid").alias("cover_url_best"), F.lit("o").alias("original_filename_best"), F.when(F.col("rid") % 2 == 0, "true").otherwise("1.5").alias("extension_best"),
         F.concat(F.lit("u-"), "author").alias("author_best"), F.array(F.lit(" "), F.col("publisher")).alias("publisher_best"), F.array(F.concat(F.lit("part "), "rid"), F.lit(""), F.lit("two\n parts")).alias("stripped_description_additional"), (F.col("rid") % 2 == 0).alias("has_aa_downloads"), (F.col("rid") % 3).alias("has_torrent_paths"),
         F.struct(F.array("md5", "md5").alias("md5"), F.col("isbn13").alias("isbn13"), F.array(F.concat(F.lit(" "), "doi"), F.col("isbn13")).alias("doi")).alias("identifiers_unified"),
         F.struct(F.array(F.lit("History"), F.col("author"), F.lit("/a/b")).alias("openlib_subject"), F.array(F.lit("HISTORY"), F.col("language"), F.lit("0123456789abcdef")).alias("lgrsnf_topic")).alias("classifications_unified"),
@@ -71,11 +73,22 @@ def _flat(s, d):
     return I.flattened(docs.select("rid", F.parse_json("j").alias("doc")))
 
 
+def _leaf(s, d, value: str, name: str):
+    """rid and v, a leaf of JSON."""
+    doc = F.parse_json(F.to_json(F.struct(F.expr(value).alias(name))))
+    return A.records(s, d).select("rid", F.try_variant_get(doc, f"$.{name}", "variant").alias("v"))
+
+
 def _queries() -> dict:
     both = lambda s, d: (A.records(s, d), A.codes(s, d))
     found = lambda s, d: K.features(A.files(s, d))
     q = {
-        "kw_single": _keyword("thought", [["thought"]]),
+        "kw_single": _keyword("las", [["las"]]),
+        "kw_rare": _keyword("src7", [["src7"]]),
+        "kw_text": (lambda s, d: _page(Q.keyword(A.records(s, d), "the of")), f"WITH {R}, {_scores_sql([['the'], ['of']])} {PAGE_SQL.format(where='', limit=20)}"),
+        "kw_operators_are_words": _keyword("not the", [["not"], ["the"]]),
+        "kw_case_folds": _keyword("ÜBER Die", [["uber"], ["die"]]),
+        "kw_best_two": _keyword("de la", [["de"], ["la"]], Q.Filters(limit=2)),
         "kw_and": _keyword("the of", [["the"], ["of"]]),
         "kw_phrase": _keyword('"on the" is', [["on", "the"], ["is"]]),
         "kw_hyphen_phrase": _keyword("of-the", [["of", "the"]]),
@@ -83,10 +96,16 @@ def _queries() -> dict:
         "kw_diacritics": _keyword("là DÉ", [["la"], ["de"]]),
         "kw_filters": _keyword("de la", [["de"], ["la"]], Q.Filters("FR", "TXT", 2004, 50), " WHERE lower(language) = 'fr' AND year = 2004"),
         "kw_empty_unit": (lambda s, d: _page(Q.keyword(A.records(s, d), '--- the')), f"WITH {R} SELECT rid, aa_id, title, year, language, CAST(NULL AS DOUBLE) AS bm25_score FROM records WHERE false"),
-        "kw_count": (lambda s, d: Q.keyword_count(A.records(s, d), "the of", Q.Filters(language="en")), f"WITH {R}, {_scores_sql([['the'], ['of']])} SELECT count(*) AS hits FROM records r JOIN scores s ON r.rid = s.rid WHERE language = 'en'"),
+        "kw_count": (lambda s, d: Q.keyword_count((c := A.catalogue(s, d)).records, "the of", Q.Filters(language="en"), c.index), f"WITH {R}, {_scores_sql([['the'], ['of']])} SELECT count(*) AS hits FROM records r JOIN scores s ON r.rid = s.rid WHERE language = 'en'"),
         "kw_stats": (lambda s, d: Q.index(A.records(s, d))[2].select("n", F.col("tokens").cast("bigint").alias("tokens")), f"WITH {R}, {_scores_sql([['x']])} SELECT n, CAST((SELECT sum(d) FROM lens) AS BIGINT) AS tokens FROM corpus"),
         "term_frequencies": (lambda s, d: Q.index(A.records(s, d))[0].groupBy("term").agg(F.countDistinct("rid").alias("n_rows"), F.count("*").alias("n")), f"WITH {R}, {_scores_sql([['x']])} SELECT term, count(DISTINCT rid) AS n_rows, count(*) AS n FROM tok GROUP BY term"),
-        "exact_md5": (lambda s, d: _exact(Q.exact(*both(s, d), ["md5"], " D41D8CD98F00B204E9800998ECF8427E ")), _exact_sql("kind = 'md5' AND lower(value) = 'd41d8cd98f00b204e9800998ecf8427e'")),
+        "exact_md5": (lambda s, d: _exact(Q.exact(*both(s, d), ["md5"], f" {A.records(s, d).where('rid = 7').head().md5.upper()} ")), _exact_sql("kind = 'md5' AND lower(value) = (SELECT md5 FROM records WHERE rid = 7)")),
+        "exact_stored": (lambda s, d: _exact(Q.exact((c := A.catalogue(s, d)).records, c.codes, ["doi"], " 10.1/d21 ")), _exact_sql("kind = 'doi' AND lower(value) = '10.1/d21'")),
+        "results": (lambda s, d: Q.results(Q.exact(*both(s, d), ["isbn13"], "9780000000033")), f"WITH {R} SELECT aa_id, title, author, publisher, year, language, 'txt' AS extension, filesize, md5, original_filename, CAST(NULL AS DOUBLE) AS bm25_score FROM records WHERE rid = 33"),
+        "resolve_by_id": (lambda s, d: _resolved(Q.resolve(*both(s, d), aa_id="doc:11")), f"WITH {R} SELECT rid, aa_id, 'matched' AS status FROM records WHERE rid = 11"),
+        "stored_codes": (lambda s, d: A.catalogue(s, d).codes, f"WITH {R}, {C} SELECT rid, kind, value, {_low('value')} AS value_lc FROM codes"),
+        "stored_lengths": (lambda s, d: A.catalogue(s, d).index[1], f"WITH {R}, {_scores_sql([['x']])} SELECT rid, CAST(d AS BIGINT) AS d FROM lens"),
+        "stored_records": (lambda s, d: A.catalogue(s, d).records.select("rid", "aa_id", "isbn13", "year", "score_base_rank", "local_path"), f"WITH {R} SELECT rid, aa_id, isbn13, year, score_base_rank, CAST(NULL AS VARCHAR) AS local_path FROM records"),
         "exact_isbn_kinds": (lambda s, d: _exact(Q.exact(*both(s, d), ["isbn10", "isbn13"], "9780000000042")), _exact_sql("kind IN ('isbn10', 'isbn13') AND value = '9780000000042'")),
         "exact_doi_ci": (lambda s, d: _exact(Q.exact(*both(s, d), ["doi"], "10.1/d17", Q.Filters(extension="TXT"))), _exact_sql("kind = 'doi' AND lower(value) = '10.1/d17'")),
         "resolve_unique": (lambda s, d: _resolved(Q.resolve(*both(s, d), doi="10.1/d5")), _resolved_sql("kind = 'doi' AND lower(value) = '10.1/d5'")),
@@ -102,6 +121,14 @@ def _queries() -> dict:
         "isbn_candidates": (lambda s, d: A.records(s, d).select("rid", F.array_join(X.isbn13_candidates(F.concat("title", F.lit(" 978-0-"), F.substring("isbn13", 5, 9), F.lit(" "), "isbn13")), ",").alias("isbn13s"), F.array_join(X.isbn10_candidates(F.concat(F.lit("["), F.substring("isbn13", 4, 9), F.lit("x]"))), ",").alias("isbn10s")), f"WITH {R} SELECT rid, isbn13 AS isbn13s, substring(isbn13, 4, 9) || 'X' AS isbn10s FROM records"),
         "meaningful_subjects": (lambda s, d: A.records(s, d).select("rid", X.meaningful(F.col("description")).alias("whole"), X.meaningful(F.col("md5")).alias("hash"), X.meaningful(F.concat(F.lit("http://"), "author")).alias("url"), X.meaningful(F.col("author")).alias("word")), f"WITH {R} SELECT rid, octet_length(encode(description)) <= 300 AND regexp_matches(description, '\\p{{L}}') AND NOT contains(description, '\\') AND NOT contains({_low('description')}, '://') AND NOT regexp_matches(description, '^(/|\\./|\\.\\./|~/)') AS whole, false AS hash, false AS url, true AS word FROM records"),
         "flatten_preferred": (lambda s, d: _flat(s, d).select("rid", "aa_id", "title", "author", "publisher", "language"), f"WITH {R} SELECT rid, aa_id, nullif(trim(regexp_replace(title, '\\s+', ' ', 'g')), '') AS title, CASE WHEN rid % 3 = 0 THEN author ELSE 'u-' || author END AS author, publisher, language FROM records"),
+        "flatten_rest": (lambda s, d: _flat(s, d).select("rid", "md5", "isbn13", "doi", "edition_varia", "content_type", "added_date", "primary_source", "cover_url", "original_filename", "extension", "score_base_rank"), f"WITH {R} SELECT rid, md5, isbn13, doi, CASE WHEN rid % 4 = 0 THEN 'ed. ' || rid ELSE 'alt' END AS edition_varia, 'book' AS content_type, '2020-01-0' || rid % 9 AS added_date, 'prim' AS primary_source, 'http://c/' || rid AS cover_url, CASE WHEN rid % 5 = 0 THEN author || '.x' ELSE 'o' END AS original_filename, CASE WHEN rid % 2 = 0 THEN 'true' ELSE '1.5' END AS extension, CASE WHEN rid % 3 = 0 THEN rid END AS score_base_rank FROM records"),
+        "flatten_nested": (lambda s, d: _leaf(s, d, "array(array(array(array(array(array(cast(rid as string), 'x'))))), array())", "tags").select("rid", F.array_join(L.cleaned(F.col("v")), ",").alias("found")), f"WITH {R} SELECT rid, rid || ',x' AS found FROM records"),
+        "leaf_numbers": (lambda s, d: _leaf(s, d, "named_struct('a', rid / 4D, 'b', rid, 'c', rid % 2 = 0)", "n").select("rid", *(L.as_text(F.try_variant_get("v", f"$.{k}", "variant")).alias(k) for k in "abc")), f"WITH {R} SELECT rid, CASE rid % 4 WHEN 0 THEN CAST(rid // 4 AS VARCHAR) WHEN 1 THEN (rid // 4) || '.25' WHEN 2 THEN (rid // 4) || '.5' ELSE (rid // 4) || '.75' END AS a, CAST(rid AS VARCHAR) AS b, CASE WHEN rid % 2 = 0 THEN 'true' ELSE 'false' END AS c FROM records"),
+        "leaf_flags": (lambda s, d: _leaf(s, d, "element_at(array('yes', ' No ', 'TRUE', 'maybe', '0', '1'), cast(rid % 6 as int) + 1)", "f").select("rid", L.flags(F.col("v")).alias("flag")), f"WITH {R} SELECT rid, CAST(CASE rid % 6 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 4 THEN 0 WHEN 5 THEN 1 END AS BIGINT) AS flag FROM records"),
+        "leaf_integers": (lambda s, d: _leaf(s, d, "element_at(array(cast(rid as string), '3.0', ' 12 ', '-4', 'x', '99999999999999999999'), cast(rid % 6 as int) + 1)", "i").select("rid", L.integers(F.col("v")).alias("i")), f"WITH {R} SELECT rid, CAST(CASE rid % 6 WHEN 0 THEN rid WHEN 2 THEN 12 WHEN 3 THEN -4 END AS BIGINT) AS i FROM records"),
+        "ingest_statistics": (lambda s, d: I.ingest_statistics(_flat(s, d).withColumns({"shard": F.col("rid") % 7, "file": F.concat(F.lit("f"), (F.col("rid") % 7).cast("string")), "line": F.col("rid")})), f"WITH {R} SELECT rid % 7 AS shard, 'f' || rid % 7 AS file, count(*) AS lines, count(*) AS records, CAST(4 * count(*) AS BIGINT) AS codes FROM records GROUP BY 1, 2"),
+        "resolve_two_of_many": (lambda s, d: _resolved(Q.resolve(A.records(s, d), A.records(s, d).select("rid", F.lit("doi").alias("kind"), F.col("language").alias("value")), doi="EN")), f"WITH {R}, hit AS (SELECT rid FROM records WHERE language = 'en' ORDER BY rid LIMIT 2) SELECT rid, 'doc:' || rid AS aa_id, 'ambiguous' AS status FROM hit"),
+        "query_words": (lambda s, d: A.records(s, d).select("rid", X.normal_query(F.concat(F.lit(" "), "title", F.lit("\u00a0 X"))).alias("norm"), X.expandable(F.col("title")).alias("words"), X.expandable(F.col("md5")).alias("hash"), X.expandable(F.col("doi")).alias("path")), f"WITH {R} SELECT rid, trim(regexp_replace({_low('title')}, '[\\s\\u00a0]+', ' ', 'g') || ' x') AS norm, regexp_matches(title, '[A-Za-z]') AND NOT contains(title, '/') AND NOT contains(title, '\\') AS words, false AS hash, false AS path FROM records"),
         "flatten_subjects": (lambda s, d: _flat(s, d).select("rid", "subjects"), f"WITH {R} SELECT rid, 'History ; ' || author || ' ; ' || language AS subjects FROM records"),
         "flatten_description": (lambda s, d: _flat(s, d).select("rid", "description"), f"WITH {R} SELECT rid, 'part ' || rid || chr(10) || chr(10) || 'two parts' AS description FROM records"),
         "flatten_codes": (lambda s, d: _flat(s, d).select("rid", F.posexplode("codes").alias("ord", "c")).select("rid", "ord", "c.kind", "c.value"), f"WITH {R} SELECT rid, CAST(0 AS INTEGER) AS ord, 'md5' AS kind, md5 AS value FROM records UNION ALL SELECT rid, 1, 'isbn13', isbn13 FROM records UNION ALL SELECT rid, 2, 'doi', doi FROM records UNION ALL SELECT rid, 3, 'doi', isbn13 FROM records"),
@@ -116,7 +143,7 @@ def _queries() -> dict:
         "link_dry_run": (lambda s, d: K.link_independent(found(s, d), *both(s, d)), None),
         "link_stats": (lambda s, d: K.statistics(K.link_independent(found(s, d), *both(s, d))), None),
         "link_greedy": (lambda s, d: K.link_greedy(found(s, d), *both(s, d)), None),
-        "expand_validate": (_expand_validate, f"WITH {R}, {_scores_sql([['the'], ['of']])} SELECT 'the of' AS candidate, 'accepted' AS verdict, count(*) AS hits FROM scores UNION ALL SELECT 'zzqq', 'zero corpus hits', 0 UNION ALL SELECT 'a/b', 'not a safe lexical query variant', 0 UNION ALL SELECT 'THE', 'same as literal query', 0 UNION ALL SELECT ' The  Of', 'duplicate candidate', 0"),
+        "expand_validate": (_expand_validate, f"WITH {R}, {_scores_sql([['the'], ['of']])} SELECT 'the of' AS candidate, 'accepted' AS verdict, count(*) AS hits FROM scores UNION ALL SELECT 'zzqq', 'no hits', 0 UNION ALL SELECT 'a/b', 'identifier or path', 0 UNION ALL SELECT 'THE', 'literal', 0 UNION ALL SELECT ' The  Of', 'repeated', 0"),
         "expand_merge": (lambda s, d: _merge(s, d), f"WITH {R}, {_scores_sql([['thought']])}, a AS (SELECT r.rid, r.aa_id FROM records r JOIN scores s ON r.rid = s.rid ORDER BY s.bm25_score, coalesce(score_base_rank, 0) DESC, r.rid DESC LIMIT 5), b AS (SELECT rid, aa_id FROM records WHERE language = 'de' ORDER BY coalesce(score_base_rank, 0) DESC, rid DESC LIMIT (SELECT 12 - count(*) FROM a)) SELECT rid FROM a UNION SELECT rid FROM b"),
         "cache_upsert": (_cache, f"WITH {R}, k AS (SELECT author AS query_norm, count(*) AS n FROM records GROUP BY author) SELECT query_norm, CASE WHEN query_norm < 'src5' THEN 't0' ELSE 't1' END AS created_at, CASE WHEN query_norm < 'src3' THEN 't0' ELSE 't1' END AS last_used_at, CAST(CASE WHEN query_norm < 'src3' THEN 3 WHEN query_norm < 'src5' THEN 4 ELSE 1 END AS INTEGER) AS use_count FROM k"),
     }

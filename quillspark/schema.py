@@ -9,6 +9,9 @@ def _fields(*pairs):
     return T.StructType([T.StructField(name, kind, null) for name, kind, null in pairs])
 
 
+VERSION = 2  # of the stored tables
+
+#: Names of columns and code kinds, which data and callers share.
 RECORDS = _fields(
     ("rid", T.LongType(), False), ("aa_id", _TEXT, False), *((c, _TEXT, True) for c in ("md5", "isbn13", "doi", "title", "author", "publisher", "edition_varia", "subjects", "description")),
     ("year", T.IntegerType(), True), *((c, _TEXT, True) for c in ("language", "extension", "content_type")), ("filesize", T.LongType(), True), ("added_date", _TEXT, True), ("primary_source", _TEXT, True),

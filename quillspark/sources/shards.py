@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +48,16 @@ def spread(limit: int, shards: int) -> list[int]:
     return [limit // shards + (at < limit % shards) for at in range(shards)]
 
 
+def _uri(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
+
+
 def read_lines(spark: SparkSession, paths: list[str], limit: int | None = None, per_shard: bool = False) -> DataFrame:
-    """shard (place in paths), file, line (from 0, blank lines left out), value. Each shard is one split, read in order."""
-    rows = spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("file"))
-    numbers = F.create_map(*(F.lit(x) for at, p in enumerate(paths) for x in (p.rsplit("/", 1)[-1], at)))
-    rows = rows.withColumn("line", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).withColumn("shard", numbers[F.col("file")])
+    """shard (place in paths), file, line (rising with the lines of a file; blank lines left out), value. Each shard is read in order."""
+    rows = spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"))
+    numbers = F.create_map(*(F.lit(x) for at, p in enumerate(paths) for x in (_uri(spark, p), at)))
+    rows = rows.withColumn("line", F.monotonically_increasing_id()).withColumn("shard", numbers[F.col("path")]).drop("path")
     rows = rows.withColumn("value", F.regexp_replace("value", BLANK, "")).where("value <> ''")
     if limit is None:
         return rows.select("shard", "file", "line", "value")
@@ -59,6 +68,13 @@ def read_lines(spark: SparkSession, paths: list[str], limit: int | None = None,
     return ordered.where(F.col("place") <= allowed[F.col("shard")]).select("shard", "file", "line", "value")
 
 
+def first_bad_line(spark: SparkSession, path: str) -> int | None:
+    """The number, from 1, of the first line of a file that is not JSON. A file alone is one partition, so rows count its lines."""
+    rows = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
+    text = F.regexp_replace("value", BLANK, "")
+    return rows.where((text != "") & F.try_parse_json(text).isNull()).agg((F.min("line") + 1).alias("line")).head().line
+
+
 def ranked(rows: DataFrame) -> DataFrame:
     """rid in order of (shard, line), from each shard's count and places in it: no sort of all rows in one task."""
     from pyspark.sql import Window as W
@@ -69,15 +85,41 @@ def ranked(rows: DataFrame) -> DataFrame:
     return placed.join(before, "shard").withColumn("rid", F.col("before") + F.col("place")).drop("before")
 
 
+NOT_JSON = "not JSON: "
+
+
 def parsed(rows: DataFrame) -> DataFrame:
-    """The lines' documents as VARIANT; a bad line stops the job with its file and line."""
+    """The lines' documents as VARIANT; a bad line stops the job and names its shard's place."""
     doc = F.try_parse_json("value")
-    where = F.concat(F.lit("failed to parse "), F.coalesce("file", F.lit("-")), F.lit(" line "), (F.col("line") + 1).cast("string"))
+    where = F.concat(F.lit(NOT_JSON), F.lit("shard "), F.coalesce(F.col("shard").cast("string"), F.lit("-")), F.lit(";"))
     return rows.withColumn("doc", F.when(doc.isNull(), F.raise_error(where)).otherwise(doc))
 
 
+def parse_line(text: str) -> dict | None:
+    """One line, without Spark: the document, or None where it is blank."""
+    text = text.strip(" \t\n\r\f")
+    if not text:
+        return None
+    doc = json.loads(text)
+    if not isinstance(doc, dict):
+        raise ValueError("not a JSON object")
+    return doc
+
+
+def explained(spark: SparkSession, paths: list[str], error: Exception) -> Exception:
+    """The error of a bad line with its file and line, else error itself."""
+    found = re.search(NOT_JSON + r"shard (\d+);", str(error))
+    if not found:
+        return error
+    path = paths[int(found[1])]
+    return ValueError(f"{path}, line {first_bad_line(spark, path)}: not JSON")
+
+
 def local_files(spark: SparkSession, root: str, most: int | None = None, contents: bool = False) -> DataFrame:
-    """path and content_md5 of the files below root, by path, depth first; links are skipped and hidden files are not."""
+    """path, content_md5 and error of the files below root, by path, depth first; links are skipped and hidden files are not.
+
+    root is a folder of this machine, whose names are walked here; contents are read by Spark, where a file that can't be read has an
+    error instead of a digest."""
     found: list[str] = []
     for folder, below, names in os.walk(root):
         below.sort()
@@ -85,6 +127,18 @@ def local_files(spark: SparkSession, root: str, most: int | None = None, content
     found = sorted(found, key=lambda p: p.split("/"))[:most]
     files = spark.createDataFrame([(p,) for p in found], "path string")
     if not contents or not found:
-        return files.withColumn("content_md5", F.lit(None).cast("string"))
-    data = spark.read.format("binaryFile").load(found).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.md5("content").alias("content_md5"))
-    return files.join(data, "path", "left")
+        return files.withColumns({"content_md5": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
+
+    def digested(batches):
+        for batch in batches:
+            rows = []
+            for path in batch.column("path").to_pylist():
+                try:
+                    with open(path, "rb") as f:
+                        rows.append((path, hashlib.file_digest(f, "md5").hexdigest(), None))
+                except OSError as e:
+                    rows.append((path, None, e.strerror or "unreadable"))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["path", "content_md5", "error"])
+
+    spread_out = files.repartition(max(1, min(len(found), 4 * spark.sparkContext.defaultParallelism)))
+    return spread_out.mapInArrow(digested, "path string, content_md5 string, error string")

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from . import text as X
 
-DEPTH = 32  # levels that are opened one by one; what is nested deeper goes through its JSON text
-
 
 def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
@@ -19,16 +17,28 @@ def _opened(items: Column) -> Column:
     return F.flatten(F.transform(items, lambda v: F.when(_kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))))
 
 
+def _depth(v: Column) -> Column:
+    """How deep the brackets of a leaf's JSON nest, strings left out."""
+    brackets = F.regexp_replace(F.regexp_replace(F.to_json(v), r'"(?:[^"\\]++|\\.)*+"', ""), r"[^\[\]]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(at: Column, c: Column) -> Column:
+        now = at["now"] + F.when(c == "[", 1).when(c == "]", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+    return F.aggregate(F.split(brackets, ""), start, step)["most"]
+
+
 def items(v: Column, strict: bool = True) -> Column:
     """array<variant> of the scalars of a leaf, depth first; null if the leaf is null or absent. An object, or a null inside an array,
     is an error, or is left out where not strict."""
-    whole = F.when(v.isNotNull() & (_kind(v) != "VOID"), F.array(v))
-    for _ in range(DEPTH):
-        whole = _opened(whole)
-    bad = lambda x: x.isNull() | (_kind(x) == "VOID") | _kind(x).startswith("OBJECT") | _kind(x).startswith("ARRAY")
+    levels = F.when(_kind(v).startswith("ARRAY"), _depth(v)).otherwise(F.lit(0))
+    opened = F.aggregate(F.array_repeat(F.lit(0), levels), F.array(v), lambda found, _: _opened(found))
+    whole = F.when(v.isNotNull() & (_kind(v) != "VOID"), opened)
+    bad = lambda x: x.isNull() | (_kind(x) == "VOID") | _kind(x).startswith("OBJECT")
     if not strict:
         return F.filter(whole, lambda x: ~bad(x))
-    return F.when(F.exists(whole, bad), F.raise_error(F.lit("a leaf holds a null, an object, or arrays nested too deep"))).otherwise(whole)
+    return F.when(F.exists(whole, bad), F.raise_error(F.lit("a leaf holds a null or an object"))).otherwise(whole)
 
 
 def as_text(v: Column) -> Column:

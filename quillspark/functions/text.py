@@ -44,7 +44,7 @@ def for_match(c: Column) -> Column:
 
 def significant(c: Column) -> Column:
     """Terms of a for_match() text that tell works apart; order and repeats stay."""
-    return F.filter(F.split(c, " "), lambda t: (F.length(t) >= 3) & t.rlike("[a-z]") & ~t.isin(NOISE))
+    return F.filter(F.split(c, " "), lambda t: (F.length(t) >= 3) & t.rlike("[a-z]") & ~t.isin(*NOISE))
 
 
 def hash_like(c: Column) -> Column:

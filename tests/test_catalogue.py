@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark import config
+from quillspark.functions import leaves as L
 from quillspark.functions import text as X
 from quillspark.operators import expand as E
 from quillspark.operators import ingest as I
@@ -58,7 +59,7 @@ def test_filters_and_lookups(catalogue):
     assert Q.keyword_count(records, "large", Q.Filters(year=2015)).head().hits == 1
     assert [r.rid for r in Q.exact(records, codes, ["md5"], "aB" * 16).collect()] == [1, 2]
     assert Q.resolve_one(records, codes, isbn="000000000x").rid == 3
-    with pytest.raises(LookupError, match="multiple"):
+    with pytest.raises(LookupError, match="more than one"):
         Q.resolve_one(records, codes, md5="ab" * 16)
     with pytest.raises(LookupError, match="no record"):
         Q.resolve_one(records, codes, aa_id="zz")
@@ -66,14 +67,14 @@ def test_filters_and_lookups(catalogue):
         Q.resolve(records, codes, aa_id="a", md5="b")
 
 
-def test_expansion(catalogue):
+def test_expansion(spark, catalogue, tmp_path):
     records, _ = catalogue
-    cache, provider = E.Cache(), E.TableProvider({"llm": ["large models", "LLM", "a/b", "zz", "large  models"]})
+    cache, provider = E.Cache(spark, str(tmp_path / "cache")), E.TableProvider({"llm": ["large models", "LLM", "a/b", "zz", "large  models"]})
     rows, said = E.expanded_search(records, "llm", Q.Filters(), provider, cache)
     assert [r.rid for r in rows.collect()] == [1] and [a["text"] for a in said["accepted"]] == ["large models"]
-    assert [r["reason"] for r in said["rejected"]] == ["same as literal query", "not a safe lexical query variant", "zero corpus hits", "duplicate candidate"]
+    assert [r["reason"] for r in said["rejected"]] == ["literal", "identifier or path", "no hits", "repeated"]
     assert E.expanded_search(records, "llm", Q.Filters(), provider, cache)[1]["cache_hit"]
-    assert E.skip_reason("ab" * 10) == "query does not look suitable for expansion" and E.skip_reason("plain words") is None
+    assert E.skip_reason("ab" * 10) == "identifier or path" and E.skip_reason("plain words") is None
 
 
 def test_build(spark, tmp_path):
@@ -84,16 +85,30 @@ def test_build(spark, tmp_path):
         doc["_source"]["id"] = f" {name} "
         with gzip.open(src / f"aarecords__{n}.json.gz", "wt") as f:
             f.write("\n" + json.dumps(doc) + "\n  \n")
-    assert I.build(spark, str(src), str(tmp_path / "out")) == {"records": 2, "codes": 4}
-    rows = spark.read.parquet(str(tmp_path / "out/records")).orderBy("rid").collect()
+    made = I.build(spark, str(src), str(tmp_path / "out"))
+    assert (made["records"], made["codes"]) == (2, 4) and [s["lines"] for s in made["shards"]] == [1, 1]
+    built = I.opened(spark, str(tmp_path / "out"))
+    rows = built.records.orderBy("rid").collect()
+    assert [r.rid for r in Q.keyword(built.records, "title", built=built.index).orderBy("rid").collect()] == [1, 2]
     assert [(r.rid, r.aa_id, r.title, r.year, r.filesize, r.language, r.subjects, r.has_torrent_paths) for r in rows] == [(1, "early", "A title", 2024, 42, "en", "Art", 0), (2, "late", "A title", 2024, 42, "en", "Art", 0)]
     with gzip.open(src / "aarecords__3.json.gz", "wt") as f:
         f.write("{bad\n")
-    with pytest.raises(Exception, match="aarecords__3.json.gz line 1"):
+    with pytest.raises(Exception, match="aarecords__3.json.gz, line 1"):
         I.build(spark, str(src), str(tmp_path / "out"), replace=True)
+    assert I.opened(spark, str(tmp_path / "out")).records.count() == 2  # the failed build left the old catalogue
     assert S.spread(7, 3) == [3, 2, 2]
 
 
+def test_leaves(spark):
+    deep = "[" * 40 + '"x [ y"' + "]" * 40
+    rows = spark.createDataFrame([(1, deep), (2, '["a", [1, [2.50, true]], "]["]'), (3, "null"), (4, '"s"'), (5, "[]")], "n int, j string")
+    got = {r.n: r.t for r in rows.select("n", L.texts(F.parse_json("j")).alias("t")).collect()}
+    assert got == {1: ["x [ y"], 2: ["a", "1", "2.5", "true", "]["], 3: None, 4: ["s"], 5: []}
+    with pytest.raises(Exception, match="a null or an object"):
+        spark.range(1).select(L.texts(F.parse_json(F.lit('[1, [null]]')))).collect()
+    assert spark.range(1).select(L.texts(F.parse_json(F.lit('[1, [null, {"a": 1}, 2]]')), False).alias("t")).head().t == ["1", "2"]
+
+
 def test_text_functions(spark):
     row = spark.createDataFrame([(" a \u0085b ", "À-Bc [1999]", "x_" + "aF" * 16 + " 978-0-123456-78-9 [012345678x]")], "a string, b string, c string").select(
         X.clean(F.col("a")), X.for_match(F.col("b")), X.ascii_lower(F.col("b")), X.md5_candidates(F.col("c")), X.isbn13_candidates(F.col("c")), X.isbn10_candidates(F.col("c")), X.tokens(F.col("b")))

@@ -167,7 +167,7 @@ def test_personal(docs, empty):
         assert all(got[k] == [m.span() for m in re.finditer(p, t) if good[k](m)] for k, p in PATTERNS.items()), t
     assert personal.scan("iban DE89 3704 0044 0532 0130 00 ok", anchors)["iban"] == [(5, 32)]
     out = personal.masked(docs).where("text like '%<email>%'").collect()
-    assert len(out) == 1 and out[0].text == "<email> <phone> <card> <ip> token = abcdef9" and out[0].n_chars == len(out[0].text)
+    assert len(out) == 1 and out[0].text == "<email> <dial> <account> <ip> token = abcdef9" and out[0].n_chars == len(out[0].text)
     assert personal.op3_personal_data(docs).count() == docs.count() and personal.op3_personal_data(empty).count() == 0
 
 
@@ -224,7 +224,7 @@ def test_mixing(docs, rows, empty):
         left = left - full if full else set()
     assert all(abs(r.target - target[r.source]) < 1e-6 and 0 <= r.taken <= 3 * r.size for r in out) and len(out) == len(rows)
     assert sorted(map(str, out)) == sorted(map(str, mixing.mix(docs.repartition(5), chunk=40).collect()))
-    copies = mixing.mixed(docs)
+    copies = mixing.mixed(docs, chunk=40)
     assert copies.columns == docs.columns and copies.count() == sum(r.times for r in out)
     assert mixing.op2_mix_sources(empty).count() == 0
     p, size = np.full(400, 0.3), np.random.default_rng(1).integers(1, 2000, 400)

@@ -128,7 +128,7 @@ def _queries() -> dict:
         "leaf_integers": (lambda s, d: _leaf(s, d, "element_at(array(cast(rid as string), '3.0', ' 12 ', '-4', 'x', '99999999999999999999'), cast(rid % 6 as int) + 1)", "i").select("rid", L.integers(F.col("v")).alias("i")), f"WITH {R} SELECT rid, CAST(CASE rid % 6 WHEN 0 THEN rid WHEN 2 THEN 12 WHEN 3 THEN -4 END AS BIGINT) AS i FROM records"),
         "ingest_statistics": (lambda s, d: I.ingest_statistics(_flat(s, d).withColumns({"shard": F.col("rid") % 7, "file": F.concat(F.lit("f"), (F.col("rid") % 7).cast("string")), "line": F.col("rid")})), f"WITH {R} SELECT rid % 7 AS shard, 'f' || rid % 7 AS file, count(*) AS lines, count(*) AS records, CAST(4 * count(*) AS BIGINT) AS codes FROM records GROUP BY 1, 2"),
         "resolve_two_of_many": (lambda s, d: _resolved(Q.resolve(A.records(s, d), A.records(s, d).select("rid", F.lit("doi").alias("kind"), F.col("language").alias("value")), doi="EN")), f"WITH {R}, hit AS (SELECT rid FROM records WHERE language = 'en' ORDER BY rid LIMIT 2) SELECT rid, 'doc:' || rid AS aa_id, 'ambiguous' AS status FROM hit"),
-        "query_words": (lambda s, d: A.records(s, d).select("rid", X.normal_query(F.concat(F.lit(" "), "title", F.lit("\u00a0 X"))).alias("norm"), X.expandable(F.col("title")).alias("words"), X.expandable(F.col("md5")).alias("hash"), X.expandable(F.col("doi")).alias("path")), f"WITH {R} SELECT rid, trim(regexp_replace({_low('title')}, '[\\s\\u00a0]+', ' ', 'g') || ' x') AS norm, regexp_matches(title, '[A-Za-z]') AND NOT contains(title, '/') AND NOT contains(title, '\\') AS words, false AS hash, false AS path FROM records"),
+        "query_words": (lambda s, d: A.records(s, d).select("rid", X.normal_query(F.concat(F.lit(" "), "title", F.lit("\u00a0 X"))).alias("norm"), X.expandable(F.col("title")).alias("words"), X.expandable(F.col("md5")).alias("hash"), X.expandable(F.col("doi")).alias("path")), f"WITH {R} SELECT rid, trim(regexp_replace({_low('title')}, '[\\s\\x{{a0}}]+', ' ', 'g') || ' x') AS norm, regexp_matches(title, '[A-Za-z]') AND NOT contains(title, '/') AND NOT contains(title, '\\') AS words, false AS hash, false AS path FROM records"),
         "flatten_subjects": (lambda s, d: _flat(s, d).select("rid", "subjects"), f"WITH {R} SELECT rid, 'History ; ' || author || ' ; ' || language AS subjects FROM records"),
         "flatten_description": (lambda s, d: _flat(s, d).select("rid", "description"), f"WITH {R} SELECT rid, 'part ' || rid || chr(10) || chr(10) || 'two parts' AS description FROM records"),
         "flatten_codes": (lambda s, d: _flat(s, d).select("rid", F.posexplode("codes").alias("ord", "c")).select("rid", "ord", "c.kind", "c.value"), f"WITH {R} SELECT rid, CAST(0 AS INTEGER) AS ord, 'md5' AS kind, md5 AS value FROM records UNION ALL SELECT rid, 1, 'isbn13', isbn13 FROM records UNION ALL SELECT rid, 2, 'doi', doi FROM records UNION ALL SELECT rid, 3, 'doi', isbn13 FROM records"),

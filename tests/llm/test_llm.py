@@ -228,7 +228,7 @@ def test_mixing(docs, rows, empty):
     assert copies.columns == docs.columns and copies.count() == sum(r.times for r in out)
     assert mixing.op2_mix_sources(empty).count() == 0
     p, size = np.full(400, 0.3), np.random.default_rng(1).integers(1, 2000, 400)
-    flown = mixing.flight(p.copy(), size, np.arange(400))
+    flown = mixing.flight(p.copy(), size, np.arange(400), least=2)
     assert ((flown > 0) & (flown < 1)).sum() <= 2 and abs(flown.sum() - 120) < 1e-6 and abs(flown @ size - p @ size) < 1e-3
 
 

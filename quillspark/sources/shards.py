@@ -50,14 +50,19 @@ def spread(limit: int, shards: int) -> list[int]:
 
 def _uri(spark: SparkSession, path: str) -> str:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
+    return re.sub("^file:/+", "file:/", at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString())
+
+
+def _literal(path: str) -> str:
+    """path for Spark's readers, which would take its brackets, braces, stars and question marks for a pattern."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
 
 
 def read_lines(spark: SparkSession, paths: list[str], limit: int | None = None, per_shard: bool = False) -> DataFrame:
     """shard (place in paths), file, line (rising with the lines of a file; blank lines left out), value. Each shard is read in order."""
-    rows = spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"))
+    rows = spark.read.text([_literal(p) for p in paths]).select("value", F.col("_metadata.file_name").alias("file"), F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("path"))
     numbers = F.create_map(*(F.lit(x) for at, p in enumerate(paths) for x in (_uri(spark, p), at)))
-    rows = rows.withColumn("line", F.monotonically_increasing_id()).withColumn("shard", numbers[F.col("path")]).drop("path")
+    rows = rows.withColumn("line", F.monotonically_increasing_id()).withColumn("shard", F.coalesce(numbers[F.col("path")], F.raise_error(F.concat(F.lit("no shard of path "), "path")))).drop("path")
     rows = rows.withColumn("value", F.regexp_replace("value", BLANK, "")).where("value <> ''")
     if limit is None:
         return rows.select("shard", "file", "line", "value")
@@ -70,7 +75,7 @@ def read_lines(spark: SparkSession, paths: list[str], limit: int | None = None,
 
 def first_bad_line(spark: SparkSession, path: str) -> int | None:
     """The number, from 1, of the first line of a file that is not JSON. A file alone is one partition, so rows count its lines."""
-    rows = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
+    rows = spark.read.text(_literal(path)).withColumn("line", F.monotonically_increasing_id())
     text = F.regexp_replace("value", BLANK, "")
     return rows.where((text != "") & F.try_parse_json(text).isNull()).agg((F.min("line") + 1).alias("line")).head().line
 

@@ -138,3 +138,13 @@ def test_naming_and_config(spark, catalogue, tmp_path):
     assert (N.resume(206, 5, "bytes 5-9/10"), N.resume(200, 5, None), N.resume(416, 5, "bytes */5"), N.resume(206, 5, "bytes 4-9/10")) == ("append", "restart", "complete", "error")
     got = config.resolved({"downloads": " "}, {"downloads": "~/d"}, {"HOME": "/h", "XDG_DATA_HOME": "/x"})
     assert got["downloads"] == config.Setting("/h/d", "config_file") and got["catalogue"].origin == "xdg"
+
+
+def test_shard_names_are_no_patterns(spark, tmp_path):
+    src = tmp_path / "a b[1] {x}%"
+    src.mkdir()
+    for n in (10, 2):
+        with gzip.open(src / f"aarecords__{n}.json.gz", "wt") as f:
+            f.write(f'{{"n": {n}}}\n')
+    rows = S.read_lines(spark, S.discover(spark, str(src))).orderBy("shard").collect()
+    assert [(r.shard, r.value) for r in rows] == [(0, '{"n": 2}'), (1, '{"n": 10}')]

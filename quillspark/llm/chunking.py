@@ -95,78 +95,91 @@ KEY = ("absent", "doc_id", "tie")
 PER_PART = 40  # rows drawn for each part, to cut the order evenly
 
 
-def dealt(docs: DataFrame, parts: int) -> DataFrame | None:
-    """part, slot, own, KEY, text: all rows in parts of the order of KEY; what a part begins with also goes, not own, to the part before.
+ALONE, OWN, FOLLOWING = range(3)
 
-    A part begins with the key of a row that was drawn, so which rows are first is known without asking. Rows of one key are alike; where
-    they are so many that parts begin with the same key, they are dealt to these in turn. Of the rows of such a key each task
-    sends one to the parts before. None if there are no rows."""
+
+def dealt(docs: DataFrame, parts: int) -> tuple[DataFrame, int] | None:
+    """part, slot, kind, KEY, text, and the number of parts: all rows in parts of the order of KEY; what a part begins with also goes, as
+    FOLLOWING, to the part before.
+
+    A part begins with the key of a row that was drawn, so which rows are first is known without asking, and no two parts begin
+    with the same key. Rows of one doc_id and text are alike: of those that were drawn more than once each task lets one take its place in
+    the order; a further one is followed by one like it whatever the order is, so it goes ALONE to the parts in turn.
+    None if there are no rows."""
     spark = docs.sparkSession
     rows = steady(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     rows = rows.select(F.col("doc_id").isNull().cast("int").alias("absent"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     all_of = rows.agg(F.min(F.struct(*KEY)).alias("least"), F.count("*").alias("count")).head()
     if not all_of["count"]:
         return None
-    least, share = all_of.least, PER_PART * parts / all_of["count"]
-    drawn = sorted(tuple(r) for r in rows.select(*KEY).where(F.rand(7) < share).collect()) or [tuple(least)]  # some for each partition
-    cuts = sorted([tuple(least), *(drawn[len(drawn) * p // parts] for p in range(1, parts))])
+    least, share = tuple(all_of.least), PER_PART * parts / all_of["count"]
+    drawn = sorted(tuple(r) for r in rows.select(*KEY).where(F.rand(7) < share).collect()) or [least]  # some for each partition
+    cuts = sorted({least, *(drawn[len(drawn) * p // parts] for p in range(1, parts))})
+    often = {a for a, b in zip(drawn, drawn[1:], strict=False) if a == b}
+    parts = len(cuts)
     slot = slots(spark, parts)
 
     def run(batches):
-        turn, sent = 0, set()
+        turn, sent, met = 0, set(), {}
         for batch in batches:
-            to, again, before = [], [], []
+            to, kind, again, before = [], [], [], []
             for at, key in enumerate(zip(*(batch.column(c).to_pylist() for c in KEY), strict=True)):
-                low, high = bisect_left(cuts, key), bisect_right(cuts, key)
-                if low == high:
-                    to.append(high - 1)
-                    continue
-                to.append(low + turn % (high - low))
-                turn += 1
-                if key not in sent:
+                if key in often:
+                    text = batch.column("text")[at].as_py()
+                    if met.setdefault(key, text) == text and key in sent:
+                        to.append(turn % parts)
+                        kind.append(ALONE)
+                        turn += 1
+                        continue
                     sent.add(key)
-                    for p in range(low - 1, high - 1):
-                        again.append(at)
-                        before.append(p % len(cuts))
+                low, high = bisect_left(cuts, key), bisect_right(cuts, key)
+                to.append(high - 1)
+                kind.append(OWN)
+                if low < high:
+                    again.append(at)
+                    before.append((low - 1) % parts)
             out = batch.take(pa.array([*range(len(to)), *again], pa.int32()))
-            own = [True] * len(to) + [False] * len(again)
             to += before
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([slot[p] for p in to], pa.int32()), pa.array(own), *out.columns], ["part", "slot", "own", *out.schema.names])
+            kind += [FOLLOWING] * len(again)
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([slot[p] for p in to], pa.int32()), pa.array(kind, pa.int32()), *out.columns], ["part", "slot", "kind", *out.schema.names])
 
-    return rows.mapInArrow(tidied(run), "part int, slot int, own boolean, absent int, doc_id long, tie long, text string")
+    return rows.mapInArrow(tidied(run), "part int, slot int, kind int, absent int, doc_id long, tie long, text string"), parts
 
 
 def neighbours(docs: DataFrame, run, schema: str) -> DataFrame:
     """run((doc_id, text) rows in order, each with the next one's text) over parts of the order of doc_id."""
     spark = docs.sparkSession
     importable(spark)
-    parts = max(2, partitions(spark))
-    rows = dealt(docs, parts)
-    if rows is None:
+    found = dealt(docs, max(2, partitions(spark)))
+    if found is None:
         return spark.createDataFrame([], schema)
+    rows, parts = found
 
     def streamed(batches):
         def rows():
             for batch in batches:
                 for at in range(0, batch.num_rows, ROWS):
                     few = batch.slice(at, ROWS)
-                    yield from zip(*(few.column(c).to_pylist() for c in ("part", "own", "absent", "doc_id", "text")), strict=True)
+                    yield from zip(*(few.column(c).to_pylist() for c in ("part", "kind", "absent", "doc_id", "text")), strict=True)
 
         def paired():
             held = None
-            for part, own, absent, doc_id, text in rows():
+            for part, kind, absent, doc_id, text in rows():
                 if held:
                     if held[0] != part:
                         raise RuntimeError("the input has changed since its order was cut")
                     yield held[1], held[2], text
-                held = (part, None if absent else doc_id, text) if own else None
+                name = None if absent else doc_id
+                held = (part, name, text) if kind == OWN else None
+                if kind == ALONE:
+                    yield name, text, text
             if held:
                 raise RuntimeError("the input has changed since its order was cut")
 
         yield from run(paired())
 
-    ordered = rows.repartition(parts, "slot").sortWithinPartitions("part", F.desc("own"), *KEY)
-    return ordered.select("part", "own", "absent", "doc_id", "text").mapInArrow(tidied(streamed), schema)
+    ordered = rows.repartition(parts, "slot").sortWithinPartitions("part", "kind", *KEY)
+    return ordered.select("part", "kind", "absent", "doc_id", "text").mapInArrow(tidied(streamed), schema)
 
 
 def fingerprinted(pairs, limit: int = 1 << 19):

@@ -46,7 +46,7 @@ LONG_LIST = 64  # sets; longer lists are compared by differences from a pivot
 DRAWN = 64  # members of a family that make its pivot, about
 PARITY_BITS = 1024
 BROADCAST_ROWS = 100_000  # of 24 bytes
-STATE = "doc_key long, n long, class binary, tokens array<long>, singles int, parity binary, shingles binary"
+STATE = "doc_key long, tie long, n long, class binary, tokens array<long>, singles int, parity binary, shingles binary"
 
 
 class Sets:
@@ -126,7 +126,7 @@ def states(docs: DataFrame, shared: Filter, hot: Filter | None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, seen = batch.column("doc_key").to_numpy(), set()
+            ids, ties, seen = batch.column("doc_key").to_numpy(), batch.column("tie").to_numpy(), set()
             for i, j, buf, off in A.chunks(batch.column("text")):
                 sets = Sets(buf, off)
                 in_both, prefix, of, single = sets.prefixes(shared, hot)
@@ -142,9 +142,9 @@ def states(docs: DataFrame, shared: Filter, hot: Filter | None) -> DataFrame:
                         parities[d] = parity(own)
                         shingles[d] = own[in_both[sets.first[d] : sets.first[d + 1]]].tobytes()
                 kinds = (pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), pa.array(np.diff(sets.first)), *map(pa.array, columns, kinds)], [x.split()[0] for x in STATE.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), pa.array(ties[i:j]), pa.array(np.diff(sets.first)), *map(pa.array, columns, kinds)], [x.split()[0] for x in STATE.split(", ")])
 
-    return docs.select("doc_key", "text").mapInArrow(tidied(run), STATE)
+    return docs.select("doc_key", "tie", "text").mapInArrow(tidied(run), STATE)
 
 
 def boundary(sets: DataFrame) -> int:
@@ -363,35 +363,45 @@ def linked(sets: DataFrame, posts: DataFrame, state: DataFrame, hot: Filter | No
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_key, n, component of each row of docs (doc_key, text)."""
+    """doc_key, tie, n, head of each row of docs (doc_key, tie, text): head is the least (doc_key, tie) of its component."""
     importable(docs.sparkSession)
+    own = F.struct("doc_key", "tie")
     shared, hot = shingle_filters(docs.select("text"))
     state = stored(states(docs, shared, hot))
-    some = state.where("class is not null").groupBy("class").agg(F.min("doc_key").alias("low"), F.max("n").alias("n"), F.first("tokens", True).alias("tokens"), F.first("singles", True).alias("singles"), F.first("parity", True).alias("parity"))
+    some = state.where("class is not null").groupBy("class").agg(F.min(own).alias("low"), F.max("n").alias("n"), F.first("tokens", True).alias("tokens"), F.first("singles", True).alias("singles"), F.first("parity", True).alias("parity"))
     sets = stored(some.withColumn("rid", F.monotonically_increasing_id()))
     roots = linked(sets, postings(sets, boundary(sets)), state, hot)
     rooted = sets.select("class", "low", "rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    named = rooted.join(least, "root").select("class", "component")
-    alone = state.where("class is null").select("doc_key", "n", F.col("doc_key").alias("component"))
-    return state.where("class is not null").select("doc_key", "n", "class").join(named, "class").select("doc_key", "n", "component").unionByName(alone)
+    least = rooted.groupBy("root").agg(F.min("low").alias("head"))
+    named = rooted.join(least, "root").select("class", "head")
+    alone = state.where("class is null").select("doc_key", "tie", "n", own.alias("head"))
+    return state.where("class is not null").select("doc_key", "tie", "n", "class").join(named, "class").select("doc_key", "tie", "n", "head").unionByName(alone)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return steady(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    """doc_key (null last), tie (of the text, to tell rows of one doc_id apart), text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return steady(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_key"), F.xxhash64(text).alias("tie"), text.alias("text")))
 
 
 def op10_ngram_jaccard(docs: DataFrame) -> DataFrame:
-    back = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return classes(keyed(docs)).select(back("doc_key").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"))
+    back = lambda c: F.when(c != LAST, c)
+    return classes(keyed(docs)).select(back(F.col("doc_key")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.col("head.doc_key")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, without those of a component whose smallest doc_id is another's. Of rows that repeat a doc_id
-    one stays; rows without doc_id stay."""
-    gone = classes(keyed(docs)).where("component <> doc_key").select(F.col("doc_key").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    """One row of docs, all columns, for each component: that of the smallest doc_id (null last), then of the least hash of the text. Rows of one doc_id with
+    different texts are documents of their own. Of rows that repeat doc_id and text one stays, the first by its columns as JSON; rows
+    without doc_id and without words all stay."""
+    docs = steady(docs)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_key"), F.xxhash64(text).alias("tie"), (F.col("doc_id").isNotNull() | text.rlike(r"[^\x20\x09-\x0D]")).alias("known"), F.struct("*").alias("row"))
+    key = ["doc_key", "tie"]
+    gone = classes(keyed(docs)).where("head.doc_key <> doc_key or head.tie <> tie").select(*key).distinct()
+    kept = named.join(gone, key, "left_anti")
+    twice = stored(named.where("known").groupBy(*key).count().where("count > 1").select(*key))
     if twice.isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+        return kept.select("row.*")
+    firsts = kept.where("known").join(twice, key, "left_semi").groupBy(*key).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    once = kept.where("known").join(twice, key, "left_anti").unionByName(kept.where("not known"))
+    return once.select("row.*").unionByName(firsts.select("row.*"))

@@ -17,6 +17,7 @@ length is one word.
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ from . import arrays as A
 from .session import importable, stored, tidied
 
 LEAST_LENGTH, LEAST_COUNT, TIMES, ONE_IN = 5, 3, 2, 97
-CROWD = 64  # words that share a key are compared as they are up to here
+CROWD = 16  # words that share a key are compared as they are up to here
+HELD_WORDS = 100_000  # that a task counts before it passes them on
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), 0xC3]] = True  # U+00C0 to U+00FF are the byte C3 and one more
 CRC = np.array([zlib.crc32(bytes([b])) ^ zlib.crc32(b"\0") for b in range(256)], np.uint32)  # the register's step, without its start and end
@@ -72,7 +74,8 @@ def counted(ids: list, buf: np.ndarray, off: np.ndarray, one_in: int = ONE_IN, l
     doc = np.searchsorted(off, s, "right") - 1
     head = np.array([zlib.crc32(f"{'' if d is None else d}:".encode()) for d in ids], np.uint32)
     check = checksums(buf, s, e, head[doc])
-    pairs = np.append(0, np.cumsum(buf == 0xC3))
+    pairs = np.zeros(len(buf) + 1, np.int32)
+    np.cumsum(buf == 0xC3, out=pairs[1:])
     points = (e - s) - (pairs[e] - pairs[s])
     touched = check % np.uint32(one_in) == 0
     whole = np.flatnonzero(~touched & (points >= least))
@@ -97,10 +100,10 @@ def vocabulary(docs: DataFrame, least_count: int = LEAST_COUNT) -> DataFrame:
         held: dict[bytes, int] = {}
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for i, j, buf, off in A.chunks(batch.column("text"), 4 * A.CHUNK_BYTES):
+            for i, j, buf, off in A.chunks(batch.column("text")):
                 for word, n in counted(ids[i:j], buf, off).items():
                     held[word] = held.get(word, 0) + n
-                if len(held) > 200_000:
+                if len(held) > HELD_WORDS:
                     yield of(held)
                     held = {}
         if held:
@@ -119,7 +122,7 @@ def part(text: Column, first: Column, length: Column) -> Column:
 
 
 def halves(rows: DataFrame) -> DataFrame:
-    """The next keys of rows (id, key, low, high, over, word): of a word's part from low to high that is not in its key, with over = 1
+    """The next keys of rows (word, n, key, low, high, over): of a word's part from low to high that is not in its key, with over = 1
     if the part is to be one longer than the indexed word's. Each key holds what it was made of, so it names its places too."""
     size = F.col("high") - F.col("low") - F.col("over")  # of the indexed word's part
     half = F.floor(size / 2).cast("int")
@@ -128,45 +131,36 @@ def halves(rows: DataFrame) -> DataFrame:
     rest = F.col("low") + half + F.col("over")
     second = F.struct(key(">", part(F.col("word"), rest, size - half)).alias("key"), F.col("low").alias("low"), rest.alias("high"))
     both = rows.withColumn("new", F.explode(F.array(first, second)))
-    return both.select("id", "over", "word", "new.*")
+    return both.select("word", "n", "over", "new.*")
 
 
-def candidates(words: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """a, b: ids of two words that share a key, once; every two words of one edit are among them. words: id, word.
+def near_pairs(words: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """a, a_n, b, b_n: each two words of words (word, n) that differ by exactly one code point, once.
 
     Keys of more than ``crowd`` words are split on, each round by a count that combines before its shuffle, as long as a part of two or
-    more code points is left."""
-    start = words.select("id", F.lit("").alias("key"), F.lit(0).alias("low"), F.length("word").cast("int").alias("high"), "word")
-    index = halves(start.withColumn("over", F.lit(0)))
-    probes = halves(start.withColumn("over", F.lit(1)))
-    found = None
+    more code points is left. A candidate is verified where its key brings it up, so only pairs that are near are moved to become one."""
+    start = words.select("word", "n", F.lit("").alias("key"), F.lit(0).alias("low"), F.length("word").cast("int").alias("high"))
+    index, probes, found = halves(start.withColumn("over", F.lit(0))), halves(start.withColumn("over", F.lit(1))), []
     while True:
-        # equal lengths are probed by the index itself
         index, probes = stored(index), stored(probes)
         sides = index.withColumn("indexed", F.lit(True)).unionByName(probes.withColumn("indexed", F.lit(False)))
         sizes = sides.groupBy("key").agg(F.count("*").alias("c"), F.max("indexed").alias("indexed"), F.first(F.col("high") - F.col("low") - F.col("over")).alias("size"))
         crowded = stored(sizes.where((F.col("c") > crowd) & F.col("indexed") & (F.col("size") > 1)).select("key"))
         last = crowded.isEmpty()
         here = lambda rows, kind: rows if last else rows.join(crowded, "key", kind)
-        few, more = here(index, "left_anti"), here(probes, "left_anti")
-        one = few.select("key", F.col("id").alias("a"))
-        equal = one.join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
-        longer = one.join(more.select("key", F.col("id").alias("b")), "key").select("a", "b")
-        pairs = equal.unionByName(longer)
-        found = pairs if found is None else found.unionByName(pairs)
+        few, more = (here(rows, "left_anti").select("key", "word", "n") for rows in (index, probes))
+        one = few.toDF("key", "a", "a_n")
+        for other, apart in ((few, F.col("a") < F.col("b")), (more, F.lit(True))):  # equal lengths are probed by the index itself
+            found.append(stored(one.join(other.toDF("key", "b", "b_n"), "key").where(apart & (F.levenshtein("a", "b", 1) == 1)).select("a", "a_n", "b", "b_n")))
         if last:
-            return found.distinct()
-        index, probes = halves(here(index, "left_semi")), halves(here(probes, "left_semi"))
+            return reduce(DataFrame.unionByName, found).distinct()
+        index, probes = (halves(here(rows, "left_semi")) for rows in (index, probes))
 
 
 def near(words: DataFrame, crowd: int = CROWD) -> DataFrame:
     """word, n, other, other_n for each two words of words (word, n) that differ by exactly one code point, in both directions."""
-    named = stored(words.withColumn("id", F.monotonically_increasing_id()))
-    sides = [named.select(F.col("id").alias(x), F.col("word").alias(f"{x}_word"), F.col("n").alias(f"{x}_n")) for x in "ab"]
-    pairs = candidates(named.select("id", "word"), crowd).join(sides[0], "a").join(sides[1], "b").where(F.levenshtein("a_word", "b_word", 1) == 1)
-    pairs = stored(pairs.select("a_word", "a_n", "b_word", "b_n"))
-    names = ["word", "n", "other", "other_n"]
-    return pairs.toDF(*names).unionByName(pairs.select("b_word", "b_n", "a_word", "a_n").toDF(*names))
+    pairs, names = stored(near_pairs(words, crowd)), ["word", "n", "other", "other_n"]
+    return pairs.toDF(*names).unionByName(pairs.select("b", "b_n", "a", "a_n").toDF(*names))
 
 
 def roots(forms: DataFrame) -> DataFrame:

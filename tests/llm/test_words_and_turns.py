@@ -50,7 +50,7 @@ def spelled(rows):
     return out
 
 
-@pytest.mark.parametrize("crowd", [64, 2])
+@pytest.mark.parametrize("crowd", [16, 2])
 def test_spelling(spark, monkeypatch, crowd):
     r, rows = random.Random(2), []
     for d in range(120):
@@ -58,7 +58,7 @@ def test_spelling(spark, monkeypatch, crowd):
         rows.append((d if d % 7 else None, " ".join("".join(r.choices(letters, k=r.choice([4, 5, 5, 6, 7, 9]))) for _ in range(200)) + "÷x5abcdefg××"))
     long = ["a" * 3000, "a" * 3001, "a" * 1500 + "b" + "a" * 1500]
     rows += [(900 + k, " ".join(long)) for k in range(3)] + [(1, None), (2, ""), (3, "5 --")] + rows[:9]
-    for f in (spelling.candidates, spelling.near):
+    for f in (spelling.near_pairs, spelling.near):
         monkeypatch.setattr(f, "__defaults__", (crowd,))
     monkeypatch.setattr(spelling.variants, "__defaults__", (2, crowd))
     docs = spark.createDataFrame(clashing(rows), CLASHING).repartition(3)

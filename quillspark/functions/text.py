@@ -84,7 +84,7 @@ def file_name(path: Column) -> Column:
 
 def stem(name: Column) -> Column:
     """Up to the last dot; a name with its only dot in front stays."""
-    return F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_extract(name, r"^(.+)\.[^.]*$", 1)).otherwise(name)
+    return F.when(name.rlike(r"(?s)^.+\.[^.]*$"), F.regexp_extract(name, r"(?s)^(.+)\.[^.]*$", 1)).otherwise(name)
 
 
 def safe_file_name(c: Column) -> Column:

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import time
-import uuid
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -14,9 +12,8 @@ from .. import shared
 from ..functions import leaves as L
 from ..functions import text as X
 from ..sources import shards
-from . import search as Q
+from . import catalogue
 
-POINTER = "catalogue.json"
 #: The source's names of subject lists, in order of preference.
 SUBJECT_LISTS = ("openlib_subject", "zlib_category_name", "rgb_subject", "sciencereading_category", "edsebk_subject", "lgrsnf_topic", "nexusstc_tag")
 
@@ -67,120 +64,50 @@ def flattened(docs: DataFrame, strict: bool = True) -> DataFrame:
     return docs.select(*(c for c in docs.columns if c != "doc"), *(v.alias(k) for k, v in columns.items()))
 
 
-def records_and_codes(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From flattened rows with shard and line."""
-    rows = shards.ranked(flat)
+def records_and_codes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From flattened rows with rid."""
     return rows.select(*S.RECORDS.fieldNames()), rows.select("rid", F.explode("codes").alias("c")).select("rid", "c.kind", "c.value")
 
 
-def assert_unique(df: DataFrame, *key: str) -> None:
-    twice = df.groupBy(*key).count().where("count > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"not unique: {twice[0].asDict()}")
-
-
 def build(spark: SparkSession, source: str, target: str, replace: bool = False, max_shards: int | None = None, limit: int | None = None, per_shard: bool = False, strict: bool = True) -> dict:
     """Shards to a catalogue below target: counts and seconds by step.
 
-    All tables go to a folder of this build; the pointer to it is written last, so readers see the old catalogue or the whole new
-    one. Lines are parsed once."""
-    if not replace and shared.exists(spark, f"{target}/{POINTER}"):
-        raise FileExistsError(target)
-    folder, old, seconds, began = uuid.uuid4().hex, shared.read_text(spark, f"{target}/{POINTER}"), {}, time.time()
+    All tables go to a folder of this build, which a new snapshot names, so readers see the old catalogue or the whole new one. Lines are
+    parsed once, and counted by the same job; records are numbered by counts of partitions and written without a shuffle."""
+    since, seconds, began = catalogue.base(spark, target, replace), {}, time.time()
 
     def lap(step: str) -> None:
         seconds[step] = round(time.time() - began - sum(seconds.values()), 3)
 
-    path = f"{target}/{folder}"
-    try:
+    statistics: list[dict] = []
+
+    def make(folder: str) -> catalogue.Snapshot:
+        path = f"{target}/{folder}"
         paths = shards.discover(spark, source, max_shards)
+        lines, told = Observation("lines"), Observation("records")
+        rows = shards.read_lines(spark, paths, lines) if limit is None else shards.limited(spark, paths, limit, per_shard, f"{path}/lines")
+        lap("find")
+        flat = flattened(shards.parsed(rows).drop("value"), strict).observe(told, F.count("*").alias("records"), F.coalesce(F.sum(F.size("codes")), F.lit(0)).alias("codes"))
         try:
-            flattened(shards.parsed(shards.read_lines(spark, paths, limit, per_shard)).drop("value"), strict).write.parquet(f"{path}/flat")
+            flat.write.parquet(f"{path}/flat")
         except Exception as error:
             raise shards.explained(spark, paths, error) from error
         lap("parse")
-        flat = spark.read.parquet(f"{path}/flat")
-        counts = write_catalogue(*records_and_codes(flat), path, lap)
-        statistics = [r.asDict() for r in ingest_statistics(flat).collect()]  # a row for each shard
-        shared.remove(spark, f"{path}/flat")
-        content = {"version": S.VERSION, "folder": folder, **counts}
-        shared.write_text(spark, f"{target}/{POINTER}", content)
-    except Exception:
-        shared.remove(spark, path)
-        raise
-    if old:
-        shared.remove(spark, f"{target}/{old['folder']}")
-    return {**counts, "shards": statistics, "seconds": seconds}
-
-
-def write_catalogue(records: DataFrame, codes: DataFrame, path: str, lap=lambda step: None) -> dict:
-    """The tables of a catalogue below path, with the index of its records; counts."""
-    spark = records.sparkSession
-    write(records, f"{path}/records", True, "rid")
-    stored_records = spark.read.parquet(f"{path}/records")
-    assert_unique(stored_records, "aa_id")
-    lap("records")
-    write(Q.folded(codes), f"{path}/record_codes", True, "kind", "value_lc")
-    stored_codes = spark.read.parquet(f"{path}/record_codes")
-    assert_unique(stored_codes, "rid", "kind", "value")
-    lap("codes")
-    Q.write_index(stored_records, f"{path}/index")
-    lap("index")
-    return {"records": stored_records.count(), "codes": stored_codes.count()}
-
-
-@dataclass(frozen=True)
-class Catalogue:
-    records: DataFrame
-    codes: DataFrame
-    index: tuple[DataFrame, DataFrame, DataFrame]
-
-
-def opened(spark: SparkSession, target: str) -> Catalogue:
-    """The catalogue that target points to; one of another version, or none, is an error."""
-    said = shared.read_text(spark, f"{target}/{POINTER}")
-    if said is None:
-        raise FileNotFoundError(f"no catalogue in {target}")
-    if said["version"] != S.VERSION:
-        raise ValueError(f"the catalogue has version {said['version']}, not {S.VERSION}: build it again")
-    return at_path(spark, f"{target}/{said['folder']}")
-
-
-def at_path(spark: SparkSession, path: str) -> Catalogue:
-    return Catalogue(spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/record_codes"), Q.read_index(spark, f"{path}/index"))
-
-
-def write(df: DataFrame, path: str, replace: bool, *by: str) -> None:
-    """Parquet in ranges of the lookup key, so that a lookup reads few row groups."""
-    df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite" if replace else "errorifexists").parquet(path)
-
-
-def empty_catalogue(spark: SparkSession, target: str, replace: bool = False) -> None:
-    """A catalogue without records below target."""
-    if not replace and shared.exists(spark, f"{target}/{POINTER}"):
-        raise FileExistsError(target)
-    folder = uuid.uuid4().hex
-    counts = write_catalogue(spark.createDataFrame([], S.RECORDS), spark.createDataFrame([], S.RECORD_CODES), f"{target}/{folder}")
-    shared.write_text(spark, f"{target}/{POINTER}", {"version": S.VERSION, "folder": folder, **counts})
-
-
-def with_local_paths(records: DataFrame, links: DataFrame) -> DataFrame:
-    """records with the local_path of links (rid, path); others keep theirs."""
-    new = links.select("rid", F.col("path").alias("_path"))
-    return records.join(new, "rid", "left").withColumn("local_path", F.coalesce("_path", "local_path")).select(*records.columns)
-
-
-def apply_links(spark: SparkSession, target: str, links: DataFrame) -> None:
-    """The catalogue of target with the links' local paths: its records are written again beside the old ones, and the pointer follows."""
-    said = shared.read_text(spark, f"{target}/{POINTER}")
-    old, new = f"{target}/{said['folder']}", f"{said['folder'].split('-')[0]}-{uuid.uuid4().hex[:8]}"
-    write(with_local_paths(opened(spark, target).records, links), f"{target}/{new}/records", True, "rid")
-    for name in ("record_codes", "index"):
-        shared.copy(spark, f"{old}/{name}", f"{target}/{new}/{name}")
-    shared.write_text(spark, f"{target}/{POINTER}", said | {"folder": new})
-    shared.remove(spark, old)
+        numbered = shards.numbered(spark.read.schema(flat.schema).parquet(f"{path}/flat"))
+        statistics.append((lines.get if limit is None else {}) | told.get)
+        made = catalogue.write_tables(*records_and_codes(numbered), target, folder, lap, in_order=True)
+        statistics.extend(r.asDict() for r in ingest_statistics(numbered).collect())  # a row for each shard
+        for name in ("flat", "lines"):
+            shared.remove(spark, f"{path}/{name}")
+        return made
+
+    made = catalogue.written(spark, target, since, make)
+    if made.number > 1:
+        catalogue.vacuum(spark, target)
+    parsed, *by_shard = statistics
+    return {"records": made.counts["records"], "codes": made.counts["codes"], "parsed": parsed, "shards": by_shard, "seconds": seconds}
 
 
 def ingest_statistics(rows: DataFrame) -> DataFrame:
     """shard, file, lines (those that aren't blank), records, codes of flattened rows."""
-    return rows.groupBy("shard", "file").agg(F.count("line").alias("lines"), F.count("aa_id").alias("records"), F.sum(F.size("codes")).cast("bigint").alias("codes")).orderBy("shard")
+    return rows.groupBy("shard", "file").agg(F.count("*").alias("lines"), F.count("aa_id").alias("records"), F.sum(F.size("codes")).cast("bigint").alias("codes")).orderBy("shard")

@@ -24,6 +24,12 @@ def default_name(mode: str) -> Column:
     return X.safe_file_name(names[mode])
 
 
+def destination(folder: str, mode: str, name: str | None = None) -> Column:
+    """Where a record's file goes: below folder, under the given name, made safe, or the default one; no name left is an error."""
+    safe = X.safe_file_name(F.lit(name)) if name is not None else default_name(mode)
+    return F.when(F.coalesce(safe, F.lit("")) == "", F.raise_error(F.lit("no file name can be made of this record"))).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), safe))
+
+
 def same_md5(a: Column, b: Column) -> Column:
     return X.ascii_lower(a) == X.ascii_lower(b)
 

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import text as X
 from ..schema import RESULT, SEARCHED
 
@@ -30,6 +31,11 @@ class Filters:
         if self.limit < 1:
             raise ValueError("limit must be at least 1")
 
+    @property
+    def narrow(self) -> bool:
+        """Whether any row can be left out."""
+        return any(v is not None for v in (self.language, self.extension, self.year))
+
     def predicate(self) -> Column:
         wanted = [X.ascii_lower(F.col(c)) == X.ascii_lower(F.lit(v)) for c, v in (("language", self.language), ("extension", self.extension)) if v is not None]
         if self.year is not None:
@@ -59,29 +65,41 @@ def match_expression(query: str) -> str:
     return " AND ".join(f'"{u}"' for u in units(query))
 
 
+def tokenised(records: DataFrame) -> DataFrame:
+    """rid, columns: the terms of each searched column, in order."""
+    return records.select("rid", F.array(*(F.struct(F.lit(at).alias("col"), X.tokens(F.col(c)).alias("words")) for at, c in enumerate(SEARCHED))).alias("columns"))
+
+
 def index(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """terms, lengths, corpus."""
-    columns = F.array(*(F.struct(F.lit(at).alias("col"), X.tokens(F.col(c)).alias("words")) for at, c in enumerate(SEARCHED)))
-    each = records.select("rid", F.explode(columns).alias("x")).select("rid", "x.col", "x.words")
+    return index_of(tokenised(records))
+
+
+def index_of(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    each = words.select("rid", F.explode("columns").alias("x")).select("rid", "x.col", "x.words")
     terms = each.select("rid", "col", F.posexplode("words").alias("pos", "term")).select("term", "rid", "col", "pos")
-    lengths = records.select("rid", reduce(lambda a, b: a + b, (F.size(X.tokens(F.col(c))) for c in SEARCHED)).cast("bigint").alias("d"))
+    lengths = words.select("rid", F.aggregate("columns", F.lit(0).cast("bigint"), lambda n, x: n + F.size(x["words"])).alias("d"))
     return terms, lengths, lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("d"), F.lit(0)).alias("tokens"))
 
 
 def write_index(records: DataFrame, path: str) -> None:
-    """The index of records below path; what was there is replaced."""
-    for name, df in zip(INDEX, index(records), strict=True):
+    """The index of records below path; what was there is replaced. Texts are cut into terms once."""
+    spark = records.sparkSession
+    tokenised(records).write.mode("overwrite").parquet(f"{path}/words")
+    for name, df in zip(INDEX, index_of(spark.read.parquet(f"{path}/words")), strict=True):
         if name == "terms":
             df = df.repartitionByRange("term", "rid").sortWithinPartitions("term", "rid", "col", "pos")
         elif name == "lengths":
             df = df.repartitionByRange("rid").sortWithinPartitions("rid")
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+    shared.remove(spark, f"{path}/words")
 
 
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """terms, lengths, corpus as write_index wrote them."""
+def read_index(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """terms, lengths, corpus of the segments that write_index wrote; each record is in one of them, so the corpus's numbers add up."""
     kinds = ("term string, rid long, col int, pos int", "rid long, d long", "n long, tokens long")
-    return tuple(spark.read.schema(kind).parquet(f"{path}/{name}") for name, kind in zip(INDEX, kinds, strict=True))
+    terms, lengths, corpus = (spark.read.schema(kind).parquet(*(f"{path}/{name}" for path in paths)) for name, kind in zip(INDEX, kinds, strict=True))
+    return terms, lengths, corpus.agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
 
 
 def _unit_tokens(df: DataFrame, found: list[str]) -> list[list[str]]:
@@ -103,24 +121,52 @@ def occurrences(terms: DataFrame, phrases: list[list[str]]) -> DataFrame:
     return starts.groupBy("phrase", "rid", "col").agg(F.count("*").alias("times"))
 
 
-def scored(terms: DataFrame, lengths: DataFrame, corpus: DataFrame, query: str) -> DataFrame:
-    """rid, bm25_score of all rows that match every unit; less is better."""
-    phrases = _unit_tokens(terms, units(query))
-    if not all(phrases):
-        return terms.sparkSession.createDataFrame([], "rid long, bm25_score double")
-    weights = F.element_at(F.array(*map(F.lit, SEARCHED.values())), F.col("col") + 1)
-    every = range(len(phrases))
-    found = occurrences(terms, phrases).groupBy("rid").agg(*(F.sum(F.when(F.col("phrase") == p, F.col("times") * weights)).alias(f"f{p}") for p in every))
-    rows = found.agg(*(F.count(f"f{p}").alias(f"rows{p}") for p in every))
+@dataclass(frozen=True)
+class Asked:
+    """The phrases of some queries, one after the other."""
+
+    phrases: list[list[str]]
+    query: list[int]  # of each phrase
+    number: list[int]  # of phrases of each query; 0 where a unit has no term, so that nothing matches
+
+    @staticmethod
+    def of(terms: DataFrame, queries: list[str]) -> Asked:
+        found = [units(q) for q in queries]
+        tokens = _unit_tokens(terms, [u for us in found for u in us])
+        each = [[tokens.pop(0) for _ in us] for us in found]
+        whole = [ts if all(ts) else [] for ts in each]
+        return Asked([t for ts in whole for t in ts], [q for q, ts in enumerate(whole) for _ in ts], list(map(len, whole)))
+
+
+def _matching(terms: DataFrame, asked: Asked) -> tuple[DataFrame, DataFrame]:
+    """phrase, rid, f (weighted occurrences); and query, rid, fs (phrase, f in order) of rows that match all units of a query."""
+    at = lambda values, c: F.element_at(F.array(*map(F.lit, values)), F.col(c) + 1)
+    each = occurrences(terms, asked.phrases).groupBy("phrase", "rid").agg(F.sum(F.col("times") * at(SEARCHED.values(), "col")).alias("f"))
+    of_query = each.withColumn("query", at(asked.query, "phrase")).groupBy("query", "rid").agg(F.array_sort(F.collect_list(F.struct("phrase", "f"))).alias("fs"))
+    return each, of_query.where(F.size("fs") == at(asked.number, "query"))
+
+
+def scored_all(terms: DataFrame, lengths: DataFrame, corpus: DataFrame, queries: list[str]) -> DataFrame:
+    """query (its place), rid, bm25_score of all rows that match every unit of a query; less is better. One pass over the postings for all queries."""
+    asked = Asked.of(terms, queries)
+    if not asked.phrases:
+        return terms.sparkSession.createDataFrame([], "query int, rid long, bm25_score double")
+    each, found = _matching(terms, asked)
+    rows = each.groupBy("phrase").agg(F.count("*").alias("rows")).agg(F.map_from_entries(F.collect_list(F.struct("phrase", "rows"))).alias("rows"))  # one row with a number for each phrase
     one = corpus.select("n", (F.col("tokens") / F.col("n")).alias("mean"))
-    all_of = found.where(reduce(lambda a, b: a & b, (F.col(f"f{p}").isNotNull() for p in every)))
-    full = all_of.join(lengths, "rid").join(F.broadcast(rows.join(F.broadcast(one))))  # one row
+    full = found.join(lengths, "rid").join(F.broadcast(rows.join(F.broadcast(one))))  # beside one row
 
-    def part(p: int) -> Column:
-        raw, f = F.log((F.col("n") - F.col(f"rows{p}") + 0.5) / (F.col(f"rows{p}") + 0.5)), F.col(f"f{p}")
+    def part(x: Column) -> Column:
+        rows = F.col("rows")[x["phrase"]]
+        raw, f = F.log((F.col("n") - rows + 0.5) / (rows + 0.5)), x["f"]
         return F.when(raw > 0, raw).otherwise(F.lit(1e-6)) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("d") / F.col("mean")))
 
-    return full.select("rid", (-reduce(lambda a, b: a + b, map(part, every))).alias("bm25_score"))
+    return full.select("query", "rid", (-F.aggregate("fs", F.lit(0.0), lambda total, x: total + part(x))).alias("bm25_score"))
+
+
+def scored(terms: DataFrame, lengths: DataFrame, corpus: DataFrame, query: str) -> DataFrame:
+    """rid, bm25_score of all rows that match every unit; less is better."""
+    return scored_all(terms, lengths, corpus, [query]).drop("query")
 
 
 def best(rows: DataFrame, limit: int, *first: Column) -> DataFrame:
@@ -146,9 +192,30 @@ def keyword(records: DataFrame, query: str, filters: Filters = Filters(), built:
     return best(records.where(filters.predicate()).join(hits, "rid"), filters.limit, F.col("bm25_score").asc())
 
 
+def keyword_all(records: DataFrame, queries: list[str], filters: Filters = Filters(), built: tuple | None = None) -> DataFrame:
+    """Best rows of each query, with query (its place) and rank, from 1."""
+    from pyspark.sql import Window as W
+
+    hits = scored_all(*(built or index(records)), queries)
+    order = W.partitionBy("query").orderBy("bm25_score", F.coalesce("score_base_rank", F.lit(0)).desc(), F.col("rid").desc())
+    return records.where(filters.predicate()).join(hits, "rid").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= filters.limit)
+
+
+def keyword_counts(records: DataFrame, queries: list[str], filters: Filters = Filters(), built: tuple | None = None) -> DataFrame:
+    """query (its place), hits: one pass over the postings for all queries; a query without hits has 0."""
+    spark = records.sparkSession
+    asked = Asked.of((built or (records,))[0], queries)
+    every = spark.range(len(queries)).select(F.col("id").cast("int").alias("query"))
+    if not asked.phrases:
+        return every.withColumn("hits", F.lit(0).cast("long"))
+    found = _matching((built or index(records))[0], asked)[1].select("query", "rid")
+    if filters.narrow:
+        found = found.join(records.where(filters.predicate()).select("rid"), "rid", "left_semi")
+    return every.join(found.groupBy("query").agg(F.count("*").alias("hits")), "query", "left").select("query", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
 def keyword_count(records: DataFrame, query: str, filters: Filters = Filters(), built: tuple | None = None) -> DataFrame:
-    hits = scored(*(built or index(records)), query)
-    return records.where(filters.predicate()).join(hits, "rid", "left_semi").agg(F.count("*").alias("hits"))
+    return keyword_counts(records, [query], filters, built).select("hits")
 
 
 def folded(codes: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import leaves as L
 from ..functions import text as X
 from ..operators import expand as E
@@ -60,17 +63,7 @@ def _keyword(query: str, phrases: list[list[str]], filters: Q.Filters = Q.Filter
 
 def _flat(s, d):
     """Documents as JSON of the source's shape, flattened."""
-    r = A.records(s, d)
-    more = [F.when(F.col("rid") % 4 == 0, F.concat(F.lit("ed. "), "rid")).alias("search_edition_varia"), F.lit("book").alias("search_content_type"), F.concat(F.lit("2020-01-0"), F.col("rid") % 9).alias("search_added_date"), F.lit("prim").alias("search_record_primary_source"), F.when(F.col("rid") % 5 == 0, F.concat("author", F.lit(".x"))).alias("search_original_filename"), F.when(F.col("rid") % 3 == 0, F.col("rid")).alias("search_score_base_rank")]
-    searched = F.struct(*more, F.concat(F.lit("  "), "title", F.lit("\t")).alias("search_title"), F.when(F.col("rid") % 3 == 0, F.col("author")).alias("search_author"), F.array("language", F.lit("zz")).alias("search_most_likely_language_code"), F.col("filesize").cast("string").alias("search_filesize"), F.concat("year", F.when(F.col("rid") % 2 == 0, "").otherwise("?")).alias("search_year"))
-    unified = F.struct(
-        F.lit("alt").alias("edition_varia_best"), F.concat(F.lit("http://c/"), "rid").alias("cover_url_best"), F.lit("o").alias("original_filename_best"), F.when(F.col("rid") % 2 == 0, "true").otherwise("1.5").alias("extension_best"),
-        F.concat(F.lit("u-"), "author").alias("author_best"), F.array(F.lit(" "), F.col("publisher")).alias("publisher_best"), F.array(F.concat(F.lit("part "), "rid"), F.lit(""), F.lit("two\n parts")).alias("stripped_description_additional"), (F.col("rid") % 2 == 0).alias("has_aa_downloads"), (F.col("rid") % 3).alias("has_torrent_paths"),
-        F.struct(F.array("md5", "md5").alias("md5"), F.col("isbn13").alias("isbn13"), F.array(F.concat(F.lit(" "), "doi"), F.col("isbn13")).alias("doi")).alias("identifiers_unified"),
-        F.struct(F.array(F.lit("History"), F.col("author"), F.lit("/a/b")).alias("openlib_subject"), F.array(F.lit("HISTORY"), F.col("language"), F.lit("0123456789abcdef")).alias("lgrsnf_topic")).alias("classifications_unified"),
-    )
-    docs = r.select(F.col("rid"), F.to_json(F.struct(F.struct(F.col("aa_id").alias("id"), searched.alias("search_only_fields"), unified.alias("file_unified_data")).alias("_source"))).alias("j"))
-    return I.flattened(docs.select("rid", F.parse_json("j").alias("doc")))
+    return I.flattened(A.sources(s, d).select("rid", F.parse_json("j").alias("doc")))
 
 
 def _leaf(s, d, value: str, name: str):
@@ -86,7 +79,12 @@ def _queries() -> dict:
         "kw_single": _keyword("las", [["las"]]),
         "kw_rare": _keyword("src7", [["src7"]]),
         "kw_text": (lambda s, d: _page(Q.keyword(A.records(s, d), "the of")), f"WITH {R}, {_scores_sql([['the'], ['of']])} {PAGE_SQL.format(where='', limit=20)}"),
-        "kw_operators_are_words": _keyword("not the", [["not"], ["the"]]),
+        "kw_operators_are_words": _keyword("is OR an", [["is"], ["or"], ["an"]]),
+        "kw_column_filter_is_words": _keyword("on AND or:the", [["on"], ["and"], ["or", "the"]]),
+        "kw_batches": (lambda s, d: _page(Q.keyword((c := A.in_batches(s, d)).records, "the of", built=c.index)), f"WITH {R}, {_scores_sql([['the'], ['of']])} {PAGE_SQL.format(where='', limit=20)}"),
+        "batch_terms": (lambda s, d: A.in_batches(s, d).index[0].groupBy("term").agg(F.countDistinct("rid").alias("n_rows"), F.count("*").alias("n")), f"WITH {R}, {_scores_sql([['x']])} SELECT term, count(DISTINCT rid) AS n_rows, count(*) AS n FROM tok GROUP BY term"),
+        "kw_many": (lambda s, d: _page_of(Q.keyword_all((c := A.catalogue(s, d)).records, MANY, Q.Filters("EN", limit=9), c.index)), _many_sql()),
+        "kw_many_counts": (lambda s, d: Q.keyword_counts((c := A.catalogue(s, d)).records, MANY, Q.Filters("EN"), c.index), _many_counts_sql()),
         "kw_case_folds": _keyword("ÜBER Die", [["uber"], ["die"]]),
         "kw_best_two": _keyword("de la", [["de"], ["la"]], Q.Filters(limit=2)),
         "kw_and": _keyword("the of", [["the"], ["of"]]),
@@ -135,16 +133,27 @@ def _queries() -> dict:
         "parse_scalars": (lambda s, d: _flat(s, d).select("rid", "year", "filesize", "has_aa_downloads", "has_torrent_paths"), f"WITH {R} SELECT rid, CASE WHEN rid % 2 = 0 THEN year END AS year, filesize, CAST(rid % 2 = 0 AS BIGINT) AS has_aa_downloads, CAST(rid % 3 > 0 AS BIGINT) AS has_torrent_paths FROM records"),
         "shard_order": (lambda s, d: A.records(s, d).select("rid", S.shard_number(F.concat(F.lit("aarecords__"), F.when(F.col("rid") % 5 == 0, "x").otherwise(F.col("rid").cast("string")), F.lit(".json.gz"))).alias("number")), f"WITH {R} SELECT rid, CASE WHEN rid % 5 = 0 THEN 4294967295 ELSE rid END AS number FROM records"),
         "shard_spread_limit": (lambda s, d: _spread(s, d), f"WITH {R} SELECT rid, 1 + row_number() OVER (PARTITION BY rid % 7 ORDER BY rid) - 1 AS place FROM records QUALIFY row_number() OVER (PARTITION BY rid % 7 ORDER BY rid) <= 7 + CAST(rid % 7 < 1 AS INTEGER)"),
-        "rid_assignment": (lambda s, d: S.ranked(A.records(s, d).select(F.col("aa_id"), (F.col("rid") % 7).alias("shard"), F.col("rid").alias("line"))).select("aa_id", "rid"), f"WITH {R} SELECT aa_id, row_number() OVER (ORDER BY rid % 7, rid) AS rid FROM records"),
+        "rid_assignment": (lambda s, d: S.numbered(A.lines(s, d)).select(F.get_json_object("value", "$._source.id").alias("aa_id"), "rid"), f"WITH {R} SELECT aa_id, row_number() OVER (ORDER BY rid % 7, rid) AS rid FROM records"),
         "update_local_path": (lambda s, d: I.with_local_paths(A.records(s, d), A.records(s, d).where("year = 2003").select("rid", F.concat(F.lit("/x/"), "rid").alias("path"))).select("rid", "local_path"), f"WITH {R} SELECT rid, CASE WHEN year = 2003 THEN '/x/' || rid END AS local_path FROM records"),
         "file_names": (lambda s, d: A.records(s, d).select("rid", *(N.default_name(m).alias(m) for m in N.MODES)), f"WITH {R} SELECT rid, regexp_replace(translate(original_filename, '/\\:*?\"<>|', '_________'), '^\\s+|\\s+$', '', 'g') AS original, 'doc_' || rid || '.txt' AS aa_id, md5 || '.txt' AS md5, regexp_replace(translate(concat_ws(' -- ', nullif(regexp_replace(title, '^\\s+|\\s+$', '', 'g'), ''), author) || '.txt', '/\\:*?\"<>|', '_________'), '^\\s+|\\s+$', '', 'g') AS flat FROM records"),
-        "link_candidates": (lambda s, d: K.candidates(found(s, d), *both(s, d)).where("stage < 4").groupBy("path", "stage").agg(F.count("*").alias("n"), F.min("rid").alias("least")), LINK_SQL + " SELECT path, stage, count(*) AS n, min(rid) AS least FROM cand GROUP BY path, stage"),
-        "link_title_author": (lambda s, d: K.title_author(found(s, d), A.records(s, d)).where((F.col("place") <= K.TITLE_TOP) & F.col("accepted")).select("path", "rid", F.col("place").cast("bigint").alias("place")), None),
-        "link_dry_run": (lambda s, d: K.link_independent(found(s, d), *both(s, d)), None),
-        "link_stats": (lambda s, d: K.statistics(K.link_independent(found(s, d), *both(s, d))), None),
-        "link_greedy": (lambda s, d: K.link_greedy(found(s, d), *both(s, d)), None),
-        "expand_validate": (_expand_validate, f"WITH {R}, {_scores_sql([['the'], ['of']])} SELECT 'the of' AS candidate, 'accepted' AS verdict, count(*) AS hits FROM scores UNION ALL SELECT 'zzqq', 'no hits', 0 UNION ALL SELECT 'a/b', 'identifier or path', 0 UNION ALL SELECT 'THE', 'literal', 0 UNION ALL SELECT ' The  Of', 'repeated', 0"),
-        "expand_merge": (lambda s, d: _merge(s, d), f"WITH {R}, {_scores_sql([['thought']])}, a AS (SELECT r.rid, r.aa_id FROM records r JOIN scores s ON r.rid = s.rid ORDER BY s.bm25_score, coalesce(score_base_rank, 0) DESC, r.rid DESC LIMIT 5), b AS (SELECT rid, aa_id FROM records WHERE language = 'de' ORDER BY coalesce(score_base_rank, 0) DESC, rid DESC LIMIT (SELECT 12 - count(*) FROM a)) SELECT rid FROM a UNION SELECT rid FROM b"),
+        "link_candidates": (lambda s, d: K.candidates(found(s, d), *both(s, d)).groupBy("path", "stage").agg(F.count("*").alias("n"), F.min("rid").alias("least"), F.count_if(F.col("accepted")).alias("n_accepted")), LINK_SQL + " SELECT path, stage, count(*) AS n, min(rid) AS least, count_if(accepted) AS n_accepted FROM every GROUP BY path, stage"),
+        "link_title_author": (lambda s, d: K.title_author(found(s, d), A.records(s, d)).where((F.col("place") <= K.TITLE_TOP) & F.col("accepted")).select("path", "rid", F.col("place").cast("bigint").alias("place")), LINK_SQL + " SELECT path, rid, place FROM hits WHERE place <= 8 AND accepted"),
+        "link_dry_run": (lambda s, d: K.link_independent(found(s, d), *both(s, d)).drop("rids"), LINK_SQL + " SELECT path, status, method, kind, value, rid, n_candidates FROM outcome"),
+        "link_stats": (lambda s, d: K.statistics(K.link_independent(found(s, d), *both(s, d))), LINK_SQL + " SELECT count(*) AS files, count_if(status = 'matched') AS matched, " + ", ".join(f"count_if(status = 'matched' AND method = '{m}') AS matched_{m}" for m in ("md5", "isbn", "original_filename", "title_author")) + ", count_if(status = 'ambiguous') AS ambiguous, count_if(status = 'unmatched') AS unmatched FROM outcome"),
+        "link_entries": (_entries, LINK_SQL + """ SELECT o.path, name AS file_name, array_to_string(terms, ' ') AS terms, CASE WHEN status = 'matched' THEN 'would_link' ELSE status END AS status, o.method, kind, value, coalesce(kind = 'title_author', false) AS by_terms,
+CASE WHEN len(rids) = 1 THEN 'doc:' || rids[1] WHEN len(rids) > 1 THEN array_to_string(list_transform(rids, lambda r: 'doc:' || r), ' ') END AS records FROM outcome o JOIN feat f ON f.path = o.path"""),
+        "link_greedy": (lambda s, d: K.link_greedy(found(s, d), *both(s, d)).drop("rids"), None),
+        "linked_records": (lambda s, d: A.linked(s, d).select("rid", "aa_id", "local_path"), LINK_SQL + " SELECT r.rid, r.aa_id, max(path) AS local_path FROM records r LEFT JOIN outcome o ON o.rid = r.rid AND status = 'matched' GROUP BY 1, 2"),
+        "built_records": (lambda s, d: A.built(s, d).select("rid", "aa_id", "title", "year", "filesize", "doi", "has_torrent_paths"), f"WITH {R} SELECT row_number() OVER (ORDER BY rid % 7, rid) AS rid, aa_id, nullif(trim(regexp_replace(title, '\\s+', ' ', 'g')), '') AS title, CASE WHEN rid % 2 = 0 THEN year END AS year, filesize, doi, CAST(rid % 3 > 0 AS BIGINT) AS has_torrent_paths FROM records"),
+        "built_limited": (lambda s, d: A.limited(s, d).select("per_shard", "rid", "aa_id"), f"""WITH {R}, n AS (SELECT aa_id, rid % 7 AS shard, row_number() OVER (ORDER BY rid % 7, rid) AS seq, row_number() OVER (PARTITION BY rid % 7 ORDER BY rid) AS place FROM records)
+SELECT false AS per_shard, seq AS rid, aa_id FROM n WHERE seq <= 100 UNION ALL SELECT true, row_number() OVER (ORDER BY seq), aa_id FROM n WHERE place <= 7 + CAST(shard < 1 AS INTEGER)"""),
+        "expand_validate": (_expand_validate, f"""WITH {R}, {_scores_sql([['trash']], '')}, literal AS (SELECT greatest(20 * greatest(count(*), 1), 2000) AS most FROM scores), counts AS ({_counts_sql()})
+SELECT candidate, CASE WHEN hits = 0 THEN 'no hits' WHEN hits > most THEN hits || ' hits, too many' ELSE 'accepted' END AS verdict, CASE WHEN hits > most THEN 0 ELSE hits END AS hits FROM counts, literal
+UNION ALL SELECT 'a/b', 'identifier or path', 0 UNION ALL SELECT 'TRASH', 'literal', 0 UNION ALL SELECT ' The  Of', 'repeated', 0"""),
+        "expand_merge": (lambda s, d: _merge(s, d), f"""WITH {R}, {_scores_sql([['trash']])}, t AS (SELECT r.rid, row_number() OVER (ORDER BY s.bm25_score, coalesce(score_base_rank, 0) DESC, r.rid DESC) AS k FROM records r JOIN scores s ON r.rid = s.rid),
+g AS (SELECT rid, row_number() OVER (ORDER BY coalesce(score_base_rank, 0) DESC, rid DESC) AS k FROM records WHERE language = 'de'),
+m AS (SELECT 0 AS query_no, k AS rank, rid FROM t WHERE k <= 5 UNION ALL SELECT 1, k, rid FROM t WHERE k BETWEEN 6 AND 7 UNION ALL SELECT 2, k, rid FROM g WHERE k <= 7 AND rid NOT IN (SELECT rid FROM t WHERE k <= 7))
+SELECT query_no, CAST(rank AS INTEGER) AS rank, rid FROM m ORDER BY query_no, rank LIMIT 12"""),
         "cache_upsert": (_cache, f"WITH {R}, k AS (SELECT author AS query_norm, count(*) AS n FROM records GROUP BY author) SELECT query_norm, CASE WHEN query_norm < 'src5' THEN 't0' ELSE 't1' END AS created_at, CASE WHEN query_norm < 'src3' THEN 't0' ELSE 't1' END AS last_used_at, CAST(CASE WHEN query_norm < 'src3' THEN 3 WHEN query_norm < 'src5' THEN 4 ELSE 1 END AS INTEGER) AS use_count FROM k"),
     }
     return q
@@ -172,37 +181,89 @@ def _dups(records, codes):
 
 
 def _spread(s, d):
-    rows = S.ranked(A.records(s, d).select((F.col("rid") % 7).alias("shard"), F.col("rid").alias("line")))
-    allowed = S.spread(50, 7)
-    table = F.create_map(*(F.lit(x) for at, n in enumerate(allowed) for x in (at, n)))
-    return rows.where(F.col("place") <= table[F.col("shard").cast("int")]).select(F.col("line").alias("rid"), F.col("place").cast("bigint").alias("place"))
+    found = S.limited(s, S.discover(s, A.shards(s, d)), 50, True, f"{shared.shared_dir(s)}/{uuid.uuid4().hex}")
+    return S.numbered(found).select(F.regexp_extract("value", '"id":"doc:([0-9]+)"', 1).cast("bigint").alias("rid"), "place")
+
+
+_NORM = "trim(regexp_replace({0}, '[^0-9a-z]+', ' ', 'g'))"
+_TERMS = f"list_filter(string_split({{0}}, ' '), lambda t: length(t) >= 3 AND regexp_matches(t, '[a-z]') AND t NOT IN ({', '.join(map(repr, X.NOISE))}))"
+#: feat, hits (of the last stage, with place and accepted), every (candidates of all stages), outcome (of files that don't hide records from each other).
+LINK_SQL = f"""WITH {R}, {_scores_sql([['x']])}, files AS (SELECT rid AS owner, '/files/' || lpad(CAST(rid AS VARCHAR), 9, '0') || '/' || CASE rid % 4 WHEN 0 THEN md5 || '.bin' WHEN 1 THEN 'scan ' || isbn13 || ' x.pdf' WHEN 2 THEN upper(replace(replace(original_filename, '/', '_'), 'ß', 'SS')) ELSE author || ' - ' || substring(replace(title, '/', '_'), 1, 60) || '.epub' END AS path, md5, isbn13 FROM records),
+named AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS name FROM files),
+norm AS (SELECT *, {_NORM.format(_low("CASE WHEN regexp_matches(name, '(?s)^.+\\.[^.]*$') THEN regexp_extract(name, '(?s)^(.+)\\.[^.]*$', 1) ELSE name END"))} AS norm FROM named),
+feat AS (SELECT *, {_TERMS.format("norm")} AS terms FROM norm),
+q AS (SELECT path, unnest(terms[:6]) AS term FROM feat WHERE len(terms) >= 2),
+tf AS (SELECT term, rid, sum(w) AS f FROM tok WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+df AS (SELECT term, CASE WHEN ln((n - c + 0.5) / (c + 0.5)) > 0 THEN ln((n - c + 0.5) / (c + 0.5)) ELSE 1e-6 END AS idf, mean FROM (SELECT term, count(*) AS c FROM tf GROUP BY 1), corpus),
+full_ AS (SELECT q.path, tf.rid, round(-sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / mean))), 9) AS score, count(*) AS c FROM q JOIN tf ON q.term = tf.term JOIN df ON df.term = q.term JOIN lens ON lens.rid = tf.rid GROUP BY 1, 2),
+told AS (SELECT rid, author, {_NORM.format(_low("title"))} AS norm_title, {_TERMS.format(_NORM.format(_low("title")))} AS tt, {_TERMS.format(_NORM.format(_low("author")))} AS ats FROM records),
+hits AS (SELECT f.path, r.rid, row_number() OVER (PARTITION BY f.path ORDER BY score, coalesce(score_base_rank, 0) DESC, r.rid DESC) AS place,
+ coalesce(len(tt) >= 2 AND (contains(e.norm, norm_title) OR len(list_filter(tt, lambda t: list_contains(e.terms, t))) / len(tt) >= 0.75) AND (r.author IS NULL OR len(ats) = 0 OR len(list_filter(ats, lambda t: list_contains(e.terms, t))) > 0), false) AS accepted
+ FROM full_ f JOIN feat e ON e.path = f.path AND c = least(6, len(e.terms)) JOIN records r ON r.rid = f.rid JOIN told ON told.rid = r.rid),
+every AS (SELECT path, 0 AS stage, r.rid, r.md5 AS value, 0 AS place, true AS accepted FROM files f JOIN records r ON r.md5 = f.md5 WHERE f.owner % 4 = 0 UNION ALL SELECT path, 1, owner, isbn13, 0, true FROM files WHERE owner % 4 = 1
+UNION ALL SELECT path, 3, r.rid, f.name, 0, true FROM named f JOIN records r ON {_low('r.original_filename')} = {_low('f.name')} UNION ALL SELECT path, 4, rid, NULL, place, accepted FROM hits),
+good AS (SELECT * FROM every WHERE stage < 4 OR place <= 8 AND accepted),
+best AS (SELECT path, min(stage) AS stage FROM good GROUP BY path),
+picked AS (SELECT path, stage, any_value(value) AS value, CASE WHEN stage < 4 THEN list(rid ORDER BY rid)[:3] ELSE list(rid ORDER BY rid) END AS rids FROM good JOIN best USING (path, stage) GROUP BY path, stage),
+outcome AS (SELECT files.path, CASE WHEN len(rids) = 1 THEN 'matched' WHEN len(rids) > 1 THEN 'ambiguous' ELSE 'unmatched' END AS status, (['md5', 'isbn', 'isbn', 'original_filename', 'title_author'])[stage + 1] AS method, (['md5', 'isbn13', 'isbn10', 'original_filename', 'title_author'])[stage + 1] AS kind, value,
+ CASE WHEN len(rids) = 1 THEN rids[1] END AS rid, coalesce(len(rids), 0) AS n_candidates, rids FROM files LEFT JOIN picked ON picked.path = files.path)"""
+
+
+def _entries(s, d):
+    outcomes = K.link_independent(f := K.features(A.files(s, d)), r := A.records(s, d), A.codes(s, d))
+    rows = K.entries(outcomes, f, r, dry_run=True)
+    said = F.coalesce("matched.evidence", "ambiguity.evidence")
+    found = F.when(F.col("matched").isNotNull(), F.array("matched.record")).otherwise(F.col("ambiguity.candidates"))
+    return rows.select("path", "file_name", F.array_join("identifiers.search_terms", " ").alias("terms"), "status", F.coalesce("matched.method", "ambiguity.method").alias("method"), said["kind"].alias("kind"), said["value"].alias("value"), said["search_terms"].isNotNull().alias("by_terms"), F.array_join(F.transform(found, lambda x: x["aa_id"]), " ").alias("records"))
+
+
+MANY = ["the of", "is OR an", '"on the" is', "zzqq", "--", "the of"]
+_MANY_PHRASES = ([["the"], ["of"]], [["is"], ["or"], ["an"]], [["on", "the"], ["is"]], None, None, [["the"], ["of"]])
+
+
+def _page_of(df):
+    return df.select("query", "rank", "rid", "aa_id", F.round("bm25_score", 6).alias("bm25_score"))
+
+
+def _each_sql(select: str) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM (WITH {R}, {_scores_sql(p)} {select.format(q=q)})" for q, p in enumerate(_MANY_PHRASES) if p)
+
+
+def _many_sql() -> str:
+    return _each_sql("SELECT CAST({q} AS INTEGER) AS query, CAST(row_number() OVER (ORDER BY s.bm25_score, coalesce(score_base_rank, 0) DESC, r.rid DESC) AS INTEGER) AS rank, r.rid, aa_id, round(bm25_score, 6) AS bm25_score FROM records r JOIN scores s ON r.rid = s.rid WHERE language = 'en' QUALIFY rank <= 9")
+
+
+def _counts_sql() -> str:
+    asked = {"the of": [["the"], ["of"]], "is or an": [["is"], ["or"], ["an"]], "on the": [["on"], ["the"]]}
+    return " UNION ALL ".join(f"SELECT * FROM (WITH {_scores_sql(p)} SELECT '{q}' AS candidate, count(*) AS hits FROM scores)" for q, p in asked.items()) + " UNION ALL SELECT 'zzqq', 0"
 
 
-LINK_SQL = f"""WITH {R}, files AS (SELECT rid AS owner, '/files/' || lpad(CAST(rid AS VARCHAR), 9, '0') || '/' || CASE rid % 4 WHEN 0 THEN md5 || '.bin' WHEN 1 THEN 'scan ' || isbn13 || ' x.pdf' WHEN 2 THEN upper(replace(original_filename, '/', '_')) ELSE author || ' - ' || substring(replace(title, '/', '_'), 1, 60) || '.epub' END AS path, md5, isbn13,
-CASE rid % 4 WHEN 2 THEN upper(replace(original_filename, '/', '_')) END AS name FROM records),
-cand AS (SELECT path, 0 AS stage, r.rid FROM files f JOIN records r ON r.md5 = f.md5 WHERE f.owner % 4 = 0 UNION ALL SELECT path, 1, owner FROM files WHERE owner % 4 = 1
-UNION ALL SELECT path, 3, r.rid FROM files f JOIN records r ON {_low('r.original_filename')} = {_low('f.name')})"""
+def _many_counts_sql() -> str:
+    return _each_sql("SELECT CAST({q} AS INTEGER) AS query, count(*) AS hits FROM records r JOIN scores s ON r.rid = s.rid WHERE language = 'en'") + " UNION ALL SELECT 3, 0 UNION ALL SELECT 4, 0"
 
 
 def _expand_validate(s, d):
-    records = A.records(s, d)
-    asked = [{"text": t} for t in ("the of", "zzqq", "a/b", "THE", " The  Of")]
-    accepted, rejected = E.validated(records, "the", asked, Q.Filters(), 10**9)
+    c = A.catalogue(s, d)
+    asked = [{"text": t} for t in ("the of", "zzqq", "a/b", "TRASH", " The  Of", "is or an", "on the")]
+    accepted, rejected = E.validated(c.records, "trash", asked, Q.Filters(), built=c.index)
     rows = [(a["text"], "accepted", a["corpus_hits"]) for a in accepted] + [(r["text"], r["reason"], 0) for r in rejected]
     return s.createDataFrame(rows, "candidate string, verdict string, hits long")
 
 
 def _merge(s, d):
-    records = A.records(s, d)
-    literal = Q.keyword(records, "thought", Q.Filters(limit=5))
-    other = Q.best(records.where("language = 'de'").withColumn("bm25_score", F.lit(0.0)), 1000)
-    return Q.merged(literal, [other], 12).select("rid")
+    c = A.catalogue(s, d)
+    literal = Q.keyword(c.records, "trash", Q.Filters(limit=5), c.index)
+    wider = Q.keyword(c.records, "trash", Q.Filters(limit=9), c.index)
+    other = Q.best(c.records.where("language = 'de'").withColumn("bm25_score", F.lit(0.0)), 1000)
+    return Q.merged(literal, [wider, other], 12).select("query_no", "rank", "rid")
 
 
 def _cache(s, d):
     names = A.records(s, d).select(F.col("author").alias("query_norm")).distinct()
-    cache = names.where("query_norm < 'src5'").withColumns({"created_at": F.lit("t0"), "last_used_at": F.lit("t0"), "use_count": F.lit(3)})
-    return E.upserted(cache, names.where("query_norm >= 'src3'"), "t1")
+    answer = [F.lit("x").alias(c) for c in (*E.FLAGS, "raw_response", "expansions_json")]
+    event = lambda rows, at, uses: rows.select("query_norm", *answer, F.lit(at).alias("at"), F.lit(uses).alias("uses"), F.lit(uses).cast("long").alias("order"))
+    events = event(names.where("query_norm < 'src5'"), "t0", 3).unionByName(event(names.where("query_norm >= 'src3'"), "t1", 1))
+    return E.folded_uses(events).select("query_norm", "created_at", "last_used_at", "use_count")
 
 
 def queries() -> dict:

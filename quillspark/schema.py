@@ -9,7 +9,7 @@ def _fields(*pairs):
     return T.StructType([T.StructField(name, kind, null) for name, kind, null in pairs])
 
 
-VERSION = 2  # of the stored tables
+VERSION = 3  # of the stored tables
 
 #: Names of columns and code kinds, which data and callers share.
 RECORDS = _fields(
@@ -18,6 +18,7 @@ RECORDS = _fields(
     ("score_base_rank", T.LongType(), True), ("cover_url", _TEXT, True), ("original_filename", _TEXT, True), ("has_aa_downloads", T.LongType(), True), ("has_torrent_paths", T.LongType(), True), ("local_path", _TEXT, True),
 )
 RECORD_CODES = _fields(("rid", T.LongType(), False), ("kind", _TEXT, False), ("value", _TEXT, False))
+STORED_CODES = T.StructType([*RECORD_CODES.fields, T.StructField("value_lc", _TEXT)])
 CODE_KINDS = ("md5", "isbn10", "isbn13", "doi", "oclc", "ol", "zlib")
 #: Searched columns in the order of their weights.
 SEARCHED = {"title": 10.0, "author": 8.0, "subjects": 5.0, "description": 1.5, "publisher": 1.0, "edition_varia": 0.5}

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-import os
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+
+from .. import shared
 
 PATTERN = r"^aarecords__(.*)\.json\.gz$"
 BLANK = r"^[ \t\n\r\f]+|[ \t\n\r\f]+$"
 LAST = 4294967295
+LINES = StructType([StructField("shard", IntegerType()), StructField("file", StringType()), StructField("block", LongType()), StructField("at", LongType()), StructField("value", StringType())])
 
 
 def shard_number(name: Column) -> Column:
@@ -22,6 +24,12 @@ def shard_number(name: Column) -> Column:
     return F.when(value < LAST, value).otherwise(F.lit(LAST))
 
 
+def shard_key(name: str) -> tuple[int, str]:
+    """The order of shards by name."""
+    number = name[len("aarecords__") : -len(".json.gz")].removeprefix("+")
+    return (min(int(number), LAST) if number.isascii() and number.isdigit() else LAST, name)
+
+
 def discover(spark: SparkSession, path: str, most: int | None = None) -> list[str]:
     """Paths of the shards of a folder in order of their numbers, then names; a file stands for itself. Names only are read here."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -32,12 +40,7 @@ def discover(spark: SparkSession, path: str, most: int | None = None) -> list[st
     if fs.getFileStatus(at).isFile():
         return [path]
     names = [s.getPath().getName() for s in fs.listStatus(at) if s.isFile()]
-
-    def key(name: str) -> tuple[int, str]:
-        number = name[len("aarecords__") : -len(".json.gz")].removeprefix("+")
-        return (min(int(number), LAST) if number.isascii() and number.isdigit() else LAST, name)
-
-    found = sorted((n for n in names if n.startswith("aarecords__") and n.endswith(".json.gz")), key=key)
+    found = sorted((n for n in names if n.startswith("aarecords__") and n.endswith(".json.gz")), key=shard_key)
     if not found:
         raise FileNotFoundError(f"no shards in {path}")
     return [f"{path.rstrip('/')}/{n}" for n in found[:most]]
@@ -58,36 +61,96 @@ def _literal(path: str) -> str:
     return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
 
 
-def read_lines(spark: SparkSession, paths: list[str], limit: int | None = None, per_shard: bool = False) -> DataFrame:
-    """shard (place in paths), file, line (rising with the lines of a file; blank lines left out), value. Each shard is read in order."""
-    rows = spark.read.text([_literal(p) for p in paths]).select("value", F.col("_metadata.file_name").alias("file"), F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("path"))
-    numbers = F.create_map(*(F.lit(x) for at, p in enumerate(paths) for x in (_uri(spark, p), at)))
-    rows = rows.withColumn("line", F.monotonically_increasing_id()).withColumn("shard", F.coalesce(numbers[F.col("path")], F.raise_error(F.concat(F.lit("no shard of path "), "path")))).drop("path")
-    rows = rows.withColumn("value", F.regexp_replace("value", BLANK, "")).where("value <> ''")
-    if limit is None:
-        return rows.select("shard", "file", "line", "value")
-    ordered = ranked(rows)
-    if not per_shard:
-        return ordered.where(F.col("rid") <= limit).select("shard", "file", "line", "value")
-    allowed = F.create_map(*(F.lit(x) for at, n in enumerate(spread(limit, len(paths))) for x in (at, n)))
-    return ordered.where(F.col("place") <= allowed[F.col("shard")]).select("shard", "file", "line", "value")
+def lines_of(text: DataFrame) -> DataFrame:
+    """value, file, path and block (where its split of the file begins) of a text source, also one that streams."""
+    return text.select("value", F.col("_metadata.file_name").alias("file"), F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("path"), F.col("_metadata.file_block_start").alias("block"))
 
 
-def first_bad_line(spark: SparkSession, path: str) -> int | None:
-    """The number, from 1, of the first line of a file that is not JSON. A file alone is one partition, so rows count its lines."""
-    rows = spark.read.text(_literal(path)).withColumn("line", F.monotonically_increasing_id())
-    text = F.regexp_replace("value", BLANK, "")
-    return rows.where((text != "") & F.try_parse_json(text).isNull()).agg((F.min("line") + 1).alias("line")).head().line
+def placed(lines: DataFrame, uris: list[str], told: Observation | None = None) -> DataFrame:
+    """shard (place of the line's path in uris), file, block and at, value: the lines that aren't blank. at rises by one with each line of a split, so
+    ``numbered`` can tell a line's place. told gets lines and blank, counted by the job that reads."""
+    rows = lines.withColumn("value", F.regexp_replace("value", BLANK, ""))
+    if told is not None:
+        rows = rows.observe(told, F.count("*").alias("lines"), F.count_if(F.col("value") == "").alias("blank"))
+    shards = F.broadcast(lines.sparkSession.createDataFrame([(u, at) for at, u in enumerate(uris)], "path string, shard int"))  # a row for each file
+    rows = rows.where("value <> ''").join(shards, "path", "left")
+    return rows.select(F.coalesce("shard", F.raise_error(F.concat(F.lit("no shard of path "), "path"))).alias("shard"), "file", "block", F.monotonically_increasing_id().alias("at"), "value")
+
+
+def read_lines(spark: SparkSession, paths: list[str], told: Observation | None = None) -> DataFrame:
+    """The lines of shards that aren't blank, as of placed."""
+    return placed(lines_of(spark.read.text([_literal(p) for p in paths])), [_uri(spark, p) for p in paths], told)
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """rid in order of (shard, line), from each shard's count and places in it: no sort of all rows in one task."""
-    from pyspark.sql import Window as W
+def splits(rows: DataFrame) -> DataFrame:
+    """shard, block, least (the first at), before and shard_before (lines in front of the split, in all and of its shard). What is collected is
+    a few numbers for each split of the input."""
+    found = rows.groupBy("shard", "block").agg(F.count("*").alias("n"), F.min("at").alias("least")).collect()
+    out, before, shard_before, shard = [], 0, 0, None
+    for r in sorted(found, key=lambda r: (r.shard, r.block)):
+        if r.shard != shard:
+            shard, shard_before = r.shard, 0
+        out.append((r.shard, r.block, r.least, before, shard_before))
+        before, shard_before = before + r.n, shard_before + r.n
+    return rows.sparkSession.createDataFrame(out, "shard int, block long, least long, before long, shard_before long")
 
-    placed = rows.withColumn("place", F.row_number().over(W.partitionBy("shard").orderBy("line")))
-    counts = rows.groupBy("shard").count()
-    before = counts.select("shard", F.coalesce(F.sum("count").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return placed.join(before, "shard").withColumn("rid", F.col("before") + F.col("place")).drop("before")
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows of read_lines, written since, with rid in order of (shard, line) and place in the shard, both from 1. No row is moved."""
+    placed = rows.join(F.broadcast(splits(rows)), ["shard", "block"])
+    at = F.col("at") - F.col("least") + 1
+    return placed.withColumns({"rid": at + F.col("before"), "place": at + F.col("shard_before")}).drop("least", "before", "shard_before")
+
+
+def heads(rows: DataFrame, most: list[int]) -> DataFrame:
+    """The first lines of each split, as many as its shard may have; rows of a split come one after the other."""
+
+    def run(batches):
+        key, left = None, 0
+        for batch in batches:
+            keep = []
+            for at, now in enumerate(zip(batch.column("shard").to_pylist(), batch.column("block").to_pylist(), strict=True)):
+                if now != key:
+                    key, left = now, most[now[0]]
+                if left > 0:
+                    keep.append(at)
+                    left -= 1
+            yield batch.take(pa.array(keep, pa.int32()))
+
+    shared.importable(rows.sparkSession)
+    return rows.mapInArrow(run, rows.schema)
+
+
+def limited(spark: SparkSession, paths: list[str], limit: int, per_shard: bool, aside: str) -> DataFrame:
+    """read_lines up to a limit, in all or dealt over the shards, from lines that are written below aside.
+
+    A limit in all reads shards in order, one, two, four at a time, until they hold enough lines, and no later one."""
+    most = spread(limit, len(paths)) if per_shard else [limit] * len(paths)
+    done, held, step = 0, 0, len(paths) if per_shard else 1
+    while done < len(paths) and (held < limit or not done):
+        some = range(done, min(done + step, len(paths)))
+        rows = read_lines(spark, paths[done : some.stop]).withColumn("shard", (F.col("shard") + done).cast("int"))
+        heads(rows, most).write.parquet(f"{aside}/from={done}")
+        held += spark.read.parquet(f"{aside}/from={done}").count()
+        done, step = some.stop, step * 2
+    rows = numbered(spark.read.schema(LINES).parquet(f"{aside}/*"))
+    if not per_shard:
+        return rows.where(F.col("rid") <= limit).drop("rid", "place")
+    allowed = F.broadcast(spark.createDataFrame(list(enumerate(most)), "shard int, most long"))
+    return rows.join(allowed, "shard").where("place <= most").select(*LINES.fieldNames())
+
+
+def first_bad_line(spark: SparkSession, path: str) -> int | None:
+    """The number, from 1, of the first line of a file that is not JSON, blank lines counted, from a few numbers for each split."""
+    rows = spark.read.text(_literal(path)).select("value", F.col("_metadata.file_block_start").alias("block")).withColumn("at", F.monotonically_increasing_id())
+    text = F.regexp_replace("value", BLANK, "")
+    bad = F.when((text != "") & F.try_parse_json(text).isNull(), F.col("at"))
+    before = 0
+    for r in sorted(rows.groupBy("block").agg(F.count("*").alias("n"), F.min("at").alias("least"), F.min(bad).alias("bad")).collect(), key=lambda r: r.block):
+        if r.bad is not None:
+            return before + r.bad - r.least + 1
+        before += r.n
+    return None
 
 
 NOT_JSON = "not JSON: "
@@ -118,32 +181,3 @@ def explained(spark: SparkSession, paths: list[str], error: Exception) -> Except
         return error
     path = paths[int(found[1])]
     return ValueError(f"{path}, line {first_bad_line(spark, path)}: not JSON")
-
-
-def local_files(spark: SparkSession, root: str, most: int | None = None, contents: bool = False) -> DataFrame:
-    """path, content_md5 and error of the files below root, by path, depth first; links are skipped and hidden files are not.
-
-    root is a folder of this machine, whose names are walked here; contents are read by Spark, where a file that can't be read has an
-    error instead of a digest."""
-    found: list[str] = []
-    for folder, below, names in os.walk(root):
-        below.sort()
-        found += [p for n in sorted(names) if os.path.isfile(p := os.path.join(folder, n)) and not os.path.islink(p)]
-    found = sorted(found, key=lambda p: p.split("/"))[:most]
-    files = spark.createDataFrame([(p,) for p in found], "path string")
-    if not contents or not found:
-        return files.withColumns({"content_md5": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
-
-    def digested(batches):
-        for batch in batches:
-            rows = []
-            for path in batch.column("path").to_pylist():
-                try:
-                    with open(path, "rb") as f:
-                        rows.append((path, hashlib.file_digest(f, "md5").hexdigest(), None))
-                except OSError as e:
-                    rows.append((path, None, e.strerror or "unreadable"))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["path", "content_md5", "error"])
-
-    spread_out = files.repartition(max(1, min(len(found), 4 * spark.sparkContext.defaultParallelism)))
-    return spread_out.mapInArrow(digested, "path string, content_md5 string, error string")

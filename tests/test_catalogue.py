@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillspark import config
 from quillspark.functions import leaves as L
 from quillspark.functions import text as X
+from quillspark.operators import catalogue as G
 from quillspark.operators import expand as E
 from quillspark.operators import ingest as I
 from quillspark.operators import linking as K
@@ -87,7 +88,7 @@ def test_build(spark, tmp_path):
             f.write("\n" + json.dumps(doc) + "\n  \n")
     made = I.build(spark, str(src), str(tmp_path / "out"))
     assert (made["records"], made["codes"]) == (2, 4) and [s["lines"] for s in made["shards"]] == [1, 1]
-    built = I.opened(spark, str(tmp_path / "out"))
+    built = G.opened(spark, str(tmp_path / "out"))
     rows = built.records.orderBy("rid").collect()
     assert [r.rid for r in Q.keyword(built.records, "title", built=built.index).orderBy("rid").collect()] == [1, 2]
     assert [(r.rid, r.aa_id, r.title, r.year, r.filesize, r.language, r.subjects, r.has_torrent_paths) for r in rows] == [(1, "early", "A title", 2024, 42, "en", "Art", 0), (2, "late", "A title", 2024, 42, "en", "Art", 0)]
@@ -95,7 +96,7 @@ def test_build(spark, tmp_path):
         f.write("{bad\n")
     with pytest.raises(Exception, match="aarecords__3.json.gz, line 1"):
         I.build(spark, str(src), str(tmp_path / "out"), replace=True)
-    assert I.opened(spark, str(tmp_path / "out")).records.count() == 2  # the failed build left the old catalogue
+    assert G.opened(spark, str(tmp_path / "out")).records.count() == 2  # the failed build left the old catalogue
     assert S.spread(7, 3) == [3, 2, 2]
 
 

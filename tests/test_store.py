@@ -183,7 +183,7 @@ def settled_slowly(rows):
     return out
 
 
-@pytest.mark.parametrize("guesses, crowd, files", [(6, 1000, 60), (1, 1000, 40), (1, 2, 12)])
+@pytest.mark.parametrize("guesses, crowd, files", [(6, 1000, 50), (1, 1000, 16), (1, 2, 10)])
 def test_links_in_order(spark, guesses, crowd, files):
     r = random.Random(guesses + crowd)
     schema = "path string, stage int, ord int, value string, rid long, place int, accepted boolean"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,8 @@ def walked(spark: SparkSession, root: str, most: int | None = None) -> list[tupl
         below, found = [], []
         for s in fs.listStatus(path):
             name, full = s.getPath().getName(), s.getPath()
-            if spark._jvm.org.apache.hadoop.fs.FileUtil.isSymlink(spark._jvm.java.io.File(full.toUri().getPath())) if full.toString().startswith("file:") else s.isSymlink():
+            local = full.toString().startswith("file:")  # whose status follows links
+            if spark._jvm.java.nio.file.Files.isSymbolicLink(spark._jvm.java.io.File(full.toUri().getPath()).toPath()) if local else s.isSymlink():
                 continue
             if s.isDirectory():
                 below.append((full, seen and not _hidden(name)))
@@ -79,9 +81,10 @@ def local_files(spark: SparkSession, root: str, most: int | None = None, content
     schema = "path string, content_md5 string, error string"
     if not contents:
         return spark.createDataFrame([(p, None, None) for p, _, _ in found], schema)
-    plain = [(p,) for p, size, seen in found if seen and size <= WHOLE]
-    apart = [p for p, size, seen in found if not seen or size > WHOLE]
-    rows = spark.createDataFrame(_streamed(spark, apart), schema)
+    plain = [(p,) for p, size, seen in found if seen and 0 < size <= WHOLE]
+    apart = [p for p, size, seen in found if size and (not seen or size > WHOLE)]
+    empty = [(p, hashlib.md5(b"").hexdigest(), None) for p, size, _ in found if not size]  # which the source passes over too
+    rows = spark.createDataFrame(_streamed(spark, apart) + empty, schema)
     if not plain:
         return rows
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root)

@@ -277,10 +277,10 @@ def test_reports(spark, tmp_path):
     assert by["/f/any"]["matched"]["record"] == {"aa_id": "a2", "title": "some words 2"} and by["/f/q"] == {"path": "/f/q", "file_name": "q", "identifiers": by["/f/q"]["identifiers"], "status": "unmatched"}
     P.write_link_report(stats, entries, True, str(tmp_path / "r"))
     written = {r.path: r for r in spark.read.json(str(tmp_path / "r" / "entries")).collect()}
-    assert json.load(open(tmp_path / "r" / "report.json"))["stats"]["ambiguous"] == 1 and written["/f/SAME.pdf"].ambiguity.candidates[1].aa_id == "a1"
+    assert json.load(open(tmp_path / "r" / "report.json"))["stats"]["ambiguous"] == 2 and written["/f/SAME.pdf"].ambiguity.candidates[1].aa_id == "a1"
     page = P.rows_of(Q.results(Q.keyword(rows, "words 3")), ("aa_id", "title", "author", "year", "language", "extension", "bm25_score"))
     assert json.loads(P.search_report("keyword", "words 3", Q.Filters(), page))["result_count"] == 1 and "some words 3" in P.search_text(page) and P.search_text([]) == "nothing found"
-    assert json.loads(P.error_report(ValueError("no")))["error"] == "no" and "ambiguous: 1" in P.link_text(stats)
+    assert json.loads(P.error_report(ValueError("no")))["error"] == "no" and "ambiguous: 2" in P.link_text(stats)
     down = json.loads(P.download_report("md5", "x", {"aa_id": "a", "md5": None, "title": None}, {"output_dir": "/d", "output_name": None}, "/d/a.bin", {"status": "already_present"}))
     assert down["record"] == {"aa_id": "a", "md5": ""} and down["outcome"]["status"] == "already_present" and down["request"] == {"selector": {"mode": "md5", "value": "x"}, "output_dir": "/d"}
     assert json.loads(P.config_report("/c", False, config.resolved({}, {}, {"HOME": "/h"})))["values"]["downloads"] == {"value": "/h/Downloads", "source": "default"}

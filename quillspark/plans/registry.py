@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import shared
 from ..functions import leaves as L
 from ..functions import text as X
+from ..operators import catalogue as G
 from ..operators import expand as E
 from ..operators import ingest as I
 from ..operators import linking as K
@@ -134,7 +135,7 @@ def _queries() -> dict:
         "shard_order": (lambda s, d: A.records(s, d).select("rid", S.shard_number(F.concat(F.lit("aarecords__"), F.when(F.col("rid") % 5 == 0, "x").otherwise(F.col("rid").cast("string")), F.lit(".json.gz"))).alias("number")), f"WITH {R} SELECT rid, CASE WHEN rid % 5 = 0 THEN 4294967295 ELSE rid END AS number FROM records"),
         "shard_spread_limit": (lambda s, d: _spread(s, d), f"WITH {R} SELECT rid, 1 + row_number() OVER (PARTITION BY rid % 7 ORDER BY rid) - 1 AS place FROM records QUALIFY row_number() OVER (PARTITION BY rid % 7 ORDER BY rid) <= 7 + CAST(rid % 7 < 1 AS INTEGER)"),
         "rid_assignment": (lambda s, d: S.numbered(A.lines(s, d)).select(F.get_json_object("value", "$._source.id").alias("aa_id"), "rid"), f"WITH {R} SELECT aa_id, row_number() OVER (ORDER BY rid % 7, rid) AS rid FROM records"),
-        "update_local_path": (lambda s, d: I.with_local_paths(A.records(s, d), A.records(s, d).where("year = 2003").select("rid", F.concat(F.lit("/x/"), "rid").alias("path"))).select("rid", "local_path"), f"WITH {R} SELECT rid, CASE WHEN year = 2003 THEN '/x/' || rid END AS local_path FROM records"),
+        "update_local_path": (lambda s, d: G.with_local_paths(A.records(s, d), A.records(s, d).where("year = 2003").select("rid", F.concat(F.lit("/x/"), "rid").alias("path"))).select("rid", "local_path"), f"WITH {R} SELECT rid, CASE WHEN year = 2003 THEN '/x/' || rid END AS local_path FROM records"),
         "file_names": (lambda s, d: A.records(s, d).select("rid", *(N.default_name(m).alias(m) for m in N.MODES)), f"WITH {R} SELECT rid, regexp_replace(translate(original_filename, '/\\:*?\"<>|', '_________'), '^\\s+|\\s+$', '', 'g') AS original, 'doc_' || rid || '.txt' AS aa_id, md5 || '.txt' AS md5, regexp_replace(translate(concat_ws(' -- ', nullif(regexp_replace(title, '^\\s+|\\s+$', '', 'g'), ''), author) || '.txt', '/\\:*?\"<>|', '_________'), '^\\s+|\\s+$', '', 'g') AS flat FROM records"),
         "link_candidates": (lambda s, d: K.candidates(found(s, d), *both(s, d)).groupBy("path", "stage").agg(F.count("*").alias("n"), F.min("rid").alias("least"), F.count_if(F.col("accepted")).alias("n_accepted")), LINK_SQL + " SELECT path, stage, count(*) AS n, min(rid) AS least, count_if(accepted) AS n_accepted FROM every GROUP BY path, stage"),
         "link_title_author": (lambda s, d: K.title_author(found(s, d), A.records(s, d)).where((F.col("place") <= K.TITLE_TOP) & F.col("accepted")).select("path", "rid", F.col("place").cast("bigint").alias("place")), LINK_SQL + " SELECT path, rid, place FROM hits WHERE place <= 8 AND accepted"),

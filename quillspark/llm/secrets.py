@@ -26,6 +26,19 @@ KINDS = {
 }
 BASE = ("assign", "access", "hex")
 SHARED_OWNERS, SHARED_REPOSITORIES = 3, 20
+MOST_FREQUENT = 10_000  # values that hold more than this part of all candidates; there are fewer than that many of them
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(numbers: Column) -> Column:
+    """Sums of the numbers up to each of them: each pass adds what lies twice as far back, so n numbers take about log n passes over the array."""
+    widths = lambda xs: F.filter(F.array(*(F.lit(1 << k) for k in range(31))), lambda w: w < F.size(xs))
+    added = lambda sums, w: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - w), F.lit(0)))
+    return let(numbers, lambda xs: F.aggregate(widths(xs), xs, added))
 
 
 def located(text: Column, kind: str, rank: int) -> Column:
@@ -37,17 +50,14 @@ def located(text: Column, kind: str, rank: int) -> Column:
     # split() and regexp_extract_all() make the same matches, so pieces and matches alternate
     pieces = F.split(text, pattern, -1)
     zipped = F.arrays_zip(F.slice(pieces, 1, F.size(whole)).alias("piece"), whole.alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
-    start = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["piece"]) + F.length(x["whole"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["piece"])).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + F.length(x["piece"]) + F.length(x["whole"])).alias("end"), x["value"].alias("value")))).alias("out"),
-        ),
-        lambda acc: F.filter(acc["out"], lambda x: F.length(x["value"]) >= least),
-    )
+
+    def spans(found: Column) -> Column:
+        ends = running(F.transform(found, lambda x: F.length(x["piece"]) + F.length(x["whole"])))
+        each = let(ends, lambda at: F.transform(found, lambda x, i: F.struct((F.get(at, i) - F.length(x["whole"])).alias("start"), F.lit(rank).alias("rank"), F.get(at, i).alias("end"), x["value"].alias("value"))))
+        return F.filter(each, lambda x: F.length(x["value"]) >= least)
+
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")
-    return F.when(F.regexp_like(text, F.lit(pattern)), start).otherwise(empty)
+    return F.when(F.regexp_like(text, F.lit(pattern)), let(zipped, spans)).otherwise(empty)
 
 
 def named(spans: Column) -> Column:
@@ -67,19 +77,29 @@ def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id
 
 
 def ownership(found: DataFrame, owners: int = SHARED_OWNERS, repositories: int = SHARED_REPOSITORIES) -> DataFrame:
-    """hash, n_owners, n_repositories, copied."""
-    each = found.select("owner", "repository", F.explode("spans.hash").alias("hash")).groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
-    by_owner = each.groupBy("hash", "owner").agg(F.count("one").alias("held"))
-    out = by_owner.groupBy("hash").agg(F.count("held").alias("n_owners"), F.sum("held").alias("n_repositories"))
+    """hash, n_owners, n_repositories, n_candidates, copied."""
+    each = found.select("owner", "repository", F.explode("spans.hash").alias("hash")).groupBy("hash", "owner", "repository").agg(F.count("*").alias("times"))
+    by_owner = each.groupBy("hash", "owner").agg(F.count("times").alias("held"), F.sum("times").alias("times"))
+    out = by_owner.groupBy("hash").agg(F.count("held").alias("n_owners"), F.sum("held").alias("n_repositories"), F.sum("times").alias("n_candidates"))
     return out.withColumn("copied", (F.col("n_owners") >= owners) | (F.col("n_repositories") >= repositories))
 
 
+def judged(each: DataFrame, verdicts: DataFrame, most: int = MOST_FREQUENT) -> DataFrame:
+    """each (row_id, hash) with the copied of its hash. Values that hold more than one in ``most`` of all candidates are fewer than ``most``
+    whatever the data, and are broadcast; so no key of the shuffled join holds more rows than that part."""
+    total = verdicts.agg(F.sum("n_candidates")).head()[0] or 0
+    frequent = F.col("n_candidates") * most > total
+    flagged = each.join(F.broadcast(verdicts.where(frequent).select("hash", "copied")), "hash", "left")
+    rest = flagged.where("copied is null").drop("copied").join(verdicts.where(~frequent).select("hash", "copied"), "hash")
+    return flagged.where("copied is not null").unionByName(rest)
+
+
 def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """A row for each row of docs: counts, the digest of the base, all spans, and how many candidates are copied or look live."""
     found = stored(candidates(docs, owner, repository))
     with_spans = found.where(F.size("spans") > 0)
     each = with_spans.select("row_id", F.explode(F.array_distinct("spans.hash")).alias("hash"))
-    verdict = each.join(ownership(with_spans), "hash").groupBy("row_id").agg(F.sum(F.col("copied").cast("long")).alias("n_copied"), F.sum((~F.col("copied")).cast("long")).alias("n_live"))
+    verdict = judged(each, stored(ownership(with_spans))).groupBy("row_id").agg(F.sum(F.col("copied").cast("long")).alias("n_copied"), F.sum((~F.col("copied")).cast("long")).alias("n_live"))
     held = with_spans.join(verdict, "row_id", "left").unionByName(found.where(F.size("spans") == 0).withColumns({"n_copied": F.lit(0).cast("long"), "n_live": F.lit(0).cast("long")}))
     count = lambda rank: F.size(F.filter("spans", lambda x: x["rank"] == rank)).cast("long")
     base = F.filter("spans", lambda x: x["rank"] < len(BASE))

@@ -182,6 +182,28 @@ def test_secrets(docs, rows, empty):
     assert secrets.op5_secret_scan(empty).count() == 0
 
 
+def test_secret_owners(spark, monkeypatch):
+    """What owners make of a value, by the shuffled join and by the broadcast one; null owners, repeated rows, a text of many matches."""
+    key = lambda n: f"token={'k%04d' % n}zz"
+    many = " ".join(f"\u00e9 {key(n)}" for n in range(3000))
+    rows = [(n, key(1), f"s{n % 4}") for n in range(40)] + [(n, f"{key(2)} {key(n)}", "s1") for n in range(100, 115)] + [(200, key(3), None), (201, key(3), None), (202, many, "s0"), (202, many, "s0"), (None, key(4), "s2")]
+    held = defaultdict(set)
+    for d, t, s in rows:
+        for m in re.finditer("token=([a-z0-9]+)", t):
+            held[m[1]].add((s, d))
+    copied = {v for v, h in held.items() if len({s for s, _ in h}) >= 3 or len(h) >= 20}
+    expected = Counter()
+    for d, t, _ in rows:
+        found = set(re.findall("token=([a-z0-9]+)", t))
+        spans = ",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer("token=[a-z0-9]+", t))
+        expected[d, spans, len(found & copied), len(found - copied)] += 1
+    assert copied and len(copied) < len(held)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for most in (10_000, 3, 0):  # all values are frequent, one is, none is
+        monkeypatch.setattr(secrets.judged, "__defaults__", (most,))
+        assert Counter((r.doc_id, r.spans, r.n_copied, r.n_live) for r in secrets.op5_secret_scan(docs).collect()) == expected
+
+
 def test_quality(spark, docs, rows, empty):
     labels = spark.createDataFrame([(n, n % 2, 0) for n in range(0, 60)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
     out = quality.op1_quality_rules(docs, labels).collect()
@@ -198,6 +220,33 @@ def test_quality(spark, docs, rows, empty):
     assert quality.op1_quality_rules(docs, labels.where("false")).where("kept = base_failed").count() == 0
 
 
+def test_quality_learns(spark):
+    """Labels that follow the words: verdicts and probabilities of rows without a label follow them too."""
+    r = random.Random(9)
+    words = {1: [f"good{n}" for n in range(40)], 0: [f"junk{n}" for n in range(40)]}
+    both = [f"any{n}" for n in range(40)]
+    of = lambda n: " ".join(r.sample(words[n % 2], 14) + r.sample(both, 14))
+    docs = spark.createDataFrame([(n, of(n)) for n in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2, 0) for n in range(400)], "doc_id long, quality int, toxic int")
+    out = [x.asDict() for x in quality.op1_quality_rules(docs, labels).collect()]
+    unseen = [x for x in out if x["doc_id"] >= 400]
+    assert len(unseen) == 200 and sum(x["kept"] == bool(x["doc_id"] % 2) for x in unseen) >= 196
+    assert {x.doc_id for x in quality.filtered(docs, quality.fit(docs, labels)).collect()} == {x["doc_id"] for x in out if x["kept"]}
+
+
+def test_language_of_many(spark):
+    """Ten languages; repeated rows get one answer; no lang at all."""
+    r = random.Random(4)
+    tongues = {f"l{k}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyz"[k * 2 : k * 2 + 7], k=r.randint(3, 7))) for _ in range(30)] for k in range(10)}
+    rows = [(n, " ".join(r.choices(tongues[f"l{n % 10}"], k=25)), f"l{n % 10}") for n in range(900)]
+    docs = spark.createDataFrame(rows + rows[:7], "doc_id long, text string, lang string")
+    out = language.op4_language_id(docs).collect()
+    held = [x for x in out if x.held_out]
+    assert len(out) == 907 and all(0 <= x.score <= 1 for x in out) and sum(x.lang_pred == rows[x.doc_id][2] for x in held) >= 0.97 * len(held)
+    assert len({(x.doc_id, x.lang_pred, x.score) for x in out}) == 900
+    assert {x.lang_pred for x in language.op4_language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
 def test_language(spark, empty):
     r = random.Random(1)
     tongues = {"aa": "kato mila sune rapo".split(), "bb": "grunz weich schtorf pfel".split(), "cc": "oui leau queue ceaux".split()}

@@ -52,6 +52,13 @@ class Catalogue:
     records: DataFrame
     codes: DataFrame
     index: tuple[DataFrame, DataFrame, DataFrame]
+    blocks: DataFrame
+    size: int = 0  # records
+
+    def search(self, query: str, filters: Q.Filters = Q.Filters()) -> DataFrame:
+        """Best rows with bm25_score. What a keyword search of fewer records than the first blocks hold could skip is not worth the looking."""
+        worth = self.size > Q.FIRST_BLOCKS << Q.BLOCK_BITS
+        return Q.keyword(self.records, query, filters, self.index, self.blocks if worth else None)
 
 
 def _numbers(spark: SparkSession, target: str) -> list[int]:
@@ -121,7 +128,7 @@ def at_snapshot(spark: SparkSession, target: str, snapshot: Snapshot) -> Catalog
     records = spark.read.schema(S.RECORDS).parquet(*of("records"))
     if snapshot.links:
         records = with_local_paths(records, newest(spark, of("links")))
-    return Catalogue(records, spark.read.schema(S.STORED_CODES).parquet(*of("record_codes")), Q.read_index(spark, *of("index")))
+    return Catalogue(records, spark.read.schema(S.STORED_CODES).parquet(*of("record_codes")), Q.read_index(spark, *of("index")), Q.read_blocks(spark, *of("index")), snapshot.counts.get("records", 0))
 
 
 def opened(spark: SparkSession, target: str) -> Catalogue:

@@ -2,10 +2,18 @@
 
 An index is three tables: terms (term, rid, col, pos), lengths (rid, d) and corpus (n, tokens). ``write_index`` keeps them, terms in
 ranges of term, so that a query reads the row groups of its terms only. Without an index the same operators run over records directly.
+
+Beside them lies blocks (term, block, rows, most, least): for each range of ``1 << BLOCK_BITS`` rids how many records have a term, the largest
+weight it has in one, and the fewest terms of one. No record of a block can score better than these allow, so the best rows of a query of
+single words are found in the blocks that promise most, and in the others that can still reach the page (``keyword`` with blocks). A quoted
+phrase needs all postings of its terms, because the number of its rows is part of the score; such queries read them all.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,6 +26,9 @@ from ..schema import RESULT, SEARCHED
 
 K1, B = 1.2, 0.75
 INDEX = ("terms", "lengths", "corpus")
+BLOCK_BITS = 10  # stored blocks depend on it
+FIRST_BLOCKS = 16  # that set the score others have to reach
+MOST_BLOCKS = 512  # read as ranges of rids; more are joined
 
 
 @dataclass(frozen=True)
@@ -82,8 +93,17 @@ def index_of(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return terms, lengths, lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("d"), F.lit(0)).alias("tokens"))
 
 
+def blocks_of(words: DataFrame) -> DataFrame:
+    """term, block, rows, most, least of tokenised records."""
+    length = F.aggregate("columns", F.lit(0).cast("bigint"), lambda n, x: n + F.size(x["words"]))
+    weight = F.element_at(F.array(*map(F.lit, SEARCHED.values())), F.col("x.col") + 1)
+    each = words.select("rid", length.alias("d"), F.explode("columns").alias("x")).select("rid", "d", weight.alias("w"), F.explode("x.words").alias("term"))
+    of_record = each.groupBy("term", "rid").agg(F.sum("w").alias("f"), F.max("d").alias("d"))
+    return of_record.groupBy("term", F.shiftright("rid", BLOCK_BITS).alias("block")).agg(F.count("*").alias("rows"), F.max("f").alias("most"), F.min("d").alias("least"))
+
+
 def write_index(records: DataFrame, path: str) -> None:
-    """The index of records below path; what was there is replaced. Texts are cut into terms once."""
+    """The index of records and its blocks below path; what was there is replaced. Texts are cut into terms once."""
     spark = records.sparkSession
     tokenised(records).write.mode("overwrite").parquet(f"{path}/words")
     for name, df in zip(INDEX, index_of(spark.read.parquet(f"{path}/words")), strict=True):
@@ -92,6 +112,7 @@ def write_index(records: DataFrame, path: str) -> None:
         elif name == "lengths":
             df = df.repartitionByRange("rid").sortWithinPartitions("rid")
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+    blocks_of(spark.read.parquet(f"{path}/words")).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
     shared.remove(spark, f"{path}/words")
 
 
@@ -102,6 +123,11 @@ def read_index(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame,
     return terms, lengths, corpus.agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
 
 
+def read_blocks(spark: SparkSession, *paths: str) -> DataFrame:
+    """The blocks of the segments. Two segments may share a block; each has its own row for it."""
+    return spark.read.schema("term string, block long, rows long, most double, least long").parquet(*(f"{path}/blocks" for path in paths))
+
+
 def _unit_tokens(df: DataFrame, found: list[str]) -> list[list[str]]:
     """The index terms of the units, by the same function as the index's. The query is the data here, not the corpus."""
     row = df.sparkSession.range(1).select(F.array(*(X.tokens(F.lit(u)) for u in found)).alias("t")).head()
@@ -148,13 +174,21 @@ def _matching(terms: DataFrame, asked: Asked) -> tuple[DataFrame, DataFrame]:
 
 def scored_all(terms: DataFrame, lengths: DataFrame, corpus: DataFrame, queries: list[str]) -> DataFrame:
     """query (its place), rid, bm25_score of all rows that match every unit of a query; less is better. One pass over the postings for all queries."""
-    asked = Asked.of(terms, queries)
+    return _scored(terms, lengths, corpus, Asked.of(terms, queries))
+
+
+def _scored(terms: DataFrame, lengths: DataFrame, corpus: DataFrame, asked: Asked, known: list[int] | None = None) -> DataFrame:
+    """The same of asked phrases. known: the rows that have each phrase, where terms are not those of all records."""
     if not asked.phrases:
         return terms.sparkSession.createDataFrame([], "query int, rid long, bm25_score double")
     each, found = _matching(terms, asked)
-    rows = each.groupBy("phrase").agg(F.count("*").alias("rows")).agg(F.map_from_entries(F.collect_list(F.struct("phrase", "rows"))).alias("rows"))  # one row with a number for each phrase
     one = corpus.select("n", (F.col("tokens") / F.col("n")).alias("mean"))
-    full = found.join(lengths, "rid").join(F.broadcast(rows.join(F.broadcast(one))))  # beside one row
+    if known is None:
+        rows = each.groupBy("phrase").agg(F.count("*").alias("rows")).agg(F.map_from_entries(F.collect_list(F.struct("phrase", "rows"))).alias("rows"))  # one row with a number for each phrase
+        numbers = rows.join(F.broadcast(one))
+    else:
+        numbers = one.withColumn("rows", F.create_map(*(F.lit(x) for pair in enumerate(known) for x in pair)))
+    full = found.join(lengths, "rid").join(F.broadcast(numbers))  # beside one row
 
     def part(x: Column) -> Column:
         rows = F.col("rows")[x["phrase"]]
@@ -186,10 +220,67 @@ def results(rows: DataFrame) -> DataFrame:
     return rows.select(*RESULT)
 
 
-def keyword(records: DataFrame, query: str, filters: Filters = Filters(), built: tuple | None = None) -> DataFrame:
-    """Best rows of records with bm25_score."""
-    hits = scored(*(built or index(records)), query)
-    return best(records.where(filters.predicate()).join(hits, "rid"), filters.limit, F.col("bm25_score").asc())
+def keyword(records: DataFrame, query: str, filters: Filters = Filters(), built: tuple | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """Best rows of records with bm25_score. With the blocks of the index, blocks that can't reach the page are not read."""
+    built = built or index(records)
+    asked = Asked.of(built[0], [query])
+    if blocks is not None and asked.phrases and all(len(ts) == 1 for ts in asked.phrases):
+        return _keyword_in_blocks(records, asked, filters, built, blocks)
+    return _page(records, _scored(*built, asked), filters)
+
+
+def _page(records: DataFrame, hits: DataFrame, filters: Filters) -> DataFrame:
+    return best(records.where(filters.predicate()).join(hits.drop("query"), "rid"), filters.limit, F.col("bm25_score").asc())
+
+
+def _keyword_in_blocks(records: DataFrame, asked: Asked, filters: Filters, built: tuple, blocks: DataFrame) -> DataFrame:
+    terms, lengths, corpus = built
+    wanted = Counter(t for t, in asked.phrases)
+    mine = blocks.where(F.col("term").isin(sorted(wanted))).groupBy("term", "block").agg(F.sum("rows").alias("rows"), F.max("most").alias("most"), F.min("least").alias("least"))
+    said = mine.groupBy("term").agg(F.sum("rows").alias("rows")).join(F.broadcast(corpus)).collect()  # a row for each word of the query
+    rows = {r.term: r.rows for r in said}
+    known = [rows.get(t, 0) for t, in asked.phrases]
+    if not all(known):
+        return _page(records, _scored(terms.where("false"), lengths, corpus, asked, known), filters)
+    n, mean = said[0].n, said[0].tokens / said[0].n
+    weight = {t: times * max(math.log((n - rows[t] + 0.5) / (rows[t] + 0.5)), 1e-6) for t, times in wanted.items()}
+    weights = F.create_map(*(F.lit(x) for pair in weight.items() for x in pair))
+    most = F.col("most")
+    part = weights[F.col("term")] * most * (K1 + 1) / (most + K1 * (1 - B + B * F.col("least") / mean))
+    whole = mine.groupBy("block").agg(F.count("*").alias("terms"), F.sum(part).alias("bound")).where(F.col("terms") == len(wanted)).select("block", "bound")
+
+    def page(chosen: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        return _page(chosen(records), _scored(chosen(terms), chosen(lengths), corpus, asked, known), filters)
+
+    first = [r.block for r in whole.orderBy(F.col("bound").desc(), "block").limit(FIRST_BLOCKS + 1).collect()]
+    if len(first) <= FIRST_BLOCKS:  # these are all
+        return page(_in_ranges(first))
+    reached = page(_in_ranges(first[:FIRST_BLOCKS])).agg(F.count("*").alias("rows"), F.max("bm25_score").alias("worst")).head()
+    if reached.rows == filters.limit:
+        whole = whole.where(F.col("bound") >= -reached.worst * (1 - 1e-9))  # equal scores count: other columns order these
+    return page(_in_blocks(whole))
+
+
+def _in_blocks(chosen: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What leaves of a table with rid the rows of the chosen blocks."""
+    found = [r.block for r in chosen.select("block").limit(MOST_BLOCKS + 1).collect()]
+    if len(found) <= MOST_BLOCKS:
+        return _in_ranges(found)
+    return lambda df: df.join(chosen.select(F.col("block").alias("_block")), F.shiftright("rid", BLOCK_BITS) == F.col("_block"), "left_semi")
+
+
+def _in_ranges(found: list[int]) -> Callable[[DataFrame], DataFrame]:
+    """The same by ranges of rids, which reach the scan."""
+    ranges: list[list[int]] = []
+    for block in sorted(found):
+        if ranges and ranges[-1][1] == block:
+            ranges[-1][1] = block + 1
+        else:
+            ranges.append([block, block + 1])
+    tests = [(F.col("rid") >= (a << BLOCK_BITS)) & (F.col("rid") < (b << BLOCK_BITS)) for a, b in ranges] or [F.lit(False)]
+    while len(tests) > 1:  # by halves, so that the condition isn't deep
+        tests = [reduce(lambda x, y: x | y, tests[i : i + 2]) for i in range(0, len(tests), 2)]
+    return lambda df: df.where(tests[0])
 
 
 def keyword_all(records: DataFrame, queries: list[str], filters: Filters = Filters(), built: tuple | None = None) -> DataFrame:

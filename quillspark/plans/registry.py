@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import shared
@@ -55,9 +56,13 @@ def _page(df):
 PAGE_SQL = "SELECT r.rid, aa_id, title, year, language, round(bm25_score, 6) AS bm25_score FROM records r JOIN scores s ON r.rid = s.rid{where} ORDER BY s.bm25_score, coalesce(score_base_rank, 0) DESC, r.rid DESC LIMIT {limit}"
 
 
-def _keyword(query: str, phrases: list[list[str]], filters: Q.Filters = Q.Filters(), where: str = ""):
+def _search(c: G.Catalogue, query: str, filters: Q.Filters, blocks: bool) -> DataFrame:
+    return Q.keyword(c.records, query, filters, c.index, c.blocks) if blocks else c.search(query, filters)
+
+
+def _keyword(query: str, phrases: list[list[str]], filters: Q.Filters = Q.Filters(), where: str = "", blocks: bool = False):
     return (
-        lambda s, d: _page(Q.keyword((c := A.catalogue(s, d)).records, query, filters, c.index)),
+        lambda s, d: _page(_search(A.catalogue(s, d), query, filters, blocks)),
         f"WITH {R}, {_scores_sql(phrases)} {PAGE_SQL.format(where=where, limit=filters.limit)}",
     )
 
@@ -82,10 +87,12 @@ def _queries() -> dict:
         "kw_text": (lambda s, d: _page(Q.keyword(A.records(s, d), "the of")), f"WITH {R}, {_scores_sql([['the'], ['of']])} {PAGE_SQL.format(where='', limit=20)}"),
         "kw_operators_are_words": _keyword("is OR an", [["is"], ["or"], ["an"]]),
         "kw_column_filter_is_words": _keyword("on AND or:the", [["on"], ["and"], ["or", "the"]]),
-        "kw_batches": (lambda s, d: _page(Q.keyword((c := A.in_batches(s, d)).records, "the of", built=c.index)), f"WITH {R}, {_scores_sql([['the'], ['of']])} {PAGE_SQL.format(where='', limit=20)}"),
+        "kw_batches": (lambda s, d: _page(Q.keyword((c := A.in_batches(s, d)).records, "the of", built=c.index, blocks=c.blocks)), f"WITH {R}, {_scores_sql([['the'], ['of']])} {PAGE_SQL.format(where='', limit=20)}"),
         "batch_terms": (lambda s, d: A.in_batches(s, d).index[0].groupBy("term").agg(F.countDistinct("rid").alias("n_rows"), F.count("*").alias("n")), f"WITH {R}, {_scores_sql([['x']])} SELECT term, count(DISTINCT rid) AS n_rows, count(*) AS n FROM tok GROUP BY term"),
         "kw_many": (lambda s, d: _page_of(Q.keyword_all((c := A.catalogue(s, d)).records, MANY, Q.Filters("EN", limit=9), c.index)), _many_sql()),
         "kw_many_counts": (lambda s, d: Q.keyword_counts((c := A.catalogue(s, d)).records, MANY, Q.Filters("EN"), c.index), _many_counts_sql()),
+        "kw_blocks": _keyword("the of", [["the"], ["of"]], blocks=True),
+        "kw_blocks_filters": _keyword("de la de", [["de"], ["la"], ["de"]], Q.Filters("FR", limit=9), " WHERE lower(language) = 'fr'", blocks=True),
         "kw_case_folds": _keyword("ÜBER Die", [["uber"], ["die"]]),
         "kw_best_two": _keyword("de la", [["de"], ["la"]], Q.Filters(limit=2)),
         "kw_and": _keyword("the of", [["the"], ["of"]]),

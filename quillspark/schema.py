@@ -9,7 +9,7 @@ def _fields(*pairs):
     return T.StructType([T.StructField(name, kind, null) for name, kind, null in pairs])
 
 
-VERSION = 3  # of the stored tables
+VERSION = 4  # of the stored tables
 
 #: Names of columns and code kinds, which data and callers share.
 RECORDS = _fields(

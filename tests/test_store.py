@@ -309,3 +309,48 @@ def test_modes_and_lines():
     assert S.parse_line(" \t") is None and S.parse_line('{"a": 1}') == {"a": 1}
     with pytest.raises(ValueError):
         S.parse_line("[1]")
+
+
+def read_rows(spark):
+    """Rows that finished stages have read from files so far."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    quantiles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = store.stageList(None, False, False, quantiles, spark.sparkContext._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).inputRecords() for i in range(stages.size()))
+
+
+def test_blocks_that_cannot_reach_the_page_are_not_read(spark, tmp_path, monkeypatch):
+    """The same rows with blocks as without, ties and filters too, from one segment and from two; and fewer rows are read."""
+    monkeypatch.setattr(Q, "BLOCK_BITS", 4)
+    monkeypatch.setattr(Q, "FIRST_BLOCKS", 3)
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("parquet.block.size", "8192")
+    pick = random.Random(2)
+    words = [f"w{n}" for n in range(60)]
+    title = lambda n: " ".join(pick.choices(["often", *words], [20] + [1] * 60, k=pick.randint(1, 30)))
+    rows = [(n, f"a{n}", title(n) + (" rare rare" if 500 <= n < 520 or n % 200 == 0 else ""), ("en", "fr")[n % 2], n % 3) for n in range(-20, 1000)]
+    rows += [(n, f"a{n}", "often", "en", n % 3) for n in range(1000, 1060)]  # equal scores over many blocks
+    docs = spark.createDataFrame(rows, "rid long, aa_id string, title string, language string, score_base_rank long")
+    docs = docs.select(*(F.col(f.name) if f.name in docs.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in RECORDS.fields))
+    codes = spark.createDataFrame([], "rid long, kind string, value string")
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    G.append(spark, one, lambda last: (docs, codes))
+    for n in range(2):
+        G.append(spark, two, lambda last: (docs.where(F.pmod("rid", F.lit(2)) == n), codes))  # noqa: B023
+    hadoop.unset("parquet.block.size")
+    for target in (one, two):
+        c = G.opened(spark, target)
+        some = (("often w1", Q.Filters("fr", limit=7)), ("rare often rare", Q.Filters(limit=3)), ("often", Q.Filters()))
+        more = (("rare", Q.Filters(limit=500)), ("w3 absent", Q.Filters()), ('"w1 w2"', Q.Filters(limit=5)))
+        for query, filters in some + more if target == one else some[:1]:
+            plain, began = Q.keyword(c.records, query, filters, c.index), read_rows(spark)
+            expected = [(r.rid, r.bm25_score) for r in plain.collect()]
+            read = read_rows(spark) - began
+            for most in (512, 0) if query == "often w1" else (512,):
+                monkeypatch.setattr(Q, "MOST_BLOCKS", most)
+                began = read_rows(spark)
+                got = [(r.rid, r.bm25_score) for r in Q.keyword(c.records, query, filters, c.index, c.blocks).collect()]
+                assert got == expected, (query, most)
+                if query == "rare often rare":
+                    assert expected and read_rows(spark) - began < 0.7 * read, (read_rows(spark) - began, read)
+        assert c.size == len(rows) and [(r.rid, r.bm25_score) for r in c.search("often w1", Q.Filters("fr", limit=7)).collect()] == [(r.rid, r.bm25_score) for r in Q.keyword(c.records, "often w1", Q.Filters("fr", limit=7), c.index).collect()]

@@ -23,6 +23,7 @@ from . import search as Q
 
 SNAPSHOTS = "snapshots"
 KEEP = 86400.0
+PIECE_RECORDS = 20_000  # that a task sorts, about
 MOST_LINKS = 16  # tables of links, before they become one
 TABLES = ("records", "record_codes", "index", "links")
 
@@ -151,12 +152,12 @@ def write_tables(records: DataFrame, codes: DataFrame, target: str, folder: str,
     """Records, codes and index of one batch below target/folder, as a snapshot of these alone. in_order: records come in files of
     narrow ranges of rid already and are written as they are."""
     spark, path = records.sparkSession, f"{target}/{folder}"
-    spread = records if in_order else records.repartitionByRange("rid").sortWithinPartitions("rid")
+    spread = records if in_order else records.repartitionByRange(Q.pieces(spark, records.count(), PIECE_RECORDS), "rid").sortWithinPartitions("rid")
     spread.write.parquet(f"{path}/records")
     stored_records = spark.read.schema(S.RECORDS).parquet(f"{path}/records")
     assert_unique(stored_records, "aa_id")
     lap("records")
-    Q.folded(codes).repartitionByRange("kind", "value_lc").sortWithinPartitions("kind", "value_lc").write.parquet(f"{path}/record_codes")
+    Q.folded(codes).repartitionByRange(Q.pieces(spark, codes.count(), Q.PIECE_TERMS), "kind", "value_lc").sortWithinPartitions("kind", "value_lc").write.parquet(f"{path}/record_codes")
     stored_codes = spark.read.schema(S.STORED_CODES).parquet(f"{path}/record_codes")
     assert_unique(stored_codes, "rid", "kind", "value")
     lap("codes")

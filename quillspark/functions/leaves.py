@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as X
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), in which value is found once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
@@ -31,14 +38,20 @@ def _depth(v: Column) -> Column:
 
 def items(v: Column, strict: bool = True) -> Column:
     """array<variant> of the scalars of a leaf, depth first; null if the leaf is null or absent. An object, or a null inside an array,
-    is an error, or is left out where not strict."""
-    levels = F.when(_kind(v).startswith("ARRAY"), _depth(v)).otherwise(F.lit(0))
-    opened = F.aggregate(F.array_repeat(F.lit(0), levels), F.array(v), lambda found, _: _opened(found))
-    whole = F.when(v.isNotNull() & (_kind(v) != "VOID"), opened)
-    bad = lambda x: x.isNull() | (_kind(x) == "VOID") | _kind(x).startswith("OBJECT")
+    is an error, or is left out where not strict. Arrays of one kind of scalar, which their kind tells, aren't looked at for depth."""
+
+    def opened(x: Column) -> Column:
+        kind, leaf = x["kind"], x["leaf"]
+        deep = F.aggregate(F.array_repeat(F.lit(0), _depth(leaf)), F.array(leaf), lambda found, _: _opened(found))
+        flat = F.try_variant_get(leaf, "$", "array<variant>")
+        return F.when(kind.rlike("^ARRAY<(ARRAY|VARIANT|VOID)"), deep).when(kind.startswith("ARRAY"), flat).when(kind != "VOID", F.array(leaf))
+
+    whole = once(F.struct(_kind(v).alias("kind"), v.alias("leaf")), opened)
+    bad = lambda k: k.isNull() | (k == "VOID") | k.startswith("OBJECT")
     if not strict:
-        return F.filter(whole, lambda x: ~bad(x))
-    return F.when(F.exists(whole, bad), F.raise_error(F.lit("a leaf holds a null or an object"))).otherwise(whole)
+        return F.filter(whole, lambda x: ~bad(_kind(x)))
+    error = F.raise_error(F.lit("a leaf holds a null or an object"))
+    return F.transform(whole, lambda x: F.when(bad(_kind(x)), error).otherwise(x))
 
 
 def as_text(v: Column) -> Column:
@@ -56,11 +69,11 @@ def texts(v: Column, strict: bool = True) -> Column:
 
 
 def cleaned(v: Column, strict: bool = True) -> Column:
-    return F.filter(F.transform(texts(v, strict), X.clean), lambda x: x.isNotNull())
+    return F.filter(F.transform(texts(v, strict), X.spaced), lambda x: x != "")
 
 
 def trimmed(v: Column, strict: bool = True) -> Column:
-    return F.filter(F.transform(texts(v, strict), X.trimmed), lambda x: x.isNotNull())
+    return F.filter(F.transform(texts(v, strict), X.stripped), lambda x: x != "")
 
 
 def first(found: Column) -> Column:

@@ -33,8 +33,9 @@ def _unified(name: str) -> Column:
 def subjects_of(lists: list[Column]) -> Column:
     """Meaningful subjects in order; the first of those that differ in ASCII case only."""
     found = F.filter(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists)), X.meaningful)
-    low = F.transform(found, X.ascii_lower)
-    return X.none_if_empty(F.array_join(F.filter(found, lambda x, i: F.array_position(low, X.ascii_lower(x)) == i + 1), " ; "))
+    first = lambda low: F.filter(low, lambda x, i: F.array_position(F.transform(low, lambda y: y["low"]), x["low"]) == i + 1)
+    some = L.once(F.transform(found, lambda x: F.struct(x.alias("text"), X.ascii_lower(x).alias("low"))), first)
+    return F.nullif(F.array_join(F.transform(some, lambda x: x["text"]), " ; "), F.lit(""))
 
 
 def codes_of(strict: bool = True) -> Column:
@@ -64,9 +65,15 @@ def flattened(docs: DataFrame, strict: bool = True) -> DataFrame:
     return docs.select(*(c for c in docs.columns if c != "doc"), *(v.alias(k) for k, v in columns.items()))
 
 
+def codes_by_row(rows: DataFrame) -> DataFrame:
+    """rid, ord, kind, value: a row for each code of flattened rows. An outer explode: from another one Spark would infer a condition on the codes,
+    push it below the documents' parsing, and parse a document again for each leaf that it names."""
+    return rows.select("rid", F.posexplode_outer("codes").alias("ord", "c")).where("ord IS NOT NULL").select("rid", "ord", "c.kind", "c.value")
+
+
 def records_and_codes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From flattened rows with rid."""
-    return rows.select(*S.RECORDS.fieldNames()), rows.select("rid", F.explode("codes").alias("c")).select("rid", "c.kind", "c.value")
+    return rows.select(*S.RECORDS.fieldNames()), codes_by_row(rows).drop("ord")
 
 
 def build(spark: SparkSession, source: str, target: str, replace: bool = False, max_shards: int | None = None, limit: int | None = None, per_shard: bool = False, strict: bool = True) -> dict:

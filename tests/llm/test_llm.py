@@ -89,6 +89,13 @@ def test_suffix_dedup(docs, rows, empty, monkeypatch):
     assert suffix_dedup.op7_suffix_array_dedup(empty).count() == 0
 
 
+def test_suffix_dedup_of_any_doc_id(spark):
+    text, least, most = "".join(random.Random(7).choices("abcdefgh ", k=900)), -(1 << 63), (1 << 63) - 1
+    docs = spark.createDataFrame([(least, f"x{text}"), (most, f"{text}y"), (None, f"z {text}"), (0, text[:399])], "doc_id long, text string")
+    out = {r.doc_id: r[1:4] for r in suffix_dedup.op7_suffix_array_dedup(docs).collect()}
+    assert out == {least: (901, 900, 1), most: (901, 900, 1), None: (902, 900, 1), 0: (399, 0, 0)}
+
+
 def shingles(t):
     w = [x.lower() for x in split(t)]
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()

@@ -52,8 +52,8 @@ class Snapshot:
 class Catalogue:
     records: DataFrame
     codes: DataFrame
-    index: tuple[DataFrame, DataFrame, DataFrame]
-    blocks: DataFrame
+    index: tuple[DataFrame, DataFrame, DataFrame] | None  # none in a catalogue for linking alone
+    blocks: DataFrame | None
     size: int = 0  # records
 
     def search(self, query: str, filters: Q.Filters = Q.Filters()) -> DataFrame:
@@ -129,15 +129,16 @@ def at_snapshot(spark: SparkSession, target: str, snapshot: Snapshot) -> Catalog
     records = spark.read.schema(S.RECORDS).parquet(*of("records"))
     if snapshot.links:
         records = with_local_paths(records, newest(spark, of("links")))
-    return Catalogue(records, spark.read.schema(S.STORED_CODES).parquet(*of("record_codes")), Q.read_index(spark, *of("index")), Q.read_blocks(spark, *of("index")), snapshot.counts.get("records", 0))
+    index = (Q.read_index(spark, *of("index")), Q.read_blocks(spark, *of("index"))) if snapshot.index else (None, None)
+    return Catalogue(records, spark.read.schema(S.STORED_CODES).parquet(*of("record_codes")), *index, snapshot.counts.get("records", 0))
 
 
-def opened(spark: SparkSession, target: str) -> Catalogue:
-    """The catalogue of target as it is now, and stays for this reader; none is an error."""
+def opened(spark: SparkSession, target: str, searched: bool = True) -> Catalogue:
+    """The catalogue of target as it is now, and stays for this reader; none is an error. searched: one without an index is an error too."""
     snapshot = current(spark, target)
     if snapshot is None:
         raise FileNotFoundError(f"no catalogue in {target}")
-    if not snapshot.index:
+    if searched and not snapshot.index:
         raise ValueError(f"the catalogue in {target} has no index: build it again")
     return at_snapshot(spark, target, snapshot)
 
@@ -148,9 +149,9 @@ def assert_unique(df: DataFrame, *key: str) -> None:
         raise ValueError(f"not unique: {twice[0].asDict()}")
 
 
-def write_tables(records: DataFrame, codes: DataFrame, target: str, folder: str, lap=lambda step: None, in_order: bool = False) -> Snapshot:
+def write_tables(records: DataFrame, codes: DataFrame, target: str, folder: str, lap=lambda step: None, in_order: bool = False, indexed: bool = True) -> Snapshot:
     """Records, codes and index of one batch below target/folder, as a snapshot of these alone. in_order: records come in files of
-    narrow ranges of rid already and are written as they are."""
+    narrow ranges of rid already and are written as they are. Linking needs no index (indexed)."""
     spark, path = records.sparkSession, f"{target}/{folder}"
     spread = records if in_order else records.repartitionByRange(Q.pieces(spark, records.count(), PIECE_RECORDS), "rid").sortWithinPartitions("rid")
     spread.write.parquet(f"{path}/records")
@@ -161,10 +162,11 @@ def write_tables(records: DataFrame, codes: DataFrame, target: str, folder: str,
     stored_codes = spark.read.schema(S.STORED_CODES).parquet(f"{path}/record_codes")
     assert_unique(stored_codes, "rid", "kind", "value")
     lap("codes")
-    Q.write_index(stored_records, f"{path}/index")
-    lap("index")
+    if indexed:
+        Q.write_index(stored_records, f"{path}/index")
+        lap("index")
     counts = {"records": stored_records.count(), "codes": stored_codes.count(), "last": stored_records.agg(F.coalesce(F.max("rid"), F.lit(0)).alias("last")).head().last}
-    return Snapshot(0, (f"{folder}/records",), (f"{folder}/record_codes",), (f"{folder}/index",), (), counts)
+    return Snapshot(0, (f"{folder}/records",), (f"{folder}/record_codes",), (f"{folder}/index",) if indexed else (), (), counts)
 
 
 def empty_catalogue(spark: SparkSession, target: str, replace: bool = False) -> Snapshot:
@@ -181,7 +183,7 @@ def append(spark: SparkSession, target: str, batch: Callable[[int], tuple[DataFr
         return old
 
     def make(folder: str) -> Snapshot:
-        new = write_tables(*batch(old.counts["last"]), target, folder)
+        new = write_tables(*batch(old.counts["last"]), target, folder, indexed=bool(old.index))
         added = spark.read.schema(S.RECORDS).parquet(f"{target}/{folder}/records").select("aa_id")
         twice = added.join(at_snapshot(spark, target, old).records.select("aa_id"), "aa_id", "left_semi").limit(1).collect()
         if twice:
